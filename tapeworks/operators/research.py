@@ -8,6 +8,7 @@ from statistics import NormalDist
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tapeworks.functions.numeric import ratio
 from tapeworks.functions.quantiles import average_ranks
@@ -128,7 +129,11 @@ def strategy_fills(df: DataFrame, way: Column, *, size: Column | float = 0.01, p
 
 
 def composite(alphas: DataFrame, weights: DataFrame, *, band: float = BAND, key=("instrument", "event_time", "event_id")) -> DataFrame:
-    """Weighted sum of a long table of alpha signals; an entry when it leaves the band."""
+    """Weighted sum of a long table of alpha signals; an entry when it leaves the band.
+
+    A score on the band, give or take rounding of the sum, is no entry.
+    """
+    band = band + 1e-9
     w = alphas.join(weights, "alpha").withColumn("contribution", F.col("weight") * F.col("signal"))
     c = w.groupBy(*key).agg(F.sum("contribution").alias("score"), F.count("*").alias("alphas"))
     return c.withColumn("entry", F.when(F.col("score") > band, "BUY").when(F.col("score") < -band, "SELL"))
@@ -218,7 +223,7 @@ def overfitting_probability(results: DataFrame) -> DataFrame:
     return per.agg(F.count("*").alias("folds"), F.avg(low.cast("double")).alias("pbo"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_cdf(x: pd.Series) -> pd.Series:
     n = NormalDist()
     return x.map(lambda v: n.cdf(v) if pd.notna(v) else None).astype(float)

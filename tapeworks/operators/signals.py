@@ -118,42 +118,33 @@ def return_stats(prices: DataFrame, *, price="close", time="open_time", window:
     autocorrelation over the last `window` returns."""
     f, w = framed(prices, key=["instrument"], order=[time], before=window + 1)
     prev = F.lag(price).over(w)
-    f = f.withColumns({"ret": F.when((prev > 0) & (F.col(price) > 0), F.ln(F.col(price) / prev))})
-    span = w.rowsBetween(1 - window, 0)
+    f = f.withColumn("ret", F.when((prev > 0) & (F.col(price) > 0), F.ln(F.col(price) / prev)))
+    f = f.withColumn("__r0", F.lag("ret").over(w))
+    span, pairs = w.rowsBetween(1 - window, 0), w.rowsBetween(2 - window, 0)
+    later = F.when(F.col("__r0").isNotNull(), F.col("ret"))
     f = f.withColumns({
         "prices": F.least(F.count(price).over(w.rowsBetween(-window, 0)), F.lit(window + 1)),
         "n": F.count("ret").over(span), "mean": F.avg("ret").over(span),
         "std": F.stddev_pop("ret").over(span), "__r": F.collect_list("ret").over(span),
+        "__cov": F.covar_pop("__r0", "ret").over(pairs), "__va": F.var_pop("__r0").over(pairs),
+        "__vb": F.var_pop(later).over(pairs),
     })
     f = own_rows(f)
-    std = F.when(F.col("std") > 0, F.col("std")).otherwise(1e-10)
     start = F.struct(F.lit(0.0).alias("c"), F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"))
 
     def walk(acc, r):
         c = acc["c"] + r - F.col("mean")
         return F.struct(c.alias("c"), F.least(acc["lo"], c).alias("lo"), F.greatest(acc["hi"], c).alias("hi"))
 
-    path = F.aggregate("__r", start, walk)
-    f = f.withColumns({"std": std, "__range": path["hi"] - path["lo"]})
-    r = F.col("__r")
-    m = F.size(r) - 1
-    head, tail = F.slice(r, F.lit(1), F.greatest(m, F.lit(0))), F.slice(r, F.lit(2), F.greatest(m, F.lit(0)))
-    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + x)
-    f = f.withColumns({"__m1": ratio(total(head), m), "__m2": ratio(total(tail), m)})
-    pairs = F.zip_with(head, tail, lambda a, b: F.struct((a - F.col("__m1")).alias("a"), (b - F.col("__m2")).alias("b")))
-    f = f.withColumn("__p", pairs)
-    sums = F.aggregate(
-        "__p", F.struct(F.lit(0.0).alias("ab"), F.lit(0.0).alias("aa"), F.lit(0.0).alias("bb")),
-        lambda acc, p: F.struct((acc["ab"] + p["a"] * p["b"]).alias("ab"), (acc["aa"] + p["a"] * p["a"]).alias("aa"),
-                                (acc["bb"] + p["b"] * p["b"]).alias("bb")))
-    f = f.withColumn("__s", sums)
-    va, vb = F.col("__s.aa") / F.nullif(m, F.lit(0)), F.col("__s.bb") / F.nullif(m, F.lit(0))
-    den = F.when((va > 0) & (vb > 0), F.sqrt(va * vb)).otherwise(1.0)
+    # the mean differs from row to row, so the range of the deviations is a fold over 60 values
+    reach = F.aggregate("__r", start, walk, lambda acc: acc["hi"] - acc["lo"])
+    f = f.withColumns({"std": F.when(F.col("std") > 0, F.col("std")).otherwise(1e-10), "__range": reach})
+    den = F.when((F.col("__va") > 0) & (F.col("__vb") > 0), F.sqrt(F.col("__va") * F.col("__vb"))).otherwise(1.0)
     return f.withColumns({
         "volatility_ann": F.col("std") * float(bars_per_year) ** 0.5,
         "hurst": F.when(F.col("n") > 1, F.ln(F.col("__range") / F.col("std") + 1e-10) / F.nullif(F.ln(F.col("n")), F.lit(0.0))),
-        "autocorr": F.when(F.col("n") > 2, F.col("__s.ab") / F.nullif(m, F.lit(0)) / den).otherwise(0.0),
-    }).drop("__r", "__range", "__m1", "__m2", "__p", "__s")
+        "autocorr": F.when(F.col("n") > 2, F.col("__cov") / den).otherwise(0.0),
+    }).drop("__r", "__r0", "__range", "__cov", "__va", "__vb")
 
 
 def classify_regime(stats: DataFrame) -> DataFrame:

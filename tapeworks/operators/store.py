@@ -107,6 +107,10 @@ def new_rows(batch: DataFrame, store: DataFrame, *, uid="event_id") -> DataFrame
     from tapeworks.operators.quality import dedup_events
 
     first = dedup_events(batch, order=["ingest_time", "event_time"], event_id=uid)
+    if "event_date" in store.columns:
+        # an id keeps its event time, so only the batch's own dates can hold it
+        days = [r[0] for r in first.select(F.to_date("event_time")).distinct().collect()]
+        store = store.where(F.col("event_date").isin(days)) if days else store.limit(0)
     named = first.where(F.col(uid).isNotNull()).join(store.select(uid), uid, "left_anti")
     return named.unionByName(first.where(F.col(uid).isNull()))
 

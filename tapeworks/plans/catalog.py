@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from tapeworks.plans import accounting  # noqa: F401
+from tapeworks.plans import accounting, market, models, streams  # noqa: F401
 from tapeworks.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

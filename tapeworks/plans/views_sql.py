@@ -371,3 +371,9 @@ VIEWS["x_tail"] = "SELECT * FROM x_ranked WHERE pos <= 500"
 VIEWS["x_permin"] = """
 SELECT job, epoch_us(ts) // 60000000 AS minute, count(*) FILTER (WHERE latency_ms > 256) AS bad,
   count(*) FILTER (WHERE up) AS ups, count(*) AS total FROM x_lat GROUP BY 1, 2"""
+
+VIEWS["x_psi"] = """
+SELECT feature, half, least(CAST(floor((value - lo) / (hi - lo) * 10) AS BIGINT), 9) AS bin FROM (
+  SELECT feature, half, value, min(value) OVER (PARTITION BY feature) AS lo, max(value) OVER (PARTITION BY feature) AS hi FROM (
+    SELECT CASE WHEN event_time >= TIMESTAMP '2024-01-15' THEN 1 ELSE 0 END AS half, abs(obi) AS abs_obi, momentum, volatility, volumeRatio AS volume_ratio
+    FROM x_feat) UNPIVOT (value FOR feature IN (abs_obi, momentum, volatility, volume_ratio)))"""
