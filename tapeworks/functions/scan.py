@@ -375,3 +375,12 @@ def framed(
 
 def own_rows(df: DataFrame) -> DataFrame:
     return df.where(F.col(_OWN)).drop(FRAME, _OWN, RANK)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Shuffle by keys into the session's full partition count.
+
+    Adaptive execution merges partitions by bytes; work that is heavy per byte, such as model
+    fitting, would then run in very few tasks. An explicit count is left alone.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

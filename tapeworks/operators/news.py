@@ -29,7 +29,8 @@ def parse_response(df: DataFrame, *, response: str = "response", coins=COINS) ->
     bare = F.when(text.startswith("```"), F.regexp_replace(text, fence, "")).otherwise(text)
     body = F.regexp_extract(bare, r"(?s)\{.*\}", 0)
     parsed = F.when(body != "", F.from_json(body, "map<string,string>"))
-    d = df.withColumn("__j", parsed).withColumn("classified", F.col("__j").isNotNull())
+    # a generator keeps the optimizer from repeating the parse for every field
+    d = df.select("*", F.explode(F.array(parsed)).alias("__j")).withColumn("classified", F.col("__j").isNotNull())
     out = {}
     for c in coins:
         label = F.lower(F.trim(F.col("__j")[c]))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tapeworks.functions.numeric import finite
-from tapeworks.functions.scan import BLOCK, Cuts, order_cuts, running, with_block
+from tapeworks.functions.scan import BLOCK, Cuts, order_cuts, running, spread, with_block
 from tapeworks.operators.store import training_window
 
 STATES, WINDOW, MIN_OBS, REFIT_EVERY = 3, 1000, 200, 50
@@ -168,7 +168,7 @@ def fit_hmm(obs: DataFrame, *, key=("instrument",), states: int = STATES, window
             "n_obs": len(x), "pi": pi.tolist(), "trans": a.ravel().tolist(), "means": mu.ravel().tolist(),
             "covars": cov.ravel().tolist()}])
 
-    fits = w.groupBy(*key, "restart").applyInPandas(fit, schema)
+    fits = spread(w, *key, "restart").groupBy(*key, "restart").applyInPandas(fit, schema)
     rest = [c for c in fits.columns if c not in key]
     return fits.groupBy(*key).agg(
         F.max_by(F.struct(*rest), F.struct("loglik", F.negative("restart"))).alias("m")).select(*key, "m.*")
@@ -212,7 +212,8 @@ def causal_filter(obs: DataFrame, models: DataFrame, *, time="event_time", uid="
         return pd.DataFrame([{"instrument": p["instrument"], BLOCK: p[BLOCK], "m": m.ravel().tolist()}])
 
     by = ["instrument", BLOCK]
-    maps = blocked.groupBy(*by).cogroup(params.groupBy(*by)).applyInPandas(
+    blocked = spread(blocked, *by)
+    maps = blocked.groupBy(*by).cogroup(spread(params, *by).groupBy(*by)).applyInPandas(
         summarize, f"instrument string, {BLOCK} long, m array<double>")
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -243,7 +244,7 @@ def causal_filter(obs: DataFrame, models: DataFrame, *, time="event_time", uid="
 
     ready = params.join(starts, by)
     ready = ready.select(*[F.col(c).alias(c) for c in ready.columns])
-    return blocked.groupBy(*by).cogroup(ready.groupBy(*by)).applyInPandas(
+    return blocked.groupBy(*by).cogroup(spread(ready, *by).groupBy(*by)).applyInPandas(
         replay, f"instrument string, {time} {types[time]}, {uid} {types[uid]}, probs array<double>, state int")
 
 
@@ -343,7 +344,7 @@ def regime_history(obs: DataFrame, *, states: int = STATES, window: int = WINDOW
             "instrument": now["instrument"].to_numpy(), time: now[time].to_numpy(), uid: now[uid].to_numpy(),
             "epoch": now["epoch"].to_numpy(), "probs": probs.tolist(), "state": probs.argmax(axis=1).astype("int32")})
 
-    return rows.groupBy("instrument", "epoch").applyInPandas(
+    return spread(rows, "instrument", "epoch").groupBy("instrument", "epoch").applyInPandas(
         run, f"instrument string, {time} {types[time]}, {uid} {types[uid]}, epoch long, probs array<double>, state int")
 
 

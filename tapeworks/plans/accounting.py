@@ -333,9 +333,9 @@ def a4(spark, sf):
 
 
 @query("a5_equity_curve", """
-SELECT execution_id, snap(value, 4) AS value, snap(pnl, 4) AS pnl, snap(fees, 4) AS fees, fills FROM x_equity""")
+SELECT execution_id, snap(value, 3) AS value, snap(pnl, 3) AS pnl, snap(fees, 3) AS fees, fills FROM x_equity""")
 def a5(spark, sf):
-    return equity(spark, sf).transform(pick, "execution_id", "snap(value, 4) value", "snap(pnl, 4) pnl", "snap(fees, 4) fees", "fills")
+    return equity(spark, sf).transform(pick, "execution_id", "snap(value, 3) value", "snap(pnl, 3) pnl", "snap(fees, 3) fees", "fills")
 
 
 @query("a5_equity_mark_to_market", "SELECT execution_id, snap(value_mtm, 4) AS value FROM x_equity")

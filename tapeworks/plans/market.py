@@ -343,11 +343,11 @@ def t67(spark, sf):
 
 
 @query("t8_impact", """
-SELECT order_id, snap(notional / adv, 8) AS participation, snap(sigma * sqrt(notional / adv) * 1e4, 5) AS temporary_bps,
-  snap(0.1 * sigma * (notional / adv) * 1e4, 5) AS permanent_bps FROM x_orders JOIN x_est USING (instrument)""")
+SELECT order_id, snap(notional / adv, 8) AS participation, snap(sigma * sqrt(notional / adv) * 1e4, 4) AS temporary_bps,
+  snap(0.1 * sigma * (notional / adv) * 1e4, 4) AS permanent_bps FROM x_orders JOIN x_est USING (instrument)""")
 def t8(spark, sf):
     return tca.impact(views.order_book_orders(spark, sf), estimates(spark, sf)).transform(
-        pick, "order_id", "snap(participation, 8) participation", "snap(temporary_bps, 5) temporary_bps", "snap(permanent_bps, 5) permanent_bps")
+        pick, "order_id", "snap(participation, 8) participation", "snap(temporary_bps, 4) temporary_bps", "snap(permanent_bps, 4) permanent_bps")
 
 
 _SCHEDULE = """

@@ -24,11 +24,12 @@ def _instrument(n):
 
 
 def events(spark, sf) -> DataFrame:
-    e = table(spark, sf, "events")
+    # a generator extracts k once per row; as a plain column every later use would parse again
+    once = F.explode(F.array(F.get_json_object("props", "$.k").cast("int"))).alias("k")
+    e = table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value", once)
     return e.select(
         "event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value",
-        F.get_json_object("props", "$.k").cast("int").alias("k"),
-        _instrument(F.col("user_id")).alias("instrument"), (100 + F.col("value") / 10).alias("px"),
+        "k", _instrument(F.col("user_id")).alias("instrument"), (100 + F.col("value") / 10).alias("px"),
     )
 
 
