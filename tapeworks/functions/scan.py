@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tapeworks.session import materialize
+
 BLOCK = "__blk"
 ROWS_PER_BLOCK = 1_000_000
 MAX_BLOCKS = 4096
@@ -145,16 +147,19 @@ def running(
     cuts: Cuts | None = None,
     descending: bool = False,
     keep_block: bool = False,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Running aggregates along `order` inside `key`, without one task per key.
 
     specs: {out: (kind, column)} or {out: (kind, column, "before")}; kind is one of
     sum, count, max, min, last (last non-null) and lag (previous row's value).
-    "before" leaves the current row out.
+    "before" leaves the current row out. A frame that already has its blocks keeps them, so a
+    second scan in the same order needs no new shuffle. `source` may give the same rows in a
+    cheaper form for the per-block totals.
     """
     key = list(key)
     cuts = cuts if cuts is not None else order_cuts(df, order)
-    blocked = with_block(df, order, cuts)
+    blocked = df if BLOCK in df.columns else with_block(df, order, cuts)
     base = block_window(key, order, descending)
     upto = base.rowsBetween(Window.unboundedPreceding, 0)
     before = base.rowsBetween(Window.unboundedPreceding, -1)
@@ -176,7 +181,7 @@ def running(
     )
     if not cuts.single:
         at = F.struct(*order)
-        total = blocked.groupBy(*key, BLOCK).agg(
+        total = (source if source is not None else blocked).groupBy(*key, BLOCK).agg(
             *[_total(kind, col, at, descending).alias(f"__t_{o}") for o, (kind, col, _, _) in plans.items()]
         )
         way = F.desc if descending else F.asc
@@ -287,17 +292,22 @@ def affine(
     # share of the value before the block that is left at this row
     left = F.when(F.col("__seg") == 0, F.exp(F.col("__lp"))).otherwise(0.0)
     staged = staged.withColumn("__left", left)
+    staged = staged.withColumns({
+        "__left_prev": F.lag("__left").over(base), **{f"__p_{o}": F.lag(f"__y_{o}").over(base) for o in terms},
+    })
+    junk = ["__seg", "__lp", "__step", "__lp0", *[f"{p}{o}" for o in terms for p in ("__s_", "__i_")]]
+    staged = staged.drop(*junk)
     if cuts.single:
         final = staged.withColumns({o: F.col(f"__y_{o}") for o in terms})
-        final = final.withColumns({f"{o}_prev": F.coalesce(F.lag(o).over(base), F.lit(0.0)) for o in terms})
+        final = final.withColumns({f"{o}_prev": F.coalesce(f"__p_{o}", F.lit(0.0)) for o in terms})
     else:
+        # read twice, for the block ends and for the rows: written once, so one large shuffle
+        staged = materialize(staged, "affine")
         at = F.struct(*order)
         ends = staged.groupBy(*key, BLOCK).agg(
-            F.max_by("__left", at).alias("g"),
-            *[F.max_by(f"__y_{o}", at).alias(f"y_{o}") for o in terms],
-        )
+            F.max_by(F.struct(F.col("__left").alias("g"), *[F.col(f"__y_{o}").alias(f"y_{o}") for o in terms]), at).alias("e"))
         # at most MAX_BLOCKS entries per key: fold the block maps in order
-        entry = F.struct(BLOCK, "g", *[f"y_{o}" for o in terms])
+        entry = F.struct(BLOCK, "e.g", *[f"e.y_{o}" for o in terms])
         folded = ends.groupBy(*(key or [F.lit(0).alias("__all")])).agg(
             F.array_sort(F.collect_list(entry)).alias("m")
         )
@@ -306,13 +316,8 @@ def affine(
             last = F.element_at(acc, -1)
             return F.concat(acc, F.array(F.struct(
                 x[BLOCK].alias(BLOCK),
-                *[
-                    (F.coalesce(last[f"n_{o}"], F.lit(0.0)) + 0.0).alias(f"__k_{o}") for o in terms
-                ],
-                *[
-                    (F.coalesce(last[f"n_{o}"], F.lit(0.0)) * x["g"] + x[f"y_{o}"]).alias(f"n_{o}")
-                    for o in terms
-                ],
+                *[last[f"n_{o}"].alias(f"__k_{o}") for o in terms],
+                *[(last[f"n_{o}"] * x["g"] + x[f"y_{o}"]).alias(f"n_{o}") for o in terms],
             )))
 
         start = F.array(F.struct(
@@ -325,14 +330,11 @@ def affine(
         ).select(*key, f"e.{BLOCK}", *[F.col(f"e.__k_{o}") for o in terms]).where(F.col(BLOCK) >= 0)
         final = staged.join(carry, [*key, BLOCK], "left")
         final = final.withColumns({
-            o: F.col(f"__y_{o}") + F.col("__left") * F.col(f"__k_{o}") for o in terms
-        })
-        final = final.withColumns({
-            f"{o}_prev": F.coalesce(F.lag(o).over(base), F.col(f"__k_{o}")) for o in terms
+            **{o: F.col(f"__y_{o}") + F.col("__left") * F.col(f"__k_{o}") for o in terms},
+            **{f"{o}_prev": F.coalesce(F.col(f"__p_{o}") + F.col("__left_prev") * F.col(f"__k_{o}"), F.col(f"__k_{o}"))
+               for o in terms},
         }).drop(*[f"__k_{o}" for o in terms])
-    junk = ["__seg", "__lp", "__step", "__lp0", "__left", BLOCK]
-    junk += [f"{p}{o}" for o in terms for p in ("__s_", "__i_", "__y_")]
-    return final.drop(*junk)
+    return final.drop("__left", "__left_prev", BLOCK, *[f"{p}{o}" for o in terms for p in ("__y_", "__p_")])
 
 
 RANK = "__rank"

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeworks.functions.scan import Cuts, affine, order_cuts, running
+from tapeworks.functions.scan import Cuts, affine, order_cuts, running, with_block
+from tapeworks.session import materialize
 
 FLAT = 1e-9
 INITIAL_CASH = 1000.0
@@ -216,7 +217,10 @@ def fifo_match(fills: DataFrame, *, key=("instrument",), time="ts", uid="executi
     )
     ends = running(sided, {"__end": ("sum", F.col("__n"))}, key=[*key, "__side"], order=["__t", "__u"], cuts=cuts)
     at = ["__end", "__side", "__u"]
+    # read for the cuts, the block totals of both directions, and the rows: written once
+    ends = materialize(ends, "fifo")
     axis = order_cuts(ends, at)
+    ends = with_block(ends, at, axis)
     # what is being bought and sold just before a breakpoint is the next breakpoint of each side
     nexts = running(
         ends,
@@ -224,9 +228,9 @@ def fifo_match(fills: DataFrame, *, key=("instrument",), time="ts", uid="executi
             "buy": ("last", F.when(F.col("__side") == 0, F.col("__fill"))),
             "sell": ("last", F.when(F.col("__side") == 1, F.col("__fill"))),
         },
-        key=key, order=at, cuts=axis, descending=True,
+        key=key, order=at, cuts=axis, descending=True, keep_block=True,
     )
-    cut = running(nexts, {"__from": ("lag", F.col("__end"))}, key=key, order=at, cuts=axis)
+    cut = running(nexts, {"__from": ("lag", F.col("__end"))}, key=key, order=at, cuts=axis, source=ends)
     size = F.col("__end") - F.coalesce(F.col("__from"), F.lit(0).cast(_QTY))
     buy_first = F.struct(F.col("buy.t"), F.col("buy.id")) < F.struct(F.col("sell.t"), F.col("sell.id"))
     entry = F.when(buy_first, F.col("buy")).otherwise(F.col("sell"))

@@ -44,7 +44,9 @@ SELECT instrument, count(*) AS trades, count(*) FILTER (WHERE opposes) AS round_
   arg_max(qn, rn) AS position, snap(arg_max(an, rn), 6) AS avg_cost
 FROM x_cl_pos GROUP BY instrument""")
 def net_pnl_by_instrument(spark, sf):
-    pos = ledger.signed_positions(clean_fills(spark, sf), uid="event_id")
+    # the scans read the cleaned fills several times
+    clean = shared(spark, sf, "clean_fills", lambda: clean_fills(spark, sf))
+    pos = ledger.signed_positions(clean, uid="event_id")
     return risk.by_instrument(pos, uid="event_id").transform(pick, "instrument", "trades", "round_trips", "snap(win_rate, 6) win_rate", "snap(net_pnl, 4) net_pnl",
         "position", "snap(avg_cost, 6) avg_cost")
 
