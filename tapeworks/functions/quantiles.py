@@ -16,11 +16,11 @@ def exact_quantiles(df: DataFrame, *, key: list[str], value: str, probs: dict[st
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*key, F.col(value).alias("__v")).agg(F.count("*").alias("__c"))
     upto = running(counts, {"__n": ("sum", F.col("__c"))}, key=key, order=["__v"])
-    totals = counts.groupBy(*key).agg(F.sum("__c").alias("__m")) if key else counts.agg(F.sum("__c").alias("__m"))
     if key:
-        joined = upto.join(totals, key)
+        # one row per key; a common key meets it by broadcast or by a split skewed partition
+        joined = upto.join(counts.groupBy(*key).agg(F.sum("__c").alias("__m")), key)
     else:
-        joined = upto.withColumn("__one", F.lit(1)).join(totals.withColumn("__one", F.lit(1)), "__one")
+        joined = upto.withColumn("__m", F.lit(counts.agg(F.sum("__c")).first()[0]))
     aggs = []
     for i, p in enumerate(probs.values()):
         at = F.lit(p) * (F.col("__m") - 1)

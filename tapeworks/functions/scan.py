@@ -64,7 +64,7 @@ def order_cuts(
     probs = [i / most for i in range(1, most)] if blocks else [i / 512 for i in range(1, 512)]
     stats = df.select(axis.alias("x")).agg(
         F.count("x").alias("n"),
-        F.percentile_approx("x", probs, 20_000).alias("q") if probs else F.lit(None).alias("q"),
+        F.percentile_approx("x", probs, 5_000).alias("q") if probs else F.lit(None).alias("q"),
     ).first()
     n = stats["n"]
     wanted = blocks or max(ceil(n / rows_per_block), min(parallelism, ceil(n / SMALL_BLOCK)))

@@ -20,12 +20,16 @@ def _visible(as_of) -> Column:
     return (F.col("event_time") <= t) & (F.col("ingest_time") <= t)
 
 
-def features_as_of(store: DataFrame, as_of, *, instrument: str | None = None, uid="event_id") -> DataFrame:
-    """The latest visible version per instrument: a partial aggregate, no sort."""
+def features_as_of(store: DataFrame, as_of, *, instrument: str | None = None, uid="event_id",
+                   take: list[str] | None = None) -> DataFrame:
+    """The latest visible version per instrument: one pass with a partial aggregate per task.
+
+    `take` names the wanted columns, so that only they are read.
+    """
     seen = store.where(_visible(as_of))
     if instrument is not None:
         seen = seen.where(F.col("instrument") == instrument)
-    rest = [c for c in store.columns if c != "instrument"]
+    rest = [c for c in take or store.columns if c != "instrument"]
     return (
         seen.groupBy("instrument")
         .agg(F.max_by(F.struct(*rest), F.struct("event_time", "ingest_time", uid)).alias("r"))
@@ -92,9 +96,9 @@ def lookahead_audit(joined: DataFrame, *, at: str = "decision_time") -> DataFram
     return joined.where(leak)
 
 
-def revisions_as_of(store: DataFrame, as_of, *, uid="event_id") -> DataFrame:
+def revisions_as_of(store: DataFrame, as_of, *, uid="event_id", take: list[str] | None = None) -> DataFrame:
     """Of several versions of one event time, the latest that is visible at T."""
-    rest = [c for c in store.columns if c not in ("instrument", "event_time")]
+    rest = [c for c in take or store.columns if c not in ("instrument", "event_time")]
     return (
         store.where(_visible(as_of)).groupBy("instrument", "event_time")
         .agg(F.max_by(F.struct(*rest), F.struct("ingest_time", uid)).alias("r"), F.count("*").alias("versions"))

@@ -163,13 +163,8 @@ def f18(spark, sf):
 
 
 @query("f19_vpin", """
-SELECT instrument, bucket, snap(imbalance, 6) AS imbalance, snap(avg(imbalance) OVER (PARTITION BY instrument ORDER BY bucket ROWS 49 PRECEDING), 6) AS vpin
-FROM (SELECT instrument, bucket, abs(sum(way * part)) / 200 AS imbalance, sum(part) AS v FROM (
-  SELECT instrument, bucket, way, least(e, (bucket + 1) * 200) - greatest(s, bucket * 200) AS part FROM (
-    SELECT instrument, way, s, e, unnest(range(CAST(floor(s / 200) AS BIGINT), CAST(ceil(e / 200) AS BIGINT))) AS bucket FROM (
-      SELECT instrument, e - quantity AS s, e, coalesce(last_value(m IGNORE NULLS) OVER (PARTITION BY instrument ORDER BY ts, tick_id ROWS UNBOUNDED PRECEDING), 1) AS way FROM (
-        SELECT *, sum(quantity) OVER w AS e, nullif(sign(price - lag(price) OVER w), 0) AS m FROM x_trades WINDOW w AS (PARTITION BY instrument ORDER BY ts, tick_id)))))
-  GROUP BY 1, 2) WHERE v >= 199.9999""")
+SELECT instrument, bucket, snap(abs(flow) / 200, 6) AS imbalance,
+  snap(avg(abs(flow) / 200) OVER (PARTITION BY instrument ORDER BY bucket ROWS 49 PRECEDING), 6) AS vpin FROM x_vpin""")
 def f19(spark, sf):
     return signals.vpin(views.trade_ticks(spark, sf), bucket_volume=200.0).transform(
         pick, "instrument", "bucket", "snap(imbalance, 6) imbalance", "snap(vpin, 6) vpin")
@@ -184,7 +179,7 @@ _T = f"TIMESTAMP '{views.AS_OF_MID}'"
 SELECT instrument, arg_max(event_id, (event_time, ingest_time, event_id)) AS event_id, snap(arg_max(obi, (event_time, ingest_time, event_id)), 6) AS obi
 FROM x_rev WHERE event_time <= {_T} AND ingest_time <= {_T} GROUP BY instrument""")
 def p1(spark, sf):
-    return store.features_as_of(views.revisions(spark, sf), views.AS_OF_MID).transform(pick, "instrument", "event_id", "snap(obi, 6) obi")
+    return store.features_as_of(views.revisions(spark, sf), views.AS_OF_MID, take=["event_id", "obi"]).transform(pick, "instrument", "event_id", "snap(obi, 6) obi")
 
 
 @query("p2_feature_history", """
@@ -236,7 +231,7 @@ SELECT instrument, epoch_us(event_time) AS event_us, count(*) AS versions, arg_m
   snap(arg_max(obi, (ingest_time, event_id)), 6) AS obi
 FROM x_rev WHERE event_time <= {_T} AND ingest_time <= {_T} GROUP BY instrument, event_time""")
 def p7(spark, sf):
-    return store.revisions_as_of(views.revisions(spark, sf), views.AS_OF_MID).transform(
+    return store.revisions_as_of(views.revisions(spark, sf), views.AS_OF_MID, take=["event_id", "obi"]).transform(
         pick, "instrument", "unix_micros(event_time) event_us", "versions", "event_id", "snap(obi, 6) obi")
 
 

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tapeworks.operators import ledger, ml, news, regime, research, slo
-from tapeworks.operators import quality
+from tapeworks.operators import ml, news, quality, regime, research, slo
 from tapeworks.plans import market, views
 from tapeworks.plans.accounting import trips
 from tapeworks.plans.registry import pick, query, shared
@@ -328,11 +327,14 @@ def w6(spark, sf):
     return out
 
 
-@query("w6_vpin_breakout")
+@query("w6_vpin_breakout", """
+SELECT instrument, CAST(CASE WHEN vpin > 0.1501 THEN sign(flow) ELSE 0 END AS INTEGER) AS way, count(*) AS n FROM (
+  SELECT instrument, flow, avg(abs(flow) / 200) OVER (PARTITION BY instrument ORDER BY bucket ROWS 49 PRECEDING) AS vpin FROM x_vpin)
+GROUP BY 1, 2""")
 def w6v(spark, sf):
     from tapeworks.operators.signals import vpin
     v = vpin(views.trade_ticks(spark, sf), bucket_volume=200.0)
-    return v.withColumn("way", research.STRATEGIES["vpin_breakout"](0.15)).groupBy("instrument", "way").agg(F.count("*").alias("n"))
+    return v.withColumn("way", research.STRATEGIES["vpin_breakout"](0.1501)).groupBy("instrument", "way").agg(F.count("*").alias("n"))
 
 
 @query("w7_composite", """

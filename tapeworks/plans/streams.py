@@ -35,6 +35,25 @@ def drain(stream: DataFrame, *, each_batch=None, mode: str = "append") -> DataFr
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
+@query("io7_tail_and_resume", """
+SELECT CASE WHEN k = 99 THEN '{bad' WHEN k = 98 THEN '[1,2]' END AS raw, count(*) AS n FROM x_feat GROUP BY 1""")
+def io7(spark, sf):
+    """Tail a topic of JSON lines with a durable checkpoint, stop, resume: nothing is read twice."""
+    from tapeworks.sources import readers, schemas
+    base = f"{durable_dir(spark)}/tail-{uuid.uuid4().hex}"
+    write = jobs.dead_letter_writer(f"{base}/good", f"{base}/bad", schemas.RAW_FEATURE, "features")
+    lines = views.raw_feature_json(spark, sf)
+    for early in (True, False):
+        part = lines.where((F.col("seq") < 500) if early else (F.col("seq") >= 500)).select("value")
+        part.write.mode("append").text(f"{base}/topic")
+        topic = readers.read_records(spark, f"{base}/topic", stream=True)
+        topic.writeStream.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(
+            write).start().awaitTermination()
+    good = spark.read.parquet(f"{base}/good").select(F.lit(None).cast("string").alias("raw"))
+    bad = spark.read.parquet(f"{base}/bad").select("raw")
+    return good.unionByName(bad).groupBy("raw").agg(F.count("*").alias("n"))
+
+
 @query("s1_stream_dedup", """
 SELECT execution_id, count(*) AS n FROM (SELECT DISTINCT coalesce(nullif(trim(execution_id), ''),
   concat_ws('|', order_id, ts, side, quantity, fill_price)) AS k, nullif(trim(execution_id), '') AS execution_id FROM x_checked WHERE reason IS NULL)

@@ -377,3 +377,15 @@ SELECT feature, half, least(CAST(floor((value - lo) / (hi - lo) * 10) AS BIGINT)
   SELECT feature, half, value, min(value) OVER (PARTITION BY feature) AS lo, max(value) OVER (PARTITION BY feature) AS hi FROM (
     SELECT CASE WHEN event_time >= TIMESTAMP '2024-01-15' THEN 1 ELSE 0 END AS half, abs(obi) AS abs_obi, momentum, volatility, volumeRatio AS volume_ratio
     FROM x_feat) UNPIVOT (value FOR feature IN (abs_obi, momentum, volatility, volume_ratio)))"""
+
+VIEWS["x_signed"] = """
+SELECT instrument, e - quantity AS s, e, coalesce(last_value(m IGNORE NULLS) OVER (
+    PARTITION BY instrument ORDER BY ts, tick_id ROWS UNBOUNDED PRECEDING), 1) AS way FROM (
+  SELECT *, sum(quantity) OVER w AS e, nullif(sign(price - lag(price) OVER w), 0) AS m FROM x_trades
+  WINDOW w AS (PARTITION BY instrument ORDER BY ts, tick_id))"""
+
+VIEWS["x_vpin"] = """
+SELECT instrument, bucket, sum(way * part) AS flow FROM (
+  SELECT instrument, bucket, way, least(e, (bucket + 1) * 200) - greatest(s, bucket * 200) AS part FROM (
+    SELECT *, unnest(range(CAST(floor(s / 200) AS BIGINT), CAST(ceil(e / 200) AS BIGINT))) AS bucket FROM x_signed))
+GROUP BY 1, 2 HAVING sum(part) >= 199.9999"""

@@ -28,16 +28,20 @@ def local_session(app: str = "tapeworks", cores: str = "8", partitions: int = 8)
     )
 
 
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def durable_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names; a temporary one only in local mode."""
-    path = spark.conf.get(CHECKPOINT_CONF, None)
+    context = spark.sparkContext
+    path = spark.conf.get(CHECKPOINT_CONF, None) or context.getConf().get(CHECKPOINT_CONF)
     if path:
-        return path
-    if not spark.sparkContext.master.startswith("local"):
+        return path.rstrip("/")
+    if not context.master.startswith("local"):
         raise ValueError(f"{CHECKPOINT_CONF} must name a shared folder on a cluster")
-    path = tempfile.mkdtemp(prefix="tapeworks-")
-    spark.conf.set(CHECKPOINT_CONF, path)
-    return path
+    if context.applicationId not in _LOCAL_DIRS:
+        _LOCAL_DIRS[context.applicationId] = tempfile.mkdtemp(prefix="tapeworks-")
+    return _LOCAL_DIRS[context.applicationId]
 
 
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
