@@ -17,6 +17,7 @@ from tapeworks.functions.numeric import ratio
 from tapeworks.functions.quantiles import exact_quantiles
 from tapeworks.functions.scan import running
 from tapeworks.operators.ledger import fifo_labels, fifo_match
+from tapeworks.session import materialize
 
 MIN_SAMPLES, RETRAIN_INTERVAL, TEST_SHARE = 30, 50, 0.2
 MAX_DEPTH, ROUNDS, LEARNING_RATE = 4, 100, 0.1
@@ -53,7 +54,8 @@ def attach_preceding_features(fills: DataFrame, features: DataFrame) -> DataFram
 
 def build_training_set(fills: DataFrame, features: DataFrame) -> DataFrame:
     """Labelled samples: features of the entry fill, outcome of its closed lot."""
-    known = attach_preceding_features(fills, features)
+    # matching scans these rows several times, and the samples join them again
+    known = materialize(attach_preceding_features(fills, features), "known")
     labels = fifo_labels(fifo_match(known))
     entry = engineer_features(known, time="feature_event_time").select(
         "instrument", F.col("execution_id").alias("entry_id"), "feature_event_time", *FEATURES)

@@ -14,6 +14,7 @@ from tapeworks.functions.numeric import ratio
 from tapeworks.functions.quantiles import average_ranks
 from tapeworks.functions.scan import framed, own_rows, running
 from tapeworks.operators.ledger import fifo_match, signed_positions
+from tapeworks.session import materialize
 
 FEE_BPS, SLIPPAGE_BPS = 5.0, 2.0
 THRESHOLDS = (0.5, 0.6, 0.7, 0.8)
@@ -169,7 +170,8 @@ def _combo_results(pos: DataFrame, key: list[str], initial_cash: float) -> DataF
 
 def parameter_sweep(features: DataFrame, *, thresholds=THRESHOLDS, sizes=SIZES, initial_cash: float = 100_000.0) -> DataFrame:
     """Fills, profit, hit rate, turnover and average hold of every combination."""
-    fills = sweep_fills(features, thresholds=thresholds, sizes=sizes)
+    # both ledgers scan the fills several times
+    fills = materialize(sweep_fills(features, thresholds=thresholds, sizes=sizes), "sweep")
     res = _combo_results(signed_positions(fills, key=("combo", "instrument")), ["combo"], initial_cash)
     hold = (F.unix_micros("exit_time") - F.unix_micros("entry_time")) / 1e6
     holds = fifo_match(fills, key=("combo", "instrument")).groupBy("combo").agg(F.avg(hold).alias("avg_hold_secs"))
@@ -197,7 +199,7 @@ def fold_results(features: DataFrame, *, folds: int = FOLDS, thresholds=THRESHOL
         .otherwise(F.array().cast("array<struct<fold:int,part:string>>")),
     )
     rows = chunked.withColumn("__r", F.explode(roles)).select("*", "__r.*").drop("__r")
-    fills = sweep_fills(rows, thresholds=thresholds, sizes=sizes, keep=("fold", "part"))
+    fills = materialize(sweep_fills(rows, thresholds=thresholds, sizes=sizes, keep=("fold", "part")), "folds")
     pos = signed_positions(fills, key=("fold", "part", "combo", "instrument"))
     return _combo_results(pos, ["fold", "part", "combo"], initial_cash)
 
