@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeworks.llm import mixing, packing, quality, simhash, token_counts
+from tapeworks.llm import hilbert, html_text, itq, licences, mixing, packing, quality, simhash, token_counts, wavelet
 from tapeworks.llm.queries_sql import ORACLES
+from tapeworks.session import durable_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -32,6 +34,25 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query("op1_wavelet_shards")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    path = f"{durable_dir(spark)}/wavelet-{uuid.uuid4().hex}"
+    wavelet.write(table(spark, sf, "documents"), path, word_bpe())
+    return wavelet.digest(wavelet.documents(spark.read.schema(wavelet.FIELDS).parquet(path)))
+
+
+@query("op2_itq_groups")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    return itq.groups(table(spark, sf, "embeddings"))
+
+
+@query("op3_hilbert_shards")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    return hilbert.assign(table(spark, sf, "documents")).select(
+        F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
 @query("op4_token_counts")
 def op4(spark: SparkSession, sf: str) -> DataFrame:
     n = token_counts.counts(table(spark, sf, "documents"), word_bpe())
@@ -43,6 +64,12 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
     return packing.digest(packing.pack(table(spark, sf, "documents"), word_bpe()))
 
 
+@query("op6_licence_rules")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    return licences.scan(table(spark, sf, "documents")).select(
+        "doc_id", "n_sentences", *[F.array_join(c, ",").alias(c) for c in ("found", "licences", "kinds")])
+
+
 @query("op7_line_frequency")
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     out = quality.verdicts(table(spark, sf, "documents"))
@@ -55,6 +82,11 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+@query("op9_text_density")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf, "pages"))
+
+
 @query("op10_pfair_mix")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     out = mixing.schedule(table(spark, sf, "documents"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tapeworks.llm import quality
+from tapeworks.llm import hilbert, licences, quality
 
 _SPACES = r"[\x20\x09-\x0D]"
 
@@ -40,3 +40,58 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
         OR 100 * n_removed_words > {quality.MAX_REMOVED_PCT} * n_words) AS kept, n_removed_words
 FROM f
 """
+
+
+def _text(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+_KNOWN = ", ".join(f"({_text(n)}, {_text(s)})" for n, s in licences.SENTENCES.items())
+_RULES = ", ".join(f"({_text(r.licence)}, {_text(r.kind)}, {_text('|' + '|'.join(r.sentences) + '|')})" for r in licences.RULES)
+
+ORACLES["op6_licence_rules"] = f"""
+WITH known(name, s) AS (VALUES {_KNOWN}), rules(licence, kind, seq) AS (VALUES {_RULES}),
+parts AS (SELECT doc_id, unnest(a) AS s, generate_subscripts(a, 1) AS i FROM (
+    SELECT doc_id, regexp_split_to_array(lower(coalesce(text, '')), '{licences.BREAK}') AS a FROM documents)),
+clean AS (SELECT doc_id, i, regexp_replace(trim(regexp_replace(s, '{licences.NOISE}', ' ', 'g')), '[.]+( |$)', '\\1', 'g') AS s FROM parts),
+n AS (SELECT doc_id, count(*)::BIGINT AS n_sentences FROM clean WHERE s <> '' GROUP BY doc_id),
+hits AS (SELECT doc_id, string_agg(name, ',' ORDER BY i) AS found FROM clean JOIN known USING (s) GROUP BY doc_id),
+met AS (SELECT doc_id, string_agg(DISTINCT licence, ',' ORDER BY licence) AS licences, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds
+    FROM hits JOIN rules ON contains('|' || replace(found, ',', '|') || '|', seq) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_sentences, 0)::BIGINT AS n_sentences, coalesce(found, '') AS found, coalesce(licences, '') AS licences, coalesce(kinds, '') AS kinds
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN hits USING (doc_id) LEFT JOIN met USING (doc_id)
+"""
+
+_CRC = []
+for _b in range(256):
+    for _ in range(8):
+        _b = (_b >> 1) ^ (0xEDB88320 if _b & 1 else 0)
+    _CRC.append(_b)
+
+
+def _hilbert_sql(dims: tuple[str, ...] = ("lang", "source", "n_chars"), bits: int = hilbert.BITS, shards: int = hilbert.SHARDS) -> str:
+    step, follow = hilbert.curve_table(len(dims))
+    width = 2 * hilbert.PREFIX_BYTES
+    axis = {"lang": 1, "source": 1}
+    keys = [f"('0x' || rpad(substr(hex(encode({d})), 1, {width}), {width}, '0'))::BIGINT" if d in axis else d for d in dims]
+    cuts = ", ".join(f"list_sort(list_distinct(quantile_disc(d{i}, [{', '.join(str(k / (1 << bits)) for k in range(1, 1 << bits))}]))) AS q{i}" for i in range(len(dims)))
+    cells = ", ".join(f"len(list_filter(q{i}, x -> x <= d{i})) AS c{i}" for i in range(len(dims)))
+    sql = f"""WITH b AS (SELECT doc_id, coalesce(text, '') AS t, {', '.join(f'{k} AS d{i}' for i, k in enumerate(keys))} FROM documents),
+cut AS (SELECT {cuts}, count(*) AS n FROM b),
+l{bits} AS (SELECT doc_id, t, n, {cells}, 0::BIGINT AS h, 0 AS s FROM b, cut)"""
+    for k in range(bits - 1, -1, -1):
+        digit = " + ".join(f"((c{i} >> {k}) & 1) * {1 << i}" for i in range(len(dims)))
+        sql += f""",
+m{k} AS (SELECT *, s * {1 << len(dims)} + {digit} + 1 AS pos FROM l{k + 1}),
+l{k} AS (SELECT * EXCLUDE (h, s, pos), h * {1 << len(dims)} + {list(step)}[pos] AS h, {list(follow)}[pos] AS s FROM m{k})"""
+    return sql + f""",
+bytes AS (SELECT doc_id, h, n, octet_length(encode(t))::BIGINT + 1 AS size, hex(encode(t)) AS x FROM l0),
+crc AS (SELECT doc_id, h, n, size, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(0, len(x), 2),
+    lambda i: ('0x' || substr(x, i + 1, 2))::BIGINT)), lambda c, v: xor(c >> 8, {_CRC}[(xor(c, v) & 255) + 1]))) AS text_crc32 FROM bytes),
+r AS (SELECT *, row_number() OVER (ORDER BY h, text_crc32, doc_id) - 1 AS rank FROM crc),
+sh AS (SELECT *, rank * {shards} // n AS shard FROM r)
+SELECT doc_id, size, text_crc32::BIGINT AS text_crc32, 'rows' AS law, shard::INT AS shard,
+    (rank - (shard * n + {shards - 1}) // {shards})::BIGINT AS slot, NULL::INT AS grown_shard, h::BIGINT AS curve FROM sh"""
+
+
+ORACLES["op3_hilbert_shards"] = _hilbert_sql()
