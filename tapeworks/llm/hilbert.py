@@ -80,6 +80,12 @@ def _axis(df: DataFrame, name: str) -> Column:
     return c.cast("double") if isinstance(kind, (T.FloatType, T.DoubleType, T.DecimalType)) else c.cast("long")
 
 
+def _cell(axis: Column, cuts: list | None) -> Column:
+    """How many cuts are at or below the value; a null is below them all."""
+    values = F.array(*[F.lit(x) for x in sorted(set(cuts or []))]) if cuts else F.array().cast("array<long>")
+    return F.coalesce(F.size(F.filter(values, lambda x: x <= axis)), F.lit(0))
+
+
 def assign(docs: DataFrame, *, dims: tuple[str, ...] = ("lang", "source", "n_chars"), id_col: str = "doc_id", text_col: str = "text",
            shards: int = SHARDS, bits: int = BITS) -> DataFrame:
     """One row per row of docs: row key, id, size (UTF-8 bytes + 1), text_crc32, curve, shard, slot.
@@ -100,13 +106,7 @@ def assign(docs: DataFrame, *, dims: tuple[str, ...] = ("lang", "source", "n_cha
     slim = materialize(slim, "curve")
     probs = [i / (1 << bits) for i in range(1, 1 << bits)]
     found = slim.agg(*[F.percentile_approx(f"__d{i}", probs, 10_000).alias(f"q{i}") for i in range(len(dims))], F.count("*").alias("n")).first()
-    cells = []
-    for i in range(len(dims)):
-        cuts = sorted(set(found[f"q{i}"] or []))
-        values = F.array(*[F.lit(x) for x in cuts]) if cuts else F.array().cast("array<long>")
-        # a null is below every cut
-        cells.append(F.coalesce(F.size(F.filter(values, lambda x, i=i: x <= F.col(f"__d{i}"))), F.lit(0)))
-    slim = slim.withColumns({f"__c{i}": c for i, c in enumerate(cells)})
+    slim = slim.withColumns({f"__c{i}": _cell(F.col(f"__d{i}"), found[f"q{i}"]) for i in range(len(dims))})
     slim = slim.withColumn("curve", curve_index([F.col(f"__c{i}") for i in range(len(dims))], bits))
     slim = slim.drop(*[f"__{x}{i}" for i in range(len(dims)) for x in "dc"])
     ranked = running_before(slim, ["curve", "text_crc32", "id", KEY[1]], {"rank": F.lit(1)})

@@ -100,7 +100,7 @@ def verdicts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     seen = held.groupBy("host", "h").agg(F.count("*").alias("n"), F.min("id").alias("first_id")).where(F.col("n") > min_docs)
     sizes = stats.groupBy("host", "copy").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("of"))
     above = seen.join(sizes, "host").where(100 * F.col("n") > max_share_pct * F.col("of")).select("host", "h", "first_id")
-    marked = line.join(above, ["host", "h"]).where(~F.col("id").eqNullSafe(F.col("first_id")))
+    marked = line.join(above, ["host", "h"]).where(F.coalesce(F.col("id") != F.col("first_id"), F.lit(True)))
     # a row that is there c times has c times the sum, and c times the count of its copies
     lost = marked.groupBy(*KEY).agg(F.sum("w").alias("lost"))
     times = stats.join(lost.select(*KEY), list(KEY), "left_semi").groupBy(*KEY).agg(F.count("*").alias("c"))

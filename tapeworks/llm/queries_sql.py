@@ -10,7 +10,7 @@ ORACLES: dict[str, str] = {}
 
 ORACLES["op7_line_frequency"] = rf"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
-w AS (SELECT doc_id, list_filter(regexp_split_to_array(t, '{_SPACES}+'), x -> x <> '') AS ws FROM d),
+w AS (SELECT doc_id, list_filter(regexp_split_to_array(t, '{_SPACES}+'), lambda x: x <> '') AS ws FROM d),
 win AS (SELECT doc_id, unnest(range(1, len(ws) - {quality.WINDOW} + 2)) AS i, ws FROM w WHERE len(ws) >= {quality.WINDOW}),
 win2 AS (SELECT doc_id, i, array_to_string(list_slice(ws, i, i + {quality.WINDOW} - 1), ' ') AS g FROM win),
 rep AS (SELECT doc_id, g FROM win2 GROUP BY doc_id, g HAVING count(*) > 1),
@@ -75,7 +75,7 @@ def _hilbert_sql(dims: tuple[str, ...] = ("lang", "source", "n_chars"), bits: in
     axis = {"lang": 1, "source": 1}
     keys = [f"('0x' || rpad(substr(hex(encode({d})), 1, {width}), {width}, '0'))::BIGINT" if d in axis else d for d in dims]
     cuts = ", ".join(f"list_sort(list_distinct(quantile_disc(d{i}, [{', '.join(str(k / (1 << bits)) for k in range(1, 1 << bits))}]))) AS q{i}" for i in range(len(dims)))
-    cells = ", ".join(f"len(list_filter(q{i}, x -> x <= d{i})) AS c{i}" for i in range(len(dims)))
+    cells = ", ".join(f"len(list_filter(q{i}, lambda x: x <= d{i})) AS c{i}" for i in range(len(dims)))
     sql = f"""WITH b AS (SELECT doc_id, coalesce(text, '') AS t, {', '.join(f'{k} AS d{i}' for i, k in enumerate(keys))} FROM documents),
 cut AS (SELECT {cuts}, count(*) AS n FROM b),
 l{bits} AS (SELECT doc_id, t, n, {cells}, 0::BIGINT AS h, 0 AS s FROM b, cut)"""

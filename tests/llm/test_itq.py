@@ -13,7 +13,9 @@ def brute(rows, threshold=0.9):
     good = {}
     for k, (_, v) in enumerate(rows):
         if v is not None and len(v) and all(x is not None and np.isfinite(x) for x in v) and any(v):
-            good[k] = np.array(v, np.float64) / np.linalg.norm(np.array(v, np.float64))
+            x = np.array(v, np.float64)
+            x /= np.abs(x).max()
+            good[k] = x / np.linalg.norm(x)
     pairs = [(a, b) for a in good for b in good if b < a and good[a] @ good[b] >= threshold]
     root = union(len(rows), pairs)
     links, least = np.zeros(len(rows), int), {}
