@@ -144,11 +144,12 @@ def drawdown_points(equity: DataFrame, *, initial_cash: float = INITIAL_CASH, ti
 
 
 def drawdown_summary(points: DataFrame, *, as_of, time="ts", uid="execution_id") -> DataFrame:
-    """Worst drawdown, longest recovered one and the age of the open one.
+    """Worst drawdown, longest recovered one and the age of the open one, up to as_of.
 
     Peaks only rise, so the peak value names the island between two new peaks.
     """
-    islands = points.groupBy("peak").agg(
+    asof = F.lit(as_of).cast("timestamp")
+    islands = points.where(F.col(time) <= asof).groupBy("peak").agg(
         F.min(F.struct(time, uid)).alias("first"),
         F.min(F.when(F.col("drawdown_pct") > DRAWDOWN_START, F.col(time))).alias("dd_start"),
         F.max(F.struct("drawdown_pct", "drawdown")).alias("worst"),
@@ -156,7 +157,6 @@ def drawdown_summary(points: DataFrame, *, as_of, time="ts", uid="execution_id")
     # the island after this one starts with the recovery
     linked = running(islands, {"recovered": ("lag", F.col("t"))}, order=["peak"], descending=True)
     length = F.unix_micros("recovered") / 1e6 - F.unix_micros("dd_start") / 1e6
-    asof = F.lit(as_of).cast("timestamp")
     open_len = F.unix_micros(asof) / 1e6 - F.unix_micros("dd_start") / 1e6
     return linked.agg(
         F.max("worst").alias("w"),

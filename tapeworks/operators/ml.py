@@ -201,8 +201,8 @@ def psi(expected: DataFrame, actual: DataFrame, *, features: list[str], bins: in
 
 
 def confidence_distribution(scored: DataFrame, *, value="confidence", time="ts", uid="execution_id",
-                            last_n: int | None = 500) -> DataFrame:
-    """Mean, median, 90th percentile and range of the newest confidences."""
+                            last_n: int | None = None) -> DataFrame:
+    """Mean, median, 90th percentile and range of the confidences, or of the newest last_n."""
     if last_n:
         scored = running(scored.select(value, time, uid), {"__k": ("count", F.lit(1))}, order=[time, uid],
                          descending=True).where(F.col("__k") <= last_n)

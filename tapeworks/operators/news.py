@@ -10,16 +10,16 @@ from tapeworks.operators.ledger import recent
 
 HALF_LIFE_SECS = 1800.0
 WINDOW = "2 hours"
-HEADLINE_CHARS = 200
-COINS = ("btc", "eth")
-# Characters a headline may keep, and the accepted labels.
+# The scored coins, characters a headline may keep, and the accepted labels.
+COINS = ("btc", "eth", "sol", "xrp", "doge")
 UNSAFE = r"[^a-zA-Z0-9\s.,;:!?'&$%#@\-+()/]"
 LABELS = ["bullish", "bearish", "neutral"]
 
 
-def sanitize(title: Column) -> Column:
-    """Drop unsafe characters, then keep the length a headline prompt may have."""
-    return F.substring(F.regexp_replace(title, UNSAFE, ""), 1, HEADLINE_CHARS)
+def sanitize(title: Column, chars: int | None = None) -> Column:
+    """Drop unsafe characters; a prompt that can take only so many characters says so."""
+    clean = F.regexp_replace(title, UNSAFE, "")
+    return F.substring(clean, 1, chars) if chars else clean
 
 
 def parse_response(df: DataFrame, *, response: str = "response", coins=COINS) -> DataFrame:
@@ -59,12 +59,15 @@ def score_label(score: Column) -> Column:
 
 
 def retained(df: DataFrame, as_of, *, window: str = WINDOW) -> DataFrame:
+    """The headlines of the window that ends at as_of; later ones are not known yet."""
     t = F.lit(as_of).cast("timestamp")
-    return df.where(F.col("processed_at") > t - F.expr(f"interval {window}"))
+    return df.where((F.col("processed_at") > t - F.expr(f"interval {window}")) & (F.col("processed_at") <= t))
 
 
-def sentiment(parsed: DataFrame, as_of, *, coins=COINS, half_life: float = HALF_LIFE_SECS) -> DataFrame:
-    """Recency- and confidence-weighted score per coin; unclassified headlines are only counted."""
+def sentiment(parsed: DataFrame, as_of, *, coins=COINS, half_life: float = HALF_LIFE_SECS, window: str = WINDOW) -> DataFrame:
+    """Recency- and confidence-weighted score per coin over the window up to as_of;
+    unclassified headlines are only counted."""
+    parsed = retained(parsed, as_of, window=window)
     t = F.unix_micros(F.lit(as_of).cast("timestamp"))
     age = (t - F.unix_micros("processed_at")) / 1e6
     w = F.exp(-age * F.ln(F.lit(2.0)) / half_life)

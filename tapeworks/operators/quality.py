@@ -148,7 +148,7 @@ def dedup_events(df: DataFrame, *, order: list[str], event_id: str = "event_id")
 
 
 def title_hash(title: Column) -> Column:
-    return F.substring(F.sha2(title, 256), 1, 16)
+    return F.sha2(title, 256)
 
 
 def dedup_headlines(df: DataFrame, *, order: list[str]) -> DataFrame:

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import factorial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeworks.functions.numeric import clamp, ratio
@@ -15,7 +16,6 @@ from tapeworks.functions.scan import running
 YEAR_HOURS = 8760.0
 ZERO_STD = 0.001
 SHARPE_HOURS = (1, 6, 24)
-RETURNS_WINDOW = 500
 MIN_RETURNS = 5
 Z_95, Z_99 = 1.645, 2.326
 
@@ -30,8 +30,8 @@ def _age_hours(time: str, as_of) -> Column:
 
 
 def rolling_ratios(equity: DataFrame, *, as_of, hours=SHARPE_HOURS, time="ts") -> DataFrame:
-    """Sharpe and Sortino ratios for each look-back in hours, all in one pass."""
-    changes = change_series(equity).withColumn("__age", _age_hours(time, as_of))
+    """Sharpe and Sortino ratios for each look-back in hours, all in one pass; nothing after as_of counts."""
+    changes = change_series(equity).withColumn("__age", _age_hours(time, as_of)).where(F.col("__age") >= 0)
     # a row counts in every look-back that covers it
     covered = F.array_compact(F.array(*[F.when(F.col("__age") <= h, F.lit(h)) for h in hours]))
     per = changes.select("change", F.explode(covered).alias("hours")).groupBy("hours").agg(
@@ -113,8 +113,8 @@ def trade_stats(trips: DataFrame) -> DataFrame:
 
 def calmar(equity: DataFrame, drawdown: DataFrame, *, as_of, initial_cash: float, time="ts",
            uid="execution_id") -> DataFrame:
-    """Annualized return over the worst drawdown share."""
-    e = equity.agg(
+    """Annualized return over the worst drawdown share, from what happened up to as_of."""
+    e = equity.where(F.col(time) <= F.lit(as_of).cast("timestamp")).agg(
         F.min(time).alias("start"), F.count("*").alias("points"),
         F.max_by("value", F.struct(time, uid)).alias("last_value"), F.lit(1).alias("one"),
     )
@@ -169,9 +169,9 @@ def by_instrument(positions: DataFrame, *, time="ts", uid="execution_id") -> Dat
     )
 
 
-def ranked_returns(trips: DataFrame, *, last_n: int | None = RETURNS_WINDOW, time="time",
+def ranked_returns(trips: DataFrame, *, last_n: int | None = None, time="time",
                    uid="execution_id") -> DataFrame:
-    """Each instrument's returns numbered from the newest, cut to the statistical window."""
+    """Each instrument's returns numbered from the newest; the newest last_n only if the caller says so."""
     r = running(
         trips.select("instrument", F.col("net_pnl").alias("ret"), time, uid),
         {"pos": ("count", F.lit(1))}, key=["instrument"], order=[time, uid], descending=True,
@@ -180,6 +180,7 @@ def ranked_returns(trips: DataFrame, *, last_n: int | None = RETURNS_WINDOW, tim
 
 
 _CHUNK = 256
+PAIR_BLOCK = 256
 _PAIR = "a string, b string, n long, sa double, sb double, saa double, sbb double, sab double"
 
 
@@ -188,7 +189,11 @@ def _pair_sums(pdf: pd.DataFrame) -> pd.DataFrame:
     names = wide.columns.to_numpy()
     have = wide.notna().to_numpy().astype(float)
     x = np.nan_to_num(wide.to_numpy(dtype=float))
+    block = pdf.drop_duplicates("instrument").set_index("instrument")["block"].reindex(names).to_numpy()
     i, j = np.triu_indices(len(names), 1)
+    # a tile of two blocks makes the pairs between them, a tile of one those inside
+    own = (block[i] != block[j]) | (pdf["bi"].iloc[0] == pdf["bj"].iloc[0])
+    i, j = i[own], j[own]
     n, s, ss, xy = have.T @ have, x.T @ have, (x * x).T @ have, x.T @ x
     out = pd.DataFrame({
         "a": names[i], "b": names[j], "n": n[i, j].astype("int64"), "sa": s[i, j], "sb": s[j, i],
@@ -197,14 +202,21 @@ def _pair_sums(pdf: pd.DataFrame) -> pd.DataFrame:
     return out[out["n"] > 0]
 
 
-def pair_correlations(ranked: DataFrame, *, floor: float = ZERO_STD) -> DataFrame:
+def pair_correlations(ranked: DataFrame, *, floor: float = ZERO_STD, block: int = PAIR_BLOCK) -> DataFrame:
     """Population correlation of every instrument pair, aligned from the newest return back.
 
-    Slices of the aligned series are multiplied as matrices, so a slice sends one row per
-    pair and never one row per pair and time.
+    Instruments are dealt into blocks of about `block`; a task multiplies one slice of the
+    aligned series for two blocks as matrices. It sends one row per pair of its tile, and never
+    one row per pair and time.
     """
-    sliced = ranked.select("instrument", "pos", "ret", F.floor(F.col("pos") / _CHUNK).alias("slice"))
-    sums = sliced.groupBy("slice").applyInPandas(lambda pdf: _pair_sums(pdf), _PAIR)
+    count = ranked.select("instrument").distinct().count()
+    blocks = max(1, -(-count // block))
+    own = F.pmod(F.xxhash64("instrument"), F.lit(blocks)).cast("int")
+    tiles = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda k: F.struct(
+        F.least("block", k).alias("bi"), F.greatest("block", k).alias("bj")))
+    sliced = ranked.select("instrument", "pos", "ret", F.floor(F.col("pos") / _CHUNK).alias("slice"), own.alias("block"))
+    sliced = sliced.withColumn("t", F.explode(tiles)).select("instrument", "pos", "ret", "slice", "block", "t.bi", "t.bj")
+    sums = sliced.groupBy("slice", "bi", "bj").applyInPandas(lambda pdf: _pair_sums(pdf), _PAIR)
     t = sums.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")])
     n = F.col("n")
 
@@ -248,15 +260,11 @@ def portfolio_construction(ranked: DataFrame, *, time="time") -> DataFrame:
 
     Empty when fewer than two instruments are usable or all volatilities are equal.
     """
-    # one row per instrument from here on, so whole-frame windows are small
-    every = Window.partitionBy()
     counts = ranked.groupBy("instrument").agg(F.count("*").alias("m"), F.max(time).alias("t")).where(
         F.col("m") >= MIN_RETURNS
     )
-    usable = counts.select(
-        "instrument", F.min("m").over(every).alias("n"), F.count("*").over(every).alias("k"),
-        F.max("t").over(every).alias("as_of"),
-    ).where(F.col("k") >= 2)
+    usable = _with_totals(
+        counts, F.min("m").alias("n"), F.count("*").alias("k"), F.max("t").alias("as_of")).where(F.col("k") >= 2)
     tails = ranked.join(usable, "instrument").where(F.col("pos") <= F.col("n"))
     basket = tails.groupBy("pos").agg(F.avg("ret").alias("basket"))
     per = tails.join(basket, "pos").groupBy("instrument").agg(
@@ -265,28 +273,33 @@ def portfolio_construction(ranked: DataFrame, *, time="time") -> DataFrame:
         F.first("n").alias("n"), F.first("as_of").alias("as_of"),
     )
     per = per.withColumn("raw", 1 / F.greatest("vol", F.lit(_EPS)))
-    per = per.withColumn("signed", F.col("raw") - F.avg("raw").over(every))
-    per = per.withColumn("gross", F.sum(F.abs("signed")).over(every)).where(F.col("gross") > _EPS)
+    per = _with_totals(per, F.avg("raw").alias("mid")).withColumn("signed", F.col("raw") - F.col("mid"))
+    per = _with_totals(per, F.sum(F.abs("signed")).alias("gross")).where(F.col("gross") > _EPS)
     per = per.withColumn("weight", F.col("signed") / F.col("gross"))
     load = F.abs("weight") * F.col("vol")
     usable_corr = (F.col("vol") > _EPS) & (F.col("basket_std") > _EPS)
     corr = F.when(usable_corr, clamp(ratio(F.col("cov"), F.col("vol") * F.col("basket_std")), -1.0, 1.0))
-    total = F.sum(load).over(every)
+    per = _with_totals(
+        per, F.sum(load).alias("total"), F.avg(corr).alias("market"), F.avg("mean").alias("momentum"), F.avg("vol").alias("volatility"))
+    total = F.col("total")
     return per.select(
         "instrument", "weight",
         F.when(total > _EPS, load / total).otherwise(0.0).alias("risk_contribution"),
-        F.coalesce(F.avg(corr).over(every), F.lit(0.0)).alias("market"),
-        F.avg("mean").over(every).alias("momentum"), F.avg("vol").over(every).alias("volatility"),
-        "n", "as_of",
+        F.coalesce("market", F.lit(0.0)).alias("market"), "momentum", "volatility", "n", "as_of",
     )
 
 
+def _with_totals(df: DataFrame, *totals: Column) -> DataFrame:
+    """Each row with figures over the whole frame: one row, joined back."""
+    one = df.agg(*totals, F.lit(1).alias("one"))
+    return df.withColumn("one", F.lit(1)).join(one, "one").drop("one")
+
+
 SIMULATIONS = 5000
 PRIME = 2**31 - 1
-# Poisson(1) distribution function, as thresholds on a uniform integer below PRIME
-POISSON_STEPS = [
-    int(c * PRIME) for c in np.cumsum([np.exp(-1.0) / f for f in (1, 1, 2, 6, 24, 120, 720, 5040, 40320)])
-]
+# Poisson(1) distribution function, as thresholds on a uniform integer below PRIME, until it
+# can't be told from 1
+POISSON_STEPS = [s for s in (int(c * PRIME) for c in np.cumsum([np.exp(-1.0) / factorial(k) for k in range(20)])) if s < PRIME - 1]
 
 
 def _uniform(h: np.ndarray, s: np.ndarray) -> np.ndarray:
@@ -305,13 +318,12 @@ def bootstrap_moments(trips: DataFrame, *, id_hash: Column, n_sims: int = SIMULA
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sims = np.arange(n_sims, dtype=np.int64)
         sums = np.zeros((3, n_sims))
+        steps = np.array(POISSON_STEPS, dtype=np.int64)
         for pdf in batches:
             h, r = pdf["h"].to_numpy(), pdf["r"].to_numpy()
             for at in range(0, len(h), 64):
                 u = _uniform(h[at:at + 64, None], sims[None, :])
-                w = np.zeros(u.shape)
-                for step in POISSON_STEPS:
-                    w += u >= step
+                w = np.searchsorted(steps, u, side="right").astype(float)
                 part = r[at:at + 64]
                 sums += np.stack([np.ones_like(part), part, part * part]) @ w
         yield pd.DataFrame({"sim": sims, "w": sums[0], "wr": sums[1], "wrr": sums[2]})

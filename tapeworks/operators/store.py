@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeworks.functions.scan import running
+from tapeworks.session import materialize
 
-HISTORY_LIMIT, HISTORY_MAX = 50, 1000
+HISTORY_LIMIT = 50
 
 
 def known_at() -> Column:
@@ -15,9 +16,11 @@ def known_at() -> Column:
     return F.greatest("event_time", "ingest_time")
 
 
-def _visible(as_of) -> Column:
+def _visible(store: DataFrame, as_of) -> Column:
+    """Both clocks allow the row at T; a store partitioned by event date is pruned to the days up to T."""
     t = F.lit(as_of).cast("timestamp")
-    return (F.col("event_time") <= t) & (F.col("ingest_time") <= t)
+    seen = (F.col("event_time") <= t) & (F.col("ingest_time") <= t)
+    return seen & (F.col("event_date") <= F.to_date(t)) if "event_date" in store.columns else seen
 
 
 def features_as_of(store: DataFrame, as_of, *, instrument: str | None = None, uid="event_id",
@@ -26,7 +29,7 @@ def features_as_of(store: DataFrame, as_of, *, instrument: str | None = None, ui
 
     `take` names the wanted columns, so that only they are read.
     """
-    seen = store.where(_visible(as_of))
+    seen = store.where(_visible(store, as_of))
     if instrument is not None:
         seen = seen.where(F.col("instrument") == instrument)
     rest = [c for c in take or store.columns if c != "instrument"]
@@ -38,7 +41,7 @@ def features_as_of(store: DataFrame, as_of, *, instrument: str | None = None, ui
 
 
 def feature_history(store: DataFrame, instrument: str, *, limit: int = HISTORY_LIMIT, uid="event_id") -> DataFrame:
-    n = min(max(limit, 1), HISTORY_MAX)
+    n = max(limit, 1)
     return store.where(F.col("instrument") == instrument).orderBy(
         F.desc("ingest_time"), F.desc("event_time"), F.desc(uid)
     ).limit(n)
@@ -62,8 +65,9 @@ def pit_join(spine: DataFrame, store: DataFrame, *, take: list[str], at: str = "
     """
     version = F.struct("event_time", "ingest_time", F.col(uid).cast("string").alias("id"),
                        F.struct(*take).alias("p"))
+    when = F.col("known_at") if "known_at" in store.columns else known_at()
     right = store.select(
-        "instrument", known_at().alias("__t"), F.lit(0).alias("__side"), F.col(uid).cast("string").alias("__u"),
+        "instrument", when.alias("__t"), F.lit(0).alias("__side"), F.col(uid).cast("string").alias("__u"),
         version.alias("__v"), F.lit(None).alias("__row"),
     )
     own = [c for c in spine.columns if c != "instrument"]
@@ -84,7 +88,7 @@ def pit_join(spine: DataFrame, store: DataFrame, *, take: list[str], at: str = "
 
 def training_window(store: DataFrame, as_of) -> DataFrame:
     """Every row both clocks allow at T."""
-    return store.where(_visible(as_of))
+    return store.where(_visible(store, as_of))
 
 
 def lookahead_audit(joined: DataFrame, *, at: str = "decision_time") -> DataFrame:
@@ -100,22 +104,22 @@ def revisions_as_of(store: DataFrame, as_of, *, uid="event_id", take: list[str]
     """Of several versions of one event time, the latest that is visible at T."""
     rest = [c for c in take or store.columns if c not in ("instrument", "event_time")]
     return (
-        store.where(_visible(as_of)).groupBy("instrument", "event_time")
+        store.where(_visible(store, as_of)).groupBy("instrument", "event_time")
         .agg(F.max_by(F.struct(*rest), F.struct("ingest_time", uid)).alias("r"), F.count("*").alias("versions"))
         .select("instrument", "event_time", "versions", "r.*")
     )
 
 
 def new_rows(batch: DataFrame, store: DataFrame, *, uid="event_id") -> DataFrame:
-    """First arrivals of a batch that the store does not hold yet; rows without an id always are."""
+    """First arrivals of a batch that the store does not hold yet; rows without an id always are.
+
+    An id is unique whatever its date, so all ids of the store are looked at: one narrow column,
+    joined by its hash. The batch is written once, as it is read for named and unnamed rows.
+    """
     from tapeworks.operators.quality import dedup_events
 
-    first = dedup_events(batch, order=["ingest_time", "event_time"], event_id=uid)
-    if "event_date" in store.columns:
-        # an id keeps its event time, so only the batch's own dates can hold it
-        days = [r[0] for r in first.select(F.to_date("event_time")).distinct().collect()]
-        store = store.where(F.col("event_date").isin(days)) if days else store.limit(0)
-    named = first.where(F.col(uid).isNotNull()).join(store.select(uid), uid, "left_anti")
+    first = materialize(dedup_events(batch, order=["ingest_time", "event_time"], event_id=uid), "batch")
+    named = first.where(F.col(uid).isNotNull()).join(store.select(uid).where(F.col(uid).isNotNull()), uid, "left_anti")
     return named.unionByName(first.where(F.col(uid).isNull()))
 
 

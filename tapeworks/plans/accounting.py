@@ -188,19 +188,20 @@ def v6(spark, sf):
 
 
 @query("v7_extract_record", """
-SELECT quarantined, count(*) AS n FROM (SELECT k IN (88, 89) AS quarantined FROM x_feat WHERE k NOT IN (98, 99)) GROUP BY 1""")
+SELECT CASE WHEN k % 25 = 1 THEN NULL ELSE event_id END AS event_id, CASE WHEN k <> 89 THEN instrument END AS instrument,
+  CASE WHEN k <> 88 THEN epoch_us(event_time) END AS event_us, k IN (88, 89) AS quarantined FROM x_feat WHERE k NOT IN (98, 99)""")
 def v7(spark, sf):
     f = readers.read_features(views.raw_feature_json(spark, sf))
-    return quality.extract_record(f).groupBy("quarantined").agg(F.count("*").alias("n"))
+    return quality.extract_record(f).transform(pick, "event_id", "instrument", "unix_micros(event_time) event_us", "quarantined")
 
 
 @query("v8_validate_features", """
-SELECT reason, count(*) AS n FROM (SELECT CASE k WHEN 89 THEN 'missing_instrument' WHEN 87 THEN 'missing_values'
+SELECT CASE WHEN k % 25 = 1 THEN NULL ELSE event_id END AS event_id, epoch_us(ingest_time) AS ingest_us, CASE k WHEN 89 THEN 'missing_instrument' WHEN 87 THEN 'missing_values'
   WHEN 92 THEN 'missing_obi' WHEN 90 THEN 'non_numeric_obi' WHEN 91 THEN 'nan_inf_obi' END AS reason
-  FROM x_feat WHERE k NOT IN (98, 99)) GROUP BY reason""")
+  FROM x_feat WHERE k NOT IN (98, 99)""")
 def v8(spark, sf):
     f = readers.read_features(views.raw_feature_json(spark, sf))
-    return quality.validate_features(f).groupBy("reason").agg(F.count("*").alias("n"))
+    return quality.validate_features(f).transform(pick, "event_id", "unix_micros(ingest_time) ingest_us", "reason")
 
 
 @query("v9_coerce_values", """
@@ -300,7 +301,7 @@ def d3(spark, sf):
 
 
 @query("d4_headline_dedup", """
-SELECT headline_id, substr(sha256(title), 1, 16) AS title_hash FROM (
+SELECT headline_id, sha256(title) AS title_hash FROM (
   SELECT *, row_number() OVER (PARTITION BY title ORDER BY processed_at, headline_id) AS n FROM x_head) WHERE n = 1""")
 def d4(spark, sf):
     return quality.dedup_headlines(views.headlines(spark, sf), order=["processed_at", "headline_id"]).select("headline_id", "title_hash")
@@ -350,17 +351,26 @@ def a6(spark, sf):
     return drawdowns(spark, sf).transform(pick, "execution_id", "snap(peak, 4) peak", "snap(drawdown, 4) drawdown", "snap(drawdown_pct, 8) drawdown_pct")
 
 
-@query("a6_drawdown_summary", """
-SELECT (SELECT snap(arg_max(dd, (dd_pct, dd)), 4) FROM x_dd) AS max_drawdown, (SELECT snap(max(dd_pct), 8) FROM x_dd) AS max_drawdown_pct,
+_DRAWDOWN = """
+SELECT (SELECT snap(arg_max(dd, (dd_pct, dd)), 4) FROM x_dd WHERE ts <= TIMESTAMP '{t}') AS max_drawdown,
+  (SELECT snap(max(dd_pct), 8) FROM x_dd WHERE ts <= TIMESTAMP '{t}') AS max_drawdown_pct,
   coalesce(snap(max(epoch_us(nxt) - epoch_us(dd_start)) / 1e6, 4), 0) AS max_secs,
-  coalesce(snap(max(CASE WHEN nxt IS NULL THEN epoch_us(TIMESTAMP '2024-01-31') - epoch_us(dd_start) END) / 1e6, 4), 0) AS open_secs
+  coalesce(snap(max(CASE WHEN nxt IS NULL THEN epoch_us(TIMESTAMP '{t}') - epoch_us(dd_start) END) / 1e6, 4), 0) AS open_secs
 FROM (SELECT dd_start, lead(t) OVER (ORDER BY t) AS nxt FROM (
-  SELECT min(ts) AS t, min(ts) FILTER (WHERE dd_pct > 1e-4) AS dd_start FROM x_dd GROUP BY peak))""")
-def a6s(spark, sf):
-    return ledger.drawdown_summary(drawdowns(spark, sf), as_of=views.AS_OF).transform(pick, "snap(max_drawdown, 4) max_drawdown", "snap(max_drawdown_pct, 8) max_drawdown_pct",
+  SELECT min(ts) AS t, min(ts) FILTER (WHERE dd_pct > 1e-4) AS dd_start FROM x_dd WHERE ts <= TIMESTAMP '{t}' GROUP BY peak))"""
+
+
+@query("a6_drawdown_summary", _DRAWDOWN.format(t=views.AS_OF))
+def a6s(spark, sf, as_of=views.AS_OF):
+    return ledger.drawdown_summary(drawdowns(spark, sf), as_of=as_of).transform(pick, "snap(max_drawdown, 4) max_drawdown", "snap(max_drawdown_pct, 8) max_drawdown_pct",
         "snap(max_dd_duration_secs, 4) max_secs", "snap(current_dd_duration_secs, 4) open_secs")
 
 
+@query("a6_drawdown_summary_mid", _DRAWDOWN.format(t=views.AS_OF_MID))
+def a6s_mid(spark, sf):
+    return a6s(spark, sf, views.AS_OF_MID)
+
+
 @query("a7_unrealized", """
 SELECT execution_id, snap(qn * fill_price, 5) AS market_value, snap(qn * (fill_price - an), 5) AS unrealized FROM x_pos""")
 def a7(spark, sf):
@@ -400,12 +410,17 @@ SELECT h AS hours, n, CASE WHEN n < 2 THEN 0 ELSE snap(mean / (CASE WHEN sd > 0
     WHEN mean > 0 THEN 99 ELSE 0 END AS sortino
 FROM (SELECT h, count(change) AS n, avg(change) AS mean, stddev_pop(change) AS sd, sum(change * change) FILTER (WHERE change < 0) AS down
   FROM (VALUES (1), (6), (24)) t(h) LEFT JOIN x_equity e ON e.fills > 1
-    AND (epoch_us(TIMESTAMP '2024-01-31') - epoch_us(ts)) / 3.6e9 <= h GROUP BY h)"""
+    AND (epoch_us(TIMESTAMP '{t}') - epoch_us(ts)) / 3.6e9 BETWEEN 0 AND h GROUP BY h)"""
+
 
+@query("r2_r3_rolling_ratios_mid", _RATIO_SQL.format(t=views.AS_OF_MID))
+def r2_mid(spark, sf):
+    return r2(spark, sf, views.AS_OF_MID)
 
-@query("r2_r3_rolling_ratios", _RATIO_SQL)
-def r2(spark, sf):
-    return risk.rolling_ratios(equity(spark, sf), as_of=views.AS_OF).transform(pick, "hours", "n", "snap(sharpe, 4) sharpe", "snap(sortino, 4) sortino")
+
+@query("r2_r3_rolling_ratios", _RATIO_SQL.format(t=views.AS_OF))
+def r2(spark, sf, as_of=views.AS_OF):
+    return risk.rolling_ratios(equity(spark, sf), as_of=as_of).transform(pick, "hours", "n", "snap(sharpe, 4) sharpe", "snap(sortino, 4) sortino")
 
 
 @query("r4_cvar", """
@@ -426,12 +441,21 @@ def r567(spark, sf):
         "snap(avg_win, 5) avg_win", "snap(avg_loss, 5) avg_loss", "snap(half_kelly, 6) half_kelly")
 
 
-@query("r8_calmar", """
-SELECT snap(v, 4) AS last_value, snap((v / 100000 - 1) / greatest((epoch_us(TIMESTAMP '2024-01-31') - epoch_us(t0)) / 1e6 / (365.25 * 86400), 0.001) / m, 5) AS calmar
-FROM (SELECT arg_max(value, (ts, execution_id)) AS v, min(ts) AS t0 FROM x_equity), (SELECT max(dd_pct) AS m FROM x_dd)""")
-def r8(spark, sf):
-    dd = ledger.drawdown_summary(drawdowns(spark, sf), as_of=views.AS_OF)
-    return risk.calmar(equity(spark, sf), dd, as_of=views.AS_OF, initial_cash=CASH).transform(pick, "snap(last_value, 4) last_value", "snap(calmar, 5) calmar")
+_CALMAR = """
+SELECT snap(v, 4) AS last_value, snap((v / 100000 - 1) / greatest((epoch_us(TIMESTAMP '{t}') - epoch_us(t0)) / 1e6 / (365.25 * 86400), 0.001) / m, 5) AS calmar
+FROM (SELECT arg_max(value, (ts, execution_id)) AS v, min(ts) AS t0 FROM x_equity WHERE ts <= TIMESTAMP '{t}'),
+  (SELECT max(dd_pct) AS m FROM x_dd WHERE ts <= TIMESTAMP '{t}')"""
+
+
+@query("r8_calmar_mid", _CALMAR.format(t=views.AS_OF_MID))
+def r8_mid(spark, sf):
+    return r8(spark, sf, views.AS_OF_MID)
+
+
+@query("r8_calmar", _CALMAR.format(t=views.AS_OF))
+def r8(spark, sf, as_of=views.AS_OF):
+    dd = ledger.drawdown_summary(drawdowns(spark, sf), as_of=as_of)
+    return risk.calmar(equity(spark, sf), dd, as_of=as_of, initial_cash=CASH).transform(pick, "snap(last_value, 4) last_value", "snap(calmar, 5) calmar")
 
 
 @query("r9_performance_summary", """

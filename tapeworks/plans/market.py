@@ -155,11 +155,11 @@ def f17(spark, sf):
 
 
 @query("f18_lineage_edges", f"""
-SELECT input_type, count(*) AS edges FROM (
-  SELECT 'kline5m' AS input_type FROM x_sig5 UNION ALL
-  SELECT 'orderbook' FROM x_sig5 e ASOF JOIN x_obi b ON b.instrument = e.instrument AND e.close_time >= b.ts) GROUP BY 1""")
+SELECT 'kline5m' AS input_type, 'kline5m:' || replace(instrument, '-', '') || ':' || epoch_ms(close_time) AS input_id FROM x_sig5 UNION ALL
+SELECT 'orderbook', 'orderbook:' || replace(e.instrument, '-', '') || ':' || b.book_id
+FROM x_sig5 e ASOF JOIN x_obi b ON b.instrument = e.instrument AND e.close_time >= b.ts""")
 def f18(spark, sf):
-    return signals.lineage_edges(assembled(spark, sf)).groupBy("input_type").agg(F.count("*").alias("edges"))
+    return signals.lineage_edges(assembled(spark, sf)).select("input_type", "input_id")
 
 
 @query("f19_vpin", """
@@ -218,12 +218,21 @@ def p5(spark, sf):
     return store.training_window(views.revisions(spark, sf), views.AS_OF_MID).select("event_id", "instrument")
 
 
-@query("p6_lookahead_audit", "SELECT 0 AS leaks, count(*) AS checked FROM x_spine")
+@query("p6_lookahead_audit", """
+SELECT spine_id FROM (
+  SELECT spine_id, any_value(decision_time) AS t, arg_max(v.event_time, (v.event_time, v.ingest_time, v.event_id)) AS et,
+    arg_max(v.ingest_time, (v.event_time, v.ingest_time, v.event_id)) AS it
+  FROM x_spine s LEFT JOIN x_rev v ON v.instrument = s.instrument AND v.event_time <= s.decision_time AND v.ingest_time <= s.decision_time
+  GROUP BY spine_id) WHERE spine_id % 7 = 0 AND greatest(et, it) > t - INTERVAL 20 MINUTE""")
 def p6(spark, sf):
-    joined = pit(spark, sf)
-    leaks = store.lookahead_audit(joined).agg(F.count("*").alias("leaks"), F.lit(1).alias("one"))
-    return joined.agg(F.count("*").alias("checked"), F.lit(1).alias("one")).join(leaks, "one").select(
-        F.col("leaks").cast("int").alias("leaks"), "checked")
+    """A join that lets every seventh row see 20 minutes ahead; the audit names those that did."""
+    ahead = F.when(F.col("spine_id") % 7 == 0, F.expr("interval 20 minutes")).otherwise(F.expr("interval 0 minutes"))
+    return store.lookahead_audit(pit(spark, sf).withColumn("decision_time", F.col("decision_time") - ahead)).select("spine_id")
+
+
+@query("p6_no_lookahead", "SELECT spine_id FROM x_spine WHERE false")
+def p6_none(spark, sf):
+    return store.lookahead_audit(pit(spark, sf)).select("spine_id")
 
 
 @query("p7_revisions", f"""
@@ -236,11 +245,12 @@ def p7(spark, sf):
 
 
 @query("io9_feature_store_append", """
-SELECT id AS event_id, count(*) AS n FROM (
-  SELECT CASE WHEN k < 5 THEN NULL ELSE event_id END AS id FROM x_feat
-  UNION ALL SELECT NULL FROM x_feat WHERE k < 5) GROUP BY id""")
+SELECT id AS event_id, n, epoch_us(t) AS event_us FROM (
+  SELECT CASE WHEN k < 5 THEN NULL ELSE event_id END AS id, count(*) * CASE WHEN k < 5 THEN 3 ELSE 1 END AS n, min(event_time) AS t
+  FROM x_feat GROUP BY CASE WHEN k < 5 THEN NULL ELSE event_id END, k < 5)""")
 def io9(spark, sf):
-    """Two overlapping loads of the same events: named ones are stored once, unnamed ones always."""
+    """Three loads of the same events, the last with every time a day later: an id is stored
+    once, as it first came, whatever its date; rows without one always."""
     import uuid
 
     from tapeworks.session import durable_dir
@@ -249,8 +259,11 @@ def io9(spark, sf):
     path = f"{durable_dir(spark)}/store-{uuid.uuid4().hex}"
     empty = f.limit(0)
     store.append_to_store(f, empty, path)
-    store.append_to_store(f, spark.read.parquet(path), path)
-    return spark.read.parquet(path).groupBy("event_id").agg(F.count("*").alias("n"))
+    later = f.withColumn("event_time", F.col("event_time") + F.expr("interval 1 day"))
+    for batch in (f, later):
+        store.append_to_store(batch, spark.read.parquet(path), path)
+    return spark.read.parquet(path).groupBy("event_id").agg(
+        F.count("*").alias("n"), F.unix_micros(F.min("event_time")).alias("event_us"))
 
 
 # --- decisions --------------------------------------------------------------------------------
@@ -264,7 +277,15 @@ def x1(spark, sf):
     return decided(spark, sf).select("event_id", "type", "side", "blocked_by", "counted")
 
 
-@query("x2_explanations")
+@query("x2_explanations", r"""
+SELECT event_id, type, CASE WHEN NOT counted THEN ''
+  WHEN type = 'no_signal' THEN printf('Imbalance %+.4f stays within %.2f, no signal.', obi, eff)
+  ELSE printf('%s signal: imbalance %+.4f beyond %.2f. ', side, obi, eff) || CASE blocked_by
+    WHEN 'volume_spike' THEN printf('Blocked, volume is %.1f times normal.', volumeRatio)
+    WHEN 'momentum' THEN printf('Blocked, momentum %+.4f runs against the trade.', momentum)
+    WHEN 'sentiment' THEN printf('Blocked, fear and greed index at %.0f.', fearGreed)
+    ELSE printf('Taken at about %.2f: momentum %+.4f, volatility %.4f, fear and greed %.0f.', midPrice + 1e-9, momentum, volatility, fearGreed) END
+  END AS explanation FROM x_dec""")
 def x2(spark, sf):
     return decisions.explain_decisions(decided(spark, sf)).select("event_id", "type", "explanation")
 

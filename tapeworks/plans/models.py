@@ -14,7 +14,7 @@ def samples(spark, sf):
     return shared(spark, sf, "samples", lambda: ml.build_training_set(views.fills(spark, sf), views.features(spark, sf)))
 
 
-_ENG = ["abs_obi", "obi_sign", "momentum", "volatility", "fear_greed_norm", "volume_ratio", "spread_rel", "hour_sin", "hour_cos", "dow_sin", "dow_cos"]
+_ENG = ml.FEATURES
 _ENG_SQL = ", ".join(f"snap({c}, 7) AS {c}" for c in _ENG)
 _ENG_EXPR = [f"snap({c}, 7) {c}" for c in _ENG]
 
@@ -105,7 +105,7 @@ def m10(spark, sf):
 
 @query("m11_confidence_distribution", """
 SELECT count(*) AS n, snap(avg(c), 6) AS mean, snap(quantile_cont(c, 0.5), 6) AS p50, snap(quantile_cont(c, 0.9), 6) AS p90,
-  snap(min(c), 6) AS min, snap(max(c), 6) AS max FROM (SELECT abs(obi) AS c FROM x_feat ORDER BY event_time DESC, event_id DESC LIMIT 500)""")
+  snap(min(c), 6) AS min, snap(max(c), 6) AS max FROM (SELECT abs(obi) AS c FROM x_feat)""")
 def m11(spark, sf):
     c = views.features(spark, sf).withColumn("confidence", F.abs("obi"))
     return ml.confidence_distribution(c, time="event_time", uid="event_id").transform(
@@ -213,23 +213,27 @@ def parsed(spark, sf):
 
 
 @query("n1_sanitize", r"""
-SELECT headline_id, substr(regexp_replace(title, '[^a-zA-Z0-9\s.,;:!?''&$%#@\-+()/]', '', 'g'), 1, 200) AS clean FROM x_head""")
+SELECT headline_id, regexp_replace(title, '[^a-zA-Z0-9\s.,;:!?''&$%#@\-+()/]', '', 'g') AS clean FROM x_head""")
 def n1(spark, sf):
     return views.headlines(spark, sf).select("headline_id", news.sanitize(F.col("title")).alias("clean"))
 
 
-@query("n2_parse_response", "SELECT headline_id, classified, btc_sentiment, btc_confidence, eth_sentiment, eth_confidence FROM x_news")
+_ANSWERS = [f"{c}_{x}" for c in news.COINS for x in ("sentiment", "confidence")]
+
+
+@query("n2_parse_response", f"SELECT headline_id, classified, {', '.join(_ANSWERS)} FROM x_news")
 def n2(spark, sf):
-    return parsed(spark, sf).select("headline_id", "classified", "btc_sentiment", "btc_confidence", "eth_sentiment", "eth_confidence")
+    return parsed(spark, sf).select("headline_id", "classified", *_ANSWERS)
 
 
-_SCORE = """
+_COINS = " UNION ALL ".join(
+    f"SELECT '{c}' AS coin, classified, processed_at, {c}_sentiment AS s, {c}_confidence AS c FROM x_news" for c in news.COINS)
+_SCORE = f"""
 SELECT coin, coalesce(sum(w * c * d) FILTER (WHERE classified) / sum(CASE WHEN c > 0 THEN w * c ELSE w END) FILTER (WHERE classified), 0) AS score,
   count(*) FILTER (WHERE classified) AS headlines, count(*) FILTER (WHERE NOT classified) AS unclassified FROM (
   SELECT coin, classified, c, CASE s WHEN 'bullish' THEN 1 WHEN 'bearish' THEN -1 ELSE 0 END AS d,
-    exp(-(epoch_us(TIMESTAMP '2024-01-01 03:00:00') - epoch_us(processed_at)) / 1e6 * ln(2) / 1800) AS w FROM (
-    SELECT 'btc' AS coin, classified, processed_at, btc_sentiment AS s, btc_confidence AS c FROM x_news
-    UNION ALL SELECT 'eth', classified, processed_at, eth_sentiment, eth_confidence FROM x_news)) GROUP BY coin"""
+    exp(-(epoch_us(TIMESTAMP '{views.NEWS_AS_OF}') - epoch_us(processed_at)) / 1e6 * ln(2) / 1800) AS w FROM ({_COINS})
+  WHERE processed_at > TIMESTAMP '{views.NEWS_AS_OF}' - INTERVAL 2 HOUR AND processed_at <= TIMESTAMP '{views.NEWS_AS_OF}') GROUP BY coin"""
 
 
 @query("n3_n4_sentiment", f"""
@@ -241,9 +245,9 @@ def n3(spark, sf):
 
 
 @query("n5_retention", """
-SELECT headline_id FROM x_head WHERE processed_at > TIMESTAMP '2024-01-01 02:10:00' - INTERVAL 2 HOUR""")
+SELECT headline_id FROM x_head WHERE processed_at > TIMESTAMP '2024-01-01 02:30:00' - INTERVAL 2 HOUR AND processed_at <= TIMESTAMP '2024-01-01 02:30:00'""")
 def n5(spark, sf):
-    return news.retained(views.headlines(spark, sf), "2024-01-01 02:10:00").select("headline_id")
+    return news.retained(views.headlines(spark, sf), "2024-01-01 02:30:00").select("headline_id")
 
 
 @query("n6_recent_headlines", "SELECT headline_id, source FROM x_head ORDER BY processed_at DESC, headline_id DESC LIMIT 50")
@@ -279,11 +283,11 @@ def w2(spark, sf):
 
 
 @query("w3_rolling_corr", """
-SELECT event_id, n, CASE WHEN n >= 10 THEN snap(c, 5) END AS corr FROM (
+SELECT event_id, n, CASE WHEN isfinite(c) THEN snap(c, 5) END AS corr FROM (
   SELECT event_id, count(*) OVER w AS n, corr(obi, fwd_ret) OVER w AS c FROM x_fwd
   WINDOW w AS (PARTITION BY instrument ORDER BY event_time, event_id ROWS 59 PRECEDING))""")
 def w3(spark, sf):
-    return research.rolling_corr(forward(spark, sf), window=60).transform(pick, "event_id", "n", "if(n >= 10, snap(corr, 5), null) corr")
+    return research.rolling_corr(forward(spark, sf), window=60).transform(pick, "event_id", "n", "if(isnan(corr), null, snap(corr, 5)) corr")
 
 
 @query("w3_hit_rate", """
@@ -352,10 +356,13 @@ def w7(spark, sf):
 @query("w8_parameter_sweep", """
 SELECT combo, count(*) AS fills, snap(sum(realized), 5) AS realized_pnl, snap(sum(realized - transaction_cost), 5) AS net_pnl,
   snap(avg(CASE WHEN realized - transaction_cost > 0 THEN 1 ELSE 0 END) FILTER (WHERE opposes), 6) AS hit_rate,
-  snap(sum(quantity * fill_price) / 100000, 6) AS turnover FROM x_sw_pos GROUP BY combo""")
+  snap(sum(quantity * fill_price) / 100000, 6) AS turnover,
+  any_value(hold) AS avg_hold_secs FROM x_sw_pos LEFT JOIN (
+    SELECT combo, snap(avg(epoch_us(exit_time) - epoch_us(entry_time)) / 1e6, 2) AS hold FROM x_swmatch GROUP BY combo) USING (combo) GROUP BY combo""")
 def w8(spark, sf):
     return research.parameter_sweep(views.features(spark, sf)).transform(
-        pick, "combo", "fills", "snap(realized_pnl, 5) realized_pnl", "snap(net_pnl, 5) net_pnl", "snap(hit_rate, 6) hit_rate", "snap(turnover, 6) turnover")
+        pick, "combo", "fills", "snap(realized_pnl, 5) realized_pnl", "snap(net_pnl, 5) net_pnl", "snap(hit_rate, 6) hit_rate", "snap(turnover, 6) turnover",
+        "snap(avg_hold_secs, 2) avg_hold_secs")
 
 
 def folds(spark, sf):
@@ -406,10 +413,9 @@ def q1(spark, sf):
 
 
 @query("q2_burn_alerts", f"""
-SELECT job, count(*) FILTER (WHERE bad_1h > 0.144 AND bad_5m > 0.144) AS fast, count(*) FILTER (WHERE bad_6h > 0.06 AND bad_30m > 0.06) AS slow
-FROM ({_BAD}) GROUP BY job""")
+SELECT job, minute, bad_1h > 0.144 AND bad_5m > 0.144 AS fast_burn, bad_6h > 0.06 AND bad_30m > 0.06 AS slow_burn FROM ({_BAD})""")
 def q2(spark, sf):
-    return slo.burn_alerts(ratios(spark, sf)).groupBy("job").agg(F.count_if("fast_burn").alias("fast"), F.count_if("slow_burn").alias("slow"))
+    return slo.burn_alerts(ratios(spark, sf)).select("job", "minute", "fast_burn", "slow_burn")
 
 
 @query("q3_freshness_gaps", """

@@ -9,7 +9,7 @@ from tapeworks.operators.quality import normalize_liquidity, validate_fills
 
 AS_OF = "2024-01-31 00:00:00"
 AS_OF_MID = "2024-01-10 12:00:00"
-NEWS_AS_OF = "2024-01-01 03:00:00"
+NEWS_AS_OF = "2024-01-01 02:50:00"
 COINS = ["BTC-USDT", "ETH-USDT", "SOL-USDT", "XRP-USDT", "DOGE-USDT"]
 ISO = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
 
@@ -166,7 +166,10 @@ def headlines(spark, sf) -> DataFrame:
     body = F.concat(
         F.lit('{"btc": "'), label, F.lit('", "btc_confidence": '), conf,
         F.lit(', "eth": "'), F.when(F.col("doc_id") % 3 == 0, "BULLISH").otherwise("other"),
-        F.lit('", "eth_confidence": '), F.when(F.col("doc_id") % 4 == 0, "7").otherwise("-1"), F.lit("}"))
+        F.lit('", "eth_confidence": '), F.when(F.col("doc_id") % 4 == 0, "7").otherwise("-1"),
+        F.lit(', "sol": "'), F.when(F.col("doc_id") % 5 == 2, "bearish").otherwise("neutral"), F.lit('", "sol_confidence": 0.'),
+        (F.col("doc_id") % 7).cast("string"),
+        F.lit(', "xrp": "'), F.when(F.col("doc_id") % 7 == 3, " Bullish ").otherwise("bearish"), F.lit('", "xrp_confidence": "high"}'))
     answer = (
         F.when(F.col("doc_id") % 13 == 0, "no idea")
         .when(F.col("doc_id") % 13 == 1, "{broken")
@@ -175,7 +178,7 @@ def headlines(spark, sf) -> DataFrame:
     )
     return d.select(
         F.col("doc_id").alias("headline_id"), F.col("text").alias("title"), "source",
-        F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id")).alias("processed_at"), answer.alias("response"))
+        F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 60).alias("processed_at"), answer.alias("response"))
 
 
 def latency(spark, sf) -> DataFrame:

@@ -85,20 +85,20 @@ FROM x_books b JOIN x_book_levels l ON b.book_id = l.book_id AND l.i <= 10 GROUP
 VIEWS["x_oi"] = "SELECT instrument, ts, event_id, CAST(1000 + (event_id * 37) % 500 AS DOUBLE) AS open_interest FROM x_ev"
 
 VIEWS["x_head"] = """
-SELECT d.doc_id AS headline_id, text AS title, source, TIMESTAMP '2024-01-01' + to_seconds(d.doc_id) AS processed_at,
+SELECT d.doc_id AS headline_id, text AS title, source, TIMESTAMP '2024-01-01' + to_seconds(d.doc_id * 60) AS processed_at,
   CASE WHEN quality = 1 THEN 'bullish' WHEN toxic = 1 THEN 'bearish' ELSE 'neutral' END AS btc_sentiment,
   round((d.doc_id % 11) / 10, 3) AS btc_confidence,
   CASE WHEN d.doc_id % 3 = 0 THEN 'bullish' ELSE 'neutral' END AS eth_sentiment,
   CASE WHEN d.doc_id % 4 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS eth_confidence,
+  CASE WHEN d.doc_id % 5 = 2 THEN 'bearish' ELSE 'neutral' END AS sol_sentiment, round((d.doc_id % 7) / 10, 3) AS sol_confidence,
+  CASE WHEN d.doc_id % 7 = 3 THEN 'bullish' ELSE 'bearish' END AS xrp_sentiment, 0.5::DOUBLE AS xrp_confidence,
+  'neutral' AS doge_sentiment, 0.5::DOUBLE AS doge_confidence,
   d.doc_id % 13 NOT IN (0, 1) AS classified
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"""
 
-VIEWS["x_news"] = """
-SELECT headline_id, title, source, processed_at, classified,
-  CASE WHEN classified THEN btc_sentiment ELSE 'neutral' END AS btc_sentiment,
-  CASE WHEN classified THEN btc_confidence ELSE 0.5 END AS btc_confidence,
-  CASE WHEN classified THEN eth_sentiment ELSE 'neutral' END AS eth_sentiment,
-  CASE WHEN classified THEN eth_confidence ELSE 0.5 END AS eth_confidence FROM x_head"""
+VIEWS["x_news"] = "SELECT headline_id, title, source, processed_at, classified, " + ", ".join(
+    f"CASE WHEN classified THEN {c}_sentiment ELSE 'neutral' END AS {c}_sentiment, CASE WHEN classified THEN {c}_confidence ELSE 0.5 END AS {c}_confidence"
+    for c in ("btc", "eth", "sol", "xrp", "doge")) + " FROM x_head"
 
 VIEWS["x_lat"] = """
 SELECT event_id, ts, event_type AS job, instrument, value * 2 AS latency_ms, k > 2 AS up,
@@ -326,6 +326,11 @@ FROM {source}, x_grid WHERE abs(obi) > threshold"""
 
 VIEWS["x_swfills"] = sweep_sql("x_feat")
 _add_fold("x_sw", "x_swfills", "combo, instrument")
+VIEWS["x_swlots"] = """
+SELECT combo || '/' || instrument AS instrument, combo, execution_id, ts, side, fill_price, transaction_cost, quantity,
+  sum(CAST(quantity AS DECIMAL(18, 4))) OVER w - CAST(quantity AS DECIMAL(18, 4)) AS a, sum(CAST(quantity AS DECIMAL(18, 4))) OVER w AS b FROM x_swfills
+WINDOW w AS (PARTITION BY combo, instrument, side ORDER BY ts, execution_id ROWS UNBOUNDED PRECEDING)"""
+VIEWS["x_swmatch"] = "SELECT *, split_part(instrument, '/', 1) AS combo FROM (" + match_sql("x_swlots") + ")"
 
 VIEWS["x_chunks"] = """
 SELECT *, least((row_number() OVER (ORDER BY event_time, event_id) - 1) // greatest(count(*) OVER () // 5, 1), 4) AS chunk FROM x_feat"""
@@ -366,7 +371,7 @@ VIEWS["x_feat_eng"] = VIEWS.pop("x_eng").replace("%SRC%", "(SELECT *, event_time
 
 VIEWS["x_ranked"] = """
 SELECT instrument, execution_id, time, net_pnl AS ret, row_number() OVER (PARTITION BY instrument ORDER BY time DESC, execution_id DESC) AS pos FROM x_trips"""
-VIEWS["x_tail"] = "SELECT * FROM x_ranked WHERE pos <= 500"
+VIEWS["x_tail"] = "SELECT * FROM x_ranked"
 
 VIEWS["x_permin"] = """
 SELECT job, epoch_us(ts) // 60000000 AS minute, count(*) FILTER (WHERE latency_ms > 256) AS bad,
