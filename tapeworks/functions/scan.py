@@ -20,7 +20,6 @@ from tapeworks.session import materialize
 
 BLOCK = "__blk"
 ROWS_PER_BLOCK = 1_000_000
-MAX_BLOCKS = 4096
 SMALL_BLOCK = 4096
 _SUB = 65536
 _SAMPLE = 20_000
@@ -60,22 +59,22 @@ def order_cuts(
     """One column-pruned pass: the row count and an approximate quantile sketch of the axis."""
     axis = axis_value(df, order[0])
     parallelism = df.sparkSession.sparkContext.defaultParallelism
-    most = blocks or MAX_BLOCKS
-    probs = [i / most for i in range(1, most)] if blocks else [i / 512 for i in range(1, 512)]
+    first = blocks or 512
+    probs = [i / first for i in range(1, first)]
     stats = df.select(axis.alias("x")).agg(
         F.count("x").alias("n"),
         F.percentile_approx("x", probs, 5_000).alias("q") if probs else F.lit(None).alias("q"),
     ).first()
     n = stats["n"]
     wanted = blocks or max(ceil(n / rows_per_block), min(parallelism, ceil(n / SMALL_BLOCK)))
-    wanted = min(wanted, MAX_BLOCKS)
     if n == 0 or wanted <= 1:
         return Cuts()
     sketch = stats["q"]
     if not blocks and wanted > 512:
+        # as many blocks as the rows need; the sketch is ten times finer than a block
         probs = [i / wanted for i in range(1, wanted)]
         sketch = df.select(axis.alias("x")).agg(
-            F.percentile_approx("x", probs, 100_000).alias("q")
+            F.percentile_approx("x", probs, max(100_000, 10 * wanted)).alias("q")
         ).first()["q"]
     if blocks or wanted > 512:
         picked = list(sketch)
@@ -97,8 +96,7 @@ def _tie_cuts(df, axis, rest, repeats, n, wanted):
     rows = (
         df.select(axis.alias("x"), *rest)
         .where(F.col("x").isin(list(repeats)))
-        .sample(fraction=fraction, seed=7)
-        .limit(4 * _SAMPLE)
+        .sample(fraction=fraction, seed=7)  # about _SAMPLE rows, from all partitions alike
         .collect()
     )
     out = []
@@ -306,28 +304,12 @@ def affine(
         at = F.struct(*order)
         ends = staged.groupBy(*key, BLOCK).agg(
             F.max_by(F.struct(F.col("__left").alias("g"), *[F.col(f"__y_{o}").alias(f"y_{o}") for o in terms]), at).alias("e"))
-        # at most MAX_BLOCKS entries per key: fold the block maps in order
-        entry = F.struct(BLOCK, "e.g", *[f"e.y_{o}" for o in terms])
-        folded = ends.groupBy(*(key or [F.lit(0).alias("__all")])).agg(
-            F.array_sort(F.collect_list(entry)).alias("m")
-        )
-
-        def push(acc, x):
-            last = F.element_at(acc, -1)
-            return F.concat(acc, F.array(F.struct(
-                x[BLOCK].alias(BLOCK),
-                *[last[f"n_{o}"].alias(f"__k_{o}") for o in terms],
-                *[(last[f"n_{o}"] * x["g"] + x[f"y_{o}"]).alias(f"n_{o}") for o in terms],
-            )))
-
-        start = F.array(F.struct(
-            F.lit(-1).cast("long").alias(BLOCK),
-            *[F.lit(0.0).alias(f"__k_{o}") for o in terms],
-            *[F.lit(0.0).alias(f"n_{o}") for o in terms],
-        ))
-        carry = folded.select(
-            *key, F.explode(F.aggregate("m", start, push)).alias("e")
-        ).select(*key, f"e.{BLOCK}", *[F.col(f"e.__k_{o}") for o in terms]).where(F.col(BLOCK) >= 0)
+        # the block ends obey the same recurrence: one row per key and block, solved alike
+        ends = materialize(ends.select(*key, F.col(BLOCK).alias("__end"), "e.g", *[f"e.y_{o}" for o in terms]), "ends")
+        solved = affine(
+            ends, "g", {f"__k_{o}": f"y_{o}" for o in terms}, key=key, order=["__end"],
+            cuts=order_cuts(ends, ["__end"], rows_per_block=max(SMALL_BLOCK, ROWS_PER_BLOCK // 16)))
+        carry = solved.select(*key, F.col("__end").alias(BLOCK), *[F.col(f"__k_{o}_prev").alias(f"__k_{o}") for o in terms])
         final = staged.join(carry, [*key, BLOCK], "left")
         final = final.withColumns({
             **{o: F.col(f"__y_{o}") + F.col("__left") * F.col(f"__k_{o}") for o in terms},

@@ -1,7 +1,10 @@
-"""Hidden-Markov market regimes: fitting, causal filtering, decoding, labels."""
+"""Hidden-Markov market regimes: models from labelled states, filtering, decoding, labels."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -12,11 +15,12 @@ from tapeworks.functions.numeric import finite
 from tapeworks.functions.scan import BLOCK, Cuts, order_cuts, running, spread, with_block
 from tapeworks.operators.store import training_window
 
-STATES, WINDOW, MIN_OBS, REFIT_EVERY = 3, 1000, 200, 50
-MAX_ITER, TOL, RESTARTS, COVAR_FLOOR = 100, 1e-4, 5, 1e-3
-SEED = 42
+STATES, MIN_OBS, COVAR_FLOOR = 3, 200, 1e-3
 DIMS = ["x0", "x1", "x2"]
 ROWS_PER_CHAIN = 100_000
+FLAT = 1e-9
+# borders of the volatility states, in deviations from the mean
+STATE_BORDERS = (-0.5, 0.5)
 
 
 def observations(features: DataFrame, *, time="event_time", uid="event_id") -> DataFrame:
@@ -26,23 +30,119 @@ def observations(features: DataFrame, *, time="event_time", uid="event_id") -> D
     return o.where(F.col("x0").isNotNull() & F.col("x1").isNotNull() & F.col("x2").isNotNull())
 
 
-def newest(obs: DataFrame, n: int = WINDOW, *, key=("instrument",), time="event_time", uid="event_id") -> DataFrame:
-    """The newest n observations per key: the statistical window every fit looks at."""
+def newest(obs: DataFrame, n: int | None = None, *, key=("instrument",), time="event_time", uid="event_id") -> DataFrame:
+    """The newest n observations per key; all of them unless the caller names a window."""
+    if n is None:
+        return obs
     r = running(obs, {"age": ("count", F.lit(1))}, key=list(key), order=[time, uid], descending=True)
     return r.where(F.col("age") <= n)
 
 
-def window_zscore(obs: DataFrame, *, n: int = WINDOW, time="event_time", uid="event_id") -> DataFrame:
-    """Window observations scaled by the window's own mean and deviation (1 when it is flat)."""
+def window_zscore(obs: DataFrame, *, n: int | None = None, time="event_time", uid="event_id") -> DataFrame:
+    """Observations scaled by the window's own mean and deviation (1 when it is flat)."""
     w = newest(obs, n, time=time, uid=uid)
     stats = w.groupBy("instrument").agg(
         *[F.avg(d).alias(f"m_{d}") for d in DIMS], *[F.stddev_pop(d).alias(f"s_{d}") for d in DIMS])
-    scale = lambda d: F.when(F.col(f"s_{d}") < 1e-9, 1.0).otherwise(F.col(f"s_{d}"))
+    scale = lambda d: F.when(F.col(f"s_{d}") < FLAT, 1.0).otherwise(F.col(f"s_{d}"))
     return w.join(stats, "instrument").select(
         "instrument", time, uid, *[((F.col(d) - F.col(f"m_{d}")) / scale(d)).alias(d) for d in DIMS])
 
 
-# --- small numeric helpers used inside tasks -------------------------------------------------
+# --- models -----------------------------------------------------------------------------------
+
+def volatility_states(obs: DataFrame, *, dim: str = "x1", borders=STATE_BORDERS) -> DataFrame:
+    """Add `state`: how many borders, in deviations from the instrument's mean, the row exceeds."""
+    s = obs.groupBy("instrument").agg(F.avg(dim).alias("__m"), F.stddev_pop(dim).alias("__s"))
+    z = (F.col(dim) - F.col("__m")) / F.when(F.col("__s") < FLAT, 1.0).otherwise(F.col("__s"))
+    state = sum((F.when(z > b, 1).otherwise(0) for b in borders), F.lit(0))
+    return obs.join(s, "instrument").withColumn("state", state).drop("__m", "__s")
+
+
+def _pairs() -> list[tuple[int, int]]:
+    return [(i, j) for i in range(len(DIMS)) for j in range(i, len(DIMS))]
+
+
+def state_sums(labelled: DataFrame, *, key=("instrument",), states: int = STATES, time="event_time", uid="event_id") -> DataFrame:
+    """Per key: rows, sums and products of each state, and transitions between states.
+
+    One aggregate after a scan for the previous state. The sums add up over keys, so models of
+    longer or shorter spans need no second pass over the rows.
+    """
+    key = list(key)
+    before = running(labelled, {"__s0": ("lag", F.col("state"))}, key=["instrument"], order=[time, uid])
+    here = lambda k, x: F.sum(F.when(F.col("state") == k, x).otherwise(0.0))
+    aggs = []
+    for k in range(states):
+        aggs.append(F.count_if(F.col("state") == k).alias(f"n{k}"))
+        aggs += [here(k, F.col(d)).alias(f"s{k}_{i}") for i, d in enumerate(DIMS)]
+        aggs += [here(k, F.col(DIMS[i]) * F.col(DIMS[j])).alias(f"q{k}_{i}{j}") for i, j in _pairs()]
+        aggs += [F.count_if((F.col("__s0") == j) & (F.col("state") == k)).alias(f"t{j}{k}") for j in range(states)]
+    return before.groupBy(*key).agg(*aggs)
+
+
+def models_from(sums: DataFrame, *, key=("instrument",), states: int = STATES, min_obs: int = MIN_OBS) -> DataFrame:
+    """Maximum-likelihood chain of the labelled states, on scaled observations.
+
+    Transitions and state shares get one pseudo-count each; covariances a floor on the
+    diagonal; a state with fewer than two rows is a unit Gaussian in the middle. The scaler
+    (`center`, `scale`) is part of the model. Keys with fewer than min_obs rows have none.
+    """
+    c, ks, d = F.col, range(states), len(DIMS)
+    total = lambda name: sum((c(f"{name.format(k=k)}") for k in ks), F.lit(0.0))
+    m = sums.withColumn("n_obs", sum((c(f"n{k}") for k in ks), F.lit(0))).where(c("n_obs") >= min_obs)
+    m = m.withColumns({f"c{i}": total(f"s{{k}}_{i}") / c("n_obs") for i in range(d)})
+    var = lambda i: F.greatest(total(f"q{{k}}_{i}{i}") / c("n_obs") - c(f"c{i}") * c(f"c{i}"), F.lit(0.0))
+    m = m.withColumns({f"w{i}": F.when(F.sqrt(var(i)) < FLAT, 1.0).otherwise(F.sqrt(var(i))) for i in range(d)})
+
+    def mean(k, i):
+        return F.when(c(f"n{k}") >= 2, (c(f"s{k}_{i}") / c(f"n{k}") - c(f"c{i}")) / c(f"w{i}")).otherwise(0.0)
+
+    def cov(k, i, j):
+        i, j = min(i, j), max(i, j)
+        raw = c(f"q{k}_{i}{j}") / c(f"n{k}") - c(f"s{k}_{i}") / c(f"n{k}") * c(f"s{k}_{j}") / c(f"n{k}")
+        return F.when(c(f"n{k}") >= 2, raw / c(f"w{i}") / c(f"w{j}")).otherwise(float(i == j)) + (COVAR_FLOOR if i == j else 0.0)
+
+    out = [sum((c(f"t{j}{k}") for k in ks), F.lit(0)) for j in ks]
+    return m.select(
+        *key, c("n_obs").cast("long").alias("n_obs"),
+        F.array(*[(c(f"n{k}") + 1) / (c("n_obs") + states) for k in ks]).alias("pi"),
+        F.array(*[(c(f"t{j}{k}") + 1) / (out[j] + states) for j in ks for k in ks]).alias("trans"),
+        F.array(*[mean(k, i) for k in ks for i in range(d)]).alias("means"),
+        F.array(*[cov(k, i, j) for k in ks for i in range(d) for j in range(d)]).alias("covars"),
+        F.array(*[c(f"c{i}") for i in range(d)]).alias("center"), F.array(*[c(f"w{i}") for i in range(d)]).alias("scale"),
+    )
+
+
+def fit_states(obs: DataFrame, **params) -> DataFrame:
+    """A model per instrument from its volatility states."""
+    return models_from(state_sums(volatility_states(obs)), **params)
+
+
+def warm_start(store: DataFrame, as_of, **params) -> DataFrame:
+    """Models from what the store knew at `as_of`, before a stream starts."""
+    return fit_states(observations(training_window(store, as_of)), **params)
+
+
+def epochs(obs: DataFrame, *, time="event_time") -> DataFrame:
+    """Add `epoch`, the day of the row: models are renewed once a day."""
+    return obs.withColumn("epoch", F.unix_date(F.to_date(time)))
+
+
+def regime_history(obs: DataFrame, *, time="event_time", uid="event_id", **params) -> DataFrame:
+    """Every row filtered by the model that was current when it came: that of all earlier days.
+
+    Sums per day add up along the days, so no row is read again for a later model. A chain
+    starts anew with its model. Rows of days before there is a model come without a state.
+    """
+    labelled = epochs(volatility_states(obs), time=time)
+    key = ["instrument", "epoch"]
+    sums = state_sums(labelled, key=key, time=time, uid=uid)
+    earlier = Window.partitionBy("instrument").orderBy("epoch").rowsBetween(Window.unboundedPreceding, -1)
+    past = sums.select(*key, *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in sums.columns if c not in key])
+    return causal_filter(epochs(obs, time=time), models_from(past, key=key, **params), key=tuple(key), time=time, uid=uid)
+
+
+# --- chains -----------------------------------------------------------------------------------
 
 def emission(x: np.ndarray, mu: np.ndarray, cov: np.ndarray) -> np.ndarray:
     """Log density of every row under every state's Gaussian."""
@@ -51,232 +151,213 @@ def emission(x: np.ndarray, mu: np.ndarray, cov: np.ndarray) -> np.ndarray:
     return -0.5 * (np.einsum("tki,kij,tkj->tk", d, inv, d) + logdet + x.shape[1] * np.log(2 * np.pi))
 
 
-def chain_forward(log_b: np.ndarray, a: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, float]:
-    """Normalized forward probabilities; `start` is the prior of the first row."""
-    top = log_b.max(axis=1)
-    b = np.exp(log_b - top[:, None])
-    out, ll, v = np.empty_like(b), float(top.sum()), start
-    for t in range(len(b)):
-        v = (v if t == 0 else v @ a) * b[t]
-        s = v.sum()
-        ll += np.log(s)
-        v = v / s
-        out[t] = v
-    return out, ll
-
-
-def chain_smooth(log_b: np.ndarray, a: np.ndarray, start: np.ndarray):
-    """Smoothed state probabilities, summed pair probabilities and log-likelihood."""
-    alpha, ll = chain_forward(log_b, a, start)
-    b = np.exp(log_b - log_b.max(axis=1)[:, None])
-    beta = np.ones_like(b)
-    for t in range(len(b) - 2, -1, -1):
-        v = a @ (b[t + 1] * beta[t + 1])
-        beta[t] = v / v.sum()
-    gamma = alpha * beta
-    gamma /= gamma.sum(axis=1, keepdims=True)
-    nxt = b[1:] * beta[1:]
-    pairs = alpha[:-1, :, None] * a[None] * nxt[:, None, :]
-    pairs /= pairs.sum(axis=(1, 2), keepdims=True)
-    return gamma, pairs.sum(axis=0), ll
-
-
-def viterbi(log_b: np.ndarray, a: np.ndarray, start: np.ndarray) -> np.ndarray:
-    with np.errstate(divide="ignore"):
-        la, score = np.log(a), np.log(start) + log_b[0]
-    back = np.zeros(log_b.shape, dtype=int)
-    for t in range(1, len(log_b)):
-        step = score[:, None] + la
-        back[t] = step.argmax(axis=0)
-        score = step.max(axis=0) + log_b[t]
-    path = np.empty(len(log_b), dtype=int)
-    path[-1] = score.argmax()
-    for t in range(len(log_b) - 1, 0, -1):
-        path[t - 1] = back[t, path[t]]
-    return path
-
-
-def fit_gaussian_chain(x: np.ndarray, k: int, seed: int, max_iter: int = MAX_ITER, tol: float = TOL):
-    """Expectation-maximization from one random start. Returns (pi, A, mu, cov, loglik trace)."""
-    rng = np.random.default_rng(seed)
-    n, d = x.shape
-    picked = [int(rng.integers(n))]
-    while len(picked) < k:
-        gap = ((x[:, None] - x[picked][None]) ** 2).sum(axis=2).min(axis=1)
-        p = gap / gap.sum() if gap.sum() > 0 else np.full(n, 1 / n)
-        picked.append(int(rng.choice(n, p=p)))
-    floor = COVAR_FLOOR * max(float(x.var(axis=0).mean()), 1e-12) * np.eye(d)
-    mu = x[picked].copy()
-    cov = np.repeat((np.cov(x.T, bias=True).reshape(d, d) + floor)[None], k, axis=0)
-    a = np.full((k, k), 0.2 / max(k - 1, 1))
-    np.fill_diagonal(a, 0.8 if k > 1 else 1.0)
-    pi = np.full(k, 1 / k)
-    trace: list[float] = []
-    for _ in range(max_iter):
-        gamma, pairs, ll = chain_smooth(emission(x, mu, cov), a, pi)
-        trace.append(ll)
-        if len(trace) > 1 and abs(trace[-1] - trace[-2]) < tol:
-            break
-        w = gamma.sum(axis=0) + 1e-12
-        pi = gamma[0] / gamma[0].sum()
-        a = pairs + 1e-12
-        a /= a.sum(axis=1, keepdims=True)
-        mu = gamma.T @ x / w[:, None]
-        dev = x[:, None] - mu[None]
-        cov = np.einsum("tk,tki,tkj->kij", gamma, dev, dev) / w[:, None, None] + floor
-    return pi, a, mu, cov, trace
-
-
-# --- Spark operators --------------------------------------------------------------------------
-
-MODEL = ("loglik double, iterations int, n_obs int, pi array<double>, trans array<double>, "
-         "means array<double>, covars array<double>")
-
-
-def _none(*cols: str) -> pd.DataFrame:
-    return pd.DataFrame({c: pd.Series(dtype="object") for c in cols})
-
-
-def _unpack(row, dims: int = len(DIMS)):
-    pi = np.asarray(row["pi"], float)
-    k = len(pi)
-    return (pi, np.asarray(row["trans"], float).reshape(k, k), np.asarray(row["means"], float).reshape(k, dims),
-            np.asarray(row["covars"], float).reshape(k, dims, dims))
-
-
-def fit_hmm(obs: DataFrame, *, key=("instrument",), states: int = STATES, window: int = WINDOW, min_obs: int = MIN_OBS,
-            restarts: int = RESTARTS, max_iter: int = MAX_ITER, tol: float = TOL, seed: int = SEED,
-            time="event_time", uid="event_id") -> DataFrame:
-    """Best of several random starts per key; one task per (key, start), each over one window.
-
-    Keys with fewer than `min_obs` observations stay untrained and give no row.
+def _sum_times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    m = a @ b
+    return m / m.max(axis=(1, 2), keepdims=True)
+
+
+def _best_times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    m = (a[:, :, :, None] + b[:, None, :, :]).max(axis=2)
+    return m - m.max(axis=(1, 2), keepdims=True)
+
+
+@dataclass(frozen=True)
+class Algebra:
+    """How stacks of step matrices are multiplied (and scaled), and the unit's entries.
+
+    SUM adds the weights of all paths; in BEST a path's weight is a sum of logs and the best
+    path counts.
     """
-    key = list(key)
-    w = newest(obs, window, key=key, time=time, uid=uid).withColumn(
-        "restart", F.explode(F.sequence(F.lit(0), F.lit(restarts - 1))))
-    types = {f.name: f.dataType.simpleString() for f in obs.schema.fields}
-    schema = ", ".join([f"{c} {types[c]}" for c in key] + ["restart int", MODEL])
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) < min_obs:
-            return _none(*[c.split()[0] for c in schema.split(", ")])
-        x = pdf.sort_values([time, uid])[DIMS].to_numpy(float)
-        r = int(pdf["restart"].iloc[0])
-        pi, a, mu, cov, trace = fit_gaussian_chain(x, states, seed + r, max_iter, tol)
-        return pd.DataFrame([{
-            **{c: pdf[c].iloc[0] for c in key}, "restart": r, "loglik": trace[-1], "iterations": len(trace),
-            "n_obs": len(x), "pi": pi.tolist(), "trans": a.ravel().tolist(), "means": mu.ravel().tolist(),
-            "covars": cov.ravel().tolist()}])
-
-    fits = spread(w, *key, "restart").groupBy(*key, "restart").applyInPandas(fit, schema)
-    rest = [c for c in fits.columns if c not in key]
-    return fits.groupBy(*key).agg(
-        F.max_by(F.struct(*rest), F.struct("loglik", F.negative("restart"))).alias("m")).select(*key, "m.*")
-
-
-def _chain_inputs(obs, models, order, cuts):
-    """Blocks of each key's sequence next to that key's model."""
+
+    times: Callable[[np.ndarray, np.ndarray], np.ndarray]
+    one: float
+    zero: float
+
+
+SUM = Algebra(_sum_times, 1.0, 0.0)
+BEST = Algebra(_best_times, 0.0, -np.inf)
+
+
+def prefixes(steps: np.ndarray, algebra: Algebra = SUM, flipped: bool = False) -> np.ndarray:
+    """Products of the first 1, 2, ... matrices, by doubling: log2(n) vectorized rounds."""
+    times = (lambda a, b: algebra.times(b, a)) if flipped else algebra.times
+    out, gap = steps, 1
+    while gap < len(out):
+        out = np.concatenate([out[:gap], times(out[:-gap], out[gap:])])
+        gap *= 2
+    return out
+
+
+def suffixes(steps: np.ndarray, algebra: Algebra = SUM) -> np.ndarray:
+    """Products of the matrices after each place (the unit at the last)."""
+    unit = np.where(np.eye(steps.shape[1]) > 0, algebra.one, algebra.zero)[None]
+    return np.concatenate([prefixes(steps[:0:-1], algebra, True)[::-1], unit]) if len(steps) > 1 else unit
+
+
+class Chain:
+    """A model row in arrays; step matrices of a stretch of observations."""
+
+    def __init__(self, row):
+        self.pi = np.asarray(row["pi"], float)
+        k, d = len(self.pi), len(DIMS)
+        self.trans = np.asarray(row["trans"], float).reshape(k, k)
+        self.mu = np.asarray(row["means"], float).reshape(k, d)
+        self.cov = np.asarray(row["covars"], float).reshape(k, d, d)
+        self.center, self.scale = np.asarray(row["center"], float), np.asarray(row["scale"], float)
+
+    def steps(self, x: np.ndarray, first: bool, best: bool = False) -> np.ndarray:
+        """Row t as a matrix from the state before it to its own; the first row of all starts from pi."""
+        log_b = emission((x - self.center) / self.scale, self.mu, self.cov)
+        log_b -= log_b.max(axis=1, keepdims=True)
+        if best:
+            with np.errstate(divide="ignore"):
+                m = np.log(self.trans)[None] + log_b[:, None, :]
+                if first:
+                    m[0] = np.log(self.pi) + log_b[0]
+            return m
+        b = np.exp(log_b)
+        m = self.trans[None] * b[:, None, :]
+        if first:
+            m[0] = self.pi * b[0]
+        return m
+
+    def forward(self, x: np.ndarray, start: np.ndarray | None) -> np.ndarray:
+        """Normalized forward probabilities; start is the vector before the first row, or None."""
+        k = len(self.pi)
+        v = np.full(k, 1 / k) if start is None else np.asarray(start, float)
+        p = np.einsum("i,tij->tj", v, prefixes(self.steps(x, start is None)))
+        return p / p.sum(axis=1, keepdims=True)
+
+
+MODEL = ["pi", "trans", "means", "covars", "center", "scale"]
+
+
+def _blocks(obs, models, key, order, cuts):
+    """Blocks of each key's sequence, and one row per block with its key's model."""
     blocked = with_block(obs, order, cuts)
-    first = Window.partitionBy("instrument")
-    heads = blocked.groupBy("instrument", BLOCK).agg(F.count("*").alias("rows")).withColumn(
-        "is_first", F.col(BLOCK) == F.min(BLOCK).over(first))
-    params = heads.join(models.select("instrument", "pi", "trans", "means", "covars"), "instrument")
+    heads = blocked.groupBy(*key, BLOCK).agg(F.count("*").alias("rows")).withColumn(
+        "is_first", F.col(BLOCK) == F.min(BLOCK).over(Window.partitionBy(*key)))
+    params = heads.join(models.select(*key, *MODEL), key)
     # fresh column identities: both sides of the later cogroup descend from `obs`
     return blocked, params.select(*[F.col(c).alias(c) for c in params.columns])
 
 
-def causal_filter(obs: DataFrame, models: DataFrame, *, time="event_time", uid="event_id",
-                  cuts: Cuts | None = None) -> DataFrame:
-    """State probabilities of every row from its past only, over sequences of any length.
-
-    A stretch of the chain acts on the state vector as one K x K matrix. Each block's matrix
-    is computed in its own task, the few matrices of a key are multiplied in order, and each
-    block is then replayed from its true starting vector.
-    """
-    order = [time, uid]
-    cuts = cuts if cuts is not None else order_cuts(obs, order, rows_per_block=ROWS_PER_CHAIN)
-    blocked, params = _chain_inputs(obs, models, order, cuts)
+def _block_maps(blocked, params, key, order, best: bool) -> DataFrame:
+    """The product of the step matrices of every block."""
+    by = [*key, BLOCK]
 
     def summarize(rows: pd.DataFrame, par: pd.DataFrame) -> pd.DataFrame:
         if rows.empty or par.empty:
-            return _none("instrument", BLOCK, "m")
+            return pd.DataFrame({c: pd.Series(dtype="object") for c in [*by, "m"]})
         p = par.iloc[0]
-        pi, a, mu, cov = _unpack(p)
-        lb = emission(rows.sort_values(order)[DIMS].to_numpy(float), mu, cov)
-        b = np.exp(lb - lb.max(axis=1)[:, None])
-        m = np.eye(len(pi))
-        for t in range(len(b)):
-            # the chain's very first row starts from pi, without a transition
-            m = (np.outer(np.ones(len(pi)), pi) if p["is_first"] and t == 0 else m @ a) * b[t]
-            m = m / m.sum()
-        return pd.DataFrame([{"instrument": p["instrument"], BLOCK: p[BLOCK], "m": m.ravel().tolist()}])
-
-    by = ["instrument", BLOCK]
-    blocked = spread(blocked, *by)
-    maps = blocked.groupBy(*by).cogroup(spread(params, *by).groupBy(*by)).applyInPandas(
-        summarize, f"instrument string, {BLOCK} long, m array<double>")
+        x = rows.sort_values(order)[DIMS].to_numpy(float)
+        m = prefixes(Chain(p).steps(x, p["is_first"], best), BEST if best else SUM)[-1]
+        return pd.DataFrame([{**{c: p[c] for c in by}, "m": m.ravel().tolist()}])
+
+    types = dict(blocked.dtypes)
+    kinds = ", ".join(f"{c} {types[c]}" for c in by)
+    return spread(blocked, *by).groupBy(*by).cogroup(spread(params, *by).groupBy(*by)).applyInPandas(summarize, f"{kinds}, m array<double>")
+
+
+def _ends(maps: DataFrame, key, best: bool) -> DataFrame:
+    """The vectors before and after every block: one small matrix per block is multiplied along."""
+    algebra = BEST if best else SUM
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(BLOCK)
-        v, starts = None, []
-        for m in pdf["m"]:
-            k = int(round(len(m) ** 0.5))
-            starts.append((np.full(k, 1 / k) if v is None else v).tolist())
-            v = (np.full(k, 1 / k) if v is None else v) @ np.asarray(m).reshape(k, k)
-            v = v / v.sum()
-        return pd.DataFrame({"instrument": pdf["instrument"].to_numpy(), BLOCK: pdf[BLOCK].to_numpy(), "start": starts})
-
-    starts = maps.groupBy("instrument").applyInPandas(  # a few matrices per key
-        chain, f"instrument string, {BLOCK} long, start array<double>")
-    types = {f.name: f.dataType.simpleString() for f in obs.schema.fields}
+        k = int(round(len(pdf["m"].iloc[0]) ** 0.5))
+        m = np.stack([np.asarray(x, float).reshape(k, k) for x in pdf["m"]])
+        fore, aft = prefixes(m, algebra), suffixes(m, algebra)
+        unit = np.zeros(k) if best else np.full(k, 1 / k)
+        if best:
+            starts = [unit, *[f.max(axis=0) for f in fore[:-1]]]
+            ends = [a.max(axis=1) for a in aft]
+        else:
+            starts = [unit, *[(f / f.sum()).sum(axis=0) for f in fore[:-1]]]
+            ends = [a.sum(axis=1) for a in aft]
+        out = pdf[[*key, BLOCK]].copy()
+        out["start"], out["end"] = [s.tolist() for s in starts], [e.tolist() for e in ends]
+        return out
+
+    types = dict(maps.dtypes)
+    kinds = ", ".join(f"{c} {types[c]}" for c in [*key, BLOCK])
+    return maps.groupBy(*key).applyInPandas(chain, f"{kinds}, start array<double>, end array<double>")
+
+
+def _along_chains(obs, models, key, time, uid, cuts, best, fold, columns, names):
+    """fold(chain, observations, start, end, is_first) over every block, next to all other rows."""
+    key, order = list(key), [time, uid]
+    cuts = cuts if cuts is not None else order_cuts(obs, order, rows_per_block=ROWS_PER_CHAIN)
+    blocked, params = _blocks(obs, models, key, order, cuts)
+    by = [*key, BLOCK]
+    ready = params.join(_ends(_block_maps(blocked, params, key, order, best), key, best), by)
+    ready = ready.select(*[F.col(c).alias(c) for c in ready.columns])
+    types = dict(obs.dtypes)
+    keep = [*key, time, uid]
 
     def replay(rows: pd.DataFrame, par: pd.DataFrame) -> pd.DataFrame:
-        if rows.empty or par.empty:
-            return _none("instrument", time, uid, "probs", "state")
-        p = par.iloc[0]
-        pi, a, mu, cov = _unpack(p)
         rows = rows.sort_values(order)
-        prior = pi if p["is_first"] else np.asarray(p["start"], float) @ a
-        probs, _ = chain_forward(emission(rows[DIMS].to_numpy(float), mu, cov), a, prior)
-        return pd.DataFrame({
-            "instrument": rows["instrument"].to_numpy(), time: rows[time].to_numpy(), uid: rows[uid].to_numpy(),
-            "probs": probs.tolist(), "state": probs.argmax(axis=1).astype("int32")})
+        out = rows[keep].reset_index(drop=True)
+        if rows.empty or par.empty:  # no model: the rows stay, without a state
+            return out.assign(**{c: pd.Series([None] * len(out), dtype="object") for c in names})
+        p = par.iloc[0]
+        return out.assign(**fold(Chain(p), rows[DIMS].to_numpy(float), np.asarray(p["start"], float), np.asarray(p["end"], float), p["is_first"]))
 
-    ready = params.join(starts, by)
-    ready = ready.select(*[F.col(c).alias(c) for c in ready.columns])
-    return blocked.groupBy(*by).cogroup(spread(ready, *by).groupBy(*by)).applyInPandas(
-        replay, f"instrument string, {time} {types[time]}, {uid} {types[uid]}, probs array<double>, state int")
+    kinds = ", ".join(f"{c} {types[c]}" for c in keep)
+    return spread(blocked, *by).groupBy(*by).cogroup(spread(ready, *by).groupBy(*by)).applyInPandas(replay, f"{kinds}, {columns}")
 
 
-def decode_window(obs: DataFrame, models: DataFrame, *, n: int = WINDOW, time="event_time", uid="event_id") -> DataFrame:
-    """Most likely path, smoothed probabilities and log-likelihood over the newest window."""
-    w = newest(obs, n, time=time, uid=uid)
-    types = {f.name: f.dataType.simpleString() for f in obs.schema.fields}
+def causal_filter(obs: DataFrame, models: DataFrame, *, key=("instrument",), time="event_time", uid="event_id",
+                  cuts: Cuts | None = None) -> DataFrame:
+    """State probabilities of every row from its past only, over sequences of any length.
 
-    def decode(rows: pd.DataFrame, par: pd.DataFrame) -> pd.DataFrame:
-        if rows.empty or par.empty:
-            return _none("instrument", time, uid, "path", "smoothed", "loglik")
-        pi, a, mu, cov = _unpack(par.iloc[0])
-        rows = rows.sort_values([time, uid])
-        lb = emission(rows[DIMS].to_numpy(float), mu, cov)
-        gamma, _, ll = chain_smooth(lb, a, pi)
-        return pd.DataFrame({
-            "instrument": rows["instrument"].to_numpy(), time: rows[time].to_numpy(), uid: rows[uid].to_numpy(),
-            "path": viterbi(lb, a, pi).astype("int32"), "smoothed": gamma.tolist(), "loglik": ll})
+    A stretch of the chain acts on the state vector as one K x K matrix. Each block's matrix
+    is computed in its own task, the few matrices of a key are multiplied in order, and each
+    block is then replayed from its true starting vector. Keys without a model keep their rows.
+    """
+    def fold(chain, x, start, end, first):
+        probs = chain.forward(x, None if first else start)
+        return {"probs": probs.tolist(), "state": probs.argmax(axis=1).astype("int32")}
+
+    return _along_chains(obs, models, key, time, uid, cuts, False, fold, "probs array<double>, state int", ["probs", "state"])
+
+
+def decode(obs: DataFrame, models: DataFrame, *, key=("instrument",), time="event_time", uid="event_id", cuts: Cuts | None = None) -> DataFrame:
+    """The most likely path over the whole sequence: the state at each row through which the
+    best path of all runs, from the best scores up to it and onward from it."""
+    def fold(chain, x, start, end, first):
+        steps = chain.steps(x, first, True)
+        up = (start[None, :, None] + prefixes(steps, BEST)).max(axis=1)
+        on = (suffixes(steps, BEST) + end[None, None, :]).max(axis=2)
+        return {"path": (up + on).argmax(axis=1).astype("int32")}
+
+    return _along_chains(obs, models, key, time, uid, cuts, True, fold, "path int", ["path"])
 
-    return w.groupBy("instrument").cogroup(models.groupBy("instrument")).applyInPandas(
-        decode, f"instrument string, {time} {types[time]}, {uid} {types[uid]}, path int, smoothed array<double>, loglik double")
 
+def smooth(obs: DataFrame, models: DataFrame, *, key=("instrument",), time="event_time", uid="event_id", cuts: Cuts | None = None) -> DataFrame:
+    """State probabilities of every row from the whole sequence."""
+    def fold(chain, x, start, end, first):
+        steps = chain.steps(x, first)
+        g = np.einsum("i,tij->tj", start, prefixes(steps)) * np.einsum("tij,j->ti", suffixes(steps), end)
+        return {"smoothed": (g / g.sum(axis=1, keepdims=True)).tolist()}
+
+    return _along_chains(obs, models, key, time, uid, cuts, False, fold, "smoothed array<double>", ["smoothed"])
+
+
+# --- parameters -------------------------------------------------------------------------------
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _stationary(flat: pd.Series) -> pd.Series:
-    def solve(m):
-        k = int(round(len(m) ** 0.5))
-        a = np.asarray(m, float).reshape(k, k)
-        lhs = np.vstack([a.T - np.eye(k), np.ones(k)])
-        v = np.abs(np.linalg.lstsq(lhs, np.append(np.zeros(k), 1.0), rcond=None)[0])
-        return (v / v.sum() if np.isfinite(v).all() and v.sum() > 0 else np.full(k, 1 / k)).tolist()
-    return flat.map(solve)
+def _stationary(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for flat in batches:
+        if not len(flat):
+            yield pd.Series([], dtype="object")
+            continue
+        k = int(round(len(flat.iloc[0]) ** 0.5))
+        a = np.stack(flat.to_list()).astype(float).reshape(-1, k, k)
+        lhs = np.concatenate([a.transpose(0, 2, 1) - np.eye(k), np.ones((len(a), 1, k))], axis=1)
+        v = np.abs(np.linalg.pinv(lhs) @ np.append(np.zeros(k), 1.0))
+        v = v / v.sum(axis=1, keepdims=True)
+        yield pd.Series(np.where(np.isfinite(v), v, 1 / k).tolist())
 
 
 def stationary_distribution(trans: Column) -> Column:
@@ -309,45 +390,3 @@ def derive_labels(states: DataFrame, *, key=("instrument",)) -> DataFrame:
     label = (F.when(F.col("__r") == 1, "calm").when(F.col("__r") == F.col("__k"), "turbulent")
              .when(F.col("__lead") == 1, "trending").otherwise("choppy"))
     return s.withColumn("label", label).drop("__r", "__k", "__lead")
-
-
-def regime_history(obs: DataFrame, *, states: int = STATES, window: int = WINDOW, min_obs: int = MIN_OBS,
-                   refit_every: int = REFIT_EVERY, max_iter: int = MAX_ITER, restarts: int = RESTARTS,
-                   seed: int = SEED, time="event_time", uid="event_id") -> DataFrame:
-    """Every row scored by the model that was current when it arrived.
-
-    Epoch e fits on the newest `window` rows up to row e * refit_every and scores the
-    `refit_every` rows after it. A group is one window plus one cadence, never a whole key.
-    """
-    ranked = running(obs, {"n": ("count", F.lit(1))}, key=["instrument"], order=[time, uid])
-    n, every = F.col("n"), F.lit(refit_every)
-    lowest = F.ceil(n / every)
-    epochs = F.sequence(F.floor((n - 1) / every), F.greatest(F.floor((n + window - 1) / every), F.floor((n - 1) / every)))
-    # a row is scored by epoch floor((n-1)/every) and trains epochs ceil(n/every) .. while in the window
-    rows = ranked.withColumn("epoch", F.explode(epochs)).where(
-        (F.col("epoch") >= F.least(lowest, F.floor((n - 1) / every))) & (F.col("epoch") * every >= min_obs))
-    types = {f.name: f.dataType.simpleString() for f in obs.schema.fields}
-    cols = ["instrument", time, uid, "epoch", "probs", "state"]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("n")
-        edge = int(pdf["epoch"].iloc[0]) * refit_every
-        past, now = pdf[pdf["n"] <= edge].tail(window), pdf[pdf["n"] > edge]
-        if len(past) < min_obs or now.empty:
-            return _none(*cols)
-        x = past[DIMS].to_numpy(float)
-        fits = [fit_gaussian_chain(x, states, seed + r, max_iter) for r in range(restarts)]
-        pi, a, mu, cov, _ = max(fits, key=lambda f: f[4][-1])
-        both = np.vstack([x, now[DIMS].to_numpy(float)])
-        probs = chain_forward(emission(both, mu, cov), a, pi)[0][len(x):]
-        return pd.DataFrame({
-            "instrument": now["instrument"].to_numpy(), time: now[time].to_numpy(), uid: now[uid].to_numpy(),
-            "epoch": now["epoch"].to_numpy(), "probs": probs.tolist(), "state": probs.argmax(axis=1).astype("int32")})
-
-    return spread(rows, "instrument", "epoch").groupBy("instrument", "epoch").applyInPandas(
-        run, f"instrument string, {time} {types[time]}, {uid} {types[uid]}, epoch long, probs array<double>, state int")
-
-
-def warm_start(store: DataFrame, as_of, **params) -> DataFrame:
-    """Models fitted once from what the store knew at `as_of`, before a stream starts."""
-    return fit_hmm(observations(training_window(store, as_of)), **params)

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import e
 from statistics import NormalDist
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tapeworks.functions.numeric import ratio
 from tapeworks.functions.quantiles import average_ranks
@@ -225,31 +224,63 @@ def overfitting_probability(results: DataFrame) -> DataFrame:
     return per.agg(F.count("*").alias("folds"), F.avg(low.cast("double")).alias("pbo"))
 
 
-@F.pandas_udf(T.DoubleType())
-def normal_cdf(x: pd.Series) -> pd.Series:
-    n = NormalDist()
-    return x.map(lambda v: n.cdf(v) if pd.notna(v) else None).astype(float)
+# The rational approximation of the error function by Abramowitz and Stegun, 7.1.26.
+_ERF_P, _ERF = 0.3275911, (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
+
+
+def normal_cdf(x: Column) -> Column:
+    """The normal distribution function, to about 1e-7."""
+    u = F.abs(x) / 2**0.5
+    t = 1 / (1 + _ERF_P * u)
+    tail = sum((a * F.pow(t, F.lit(i + 1)) for i, a in enumerate(_ERF)), F.lit(0.0)) * F.exp(-u * u) / 2
+    return F.when(x >= 0, 1 - tail).otherwise(tail)
+
+
+def normal_cdf_sql(x: str) -> str:
+    """The same as SQL text."""
+    u = f"(abs({x}) / sqrt(2))"
+    tail = "(" + " + ".join(f"({a}) * power(1 / (1 + {_ERF_P} * {u}), {i + 1})" for i, a in enumerate(_ERF)) + f") * exp(-{u} * {u}) / 2"
+    return f"CASE WHEN {x} >= 0 THEN 1 - {tail} ELSE {tail} END"
 
 
 EULER_GAMMA = 0.5772156649015329
 
 
+def expected_maximum(n: int) -> float:
+    """The largest of n independent standard normal draws, on average (nearly)."""
+    norm = NormalDist()
+    return (1 - EULER_GAMMA) * norm.inv_cdf(1 - 1 / n) + EULER_GAMMA * norm.inv_cdf(1 - 1 / (n * e)) if n > 1 else 0.0
+
+
+def sweep_trips(features: DataFrame, *, thresholds=THRESHOLDS, sizes=SIZES) -> DataFrame:
+    """The closing fills of every parameter combination over the whole sample, with net profit."""
+    fills = materialize(sweep_fills(features, thresholds=thresholds, sizes=sizes), "sweep")
+    pos = signed_positions(fills, key=("combo", "instrument"))
+    return pos.where("opposes").select("combo", (F.col("realized") - F.col("transaction_cost")).alias("net_pnl"))
+
+
+def trial_sharpes(trips: DataFrame) -> DataFrame:
+    """One row per combination: mean over deviation of its trips."""
+    return trips.groupBy("combo").agg(ratio(F.avg("net_pnl"), F.stddev_pop("net_pnl")).alias("sharpe"))
+
+
+def best_trial(trips: DataFrame, trials: DataFrame) -> DataFrame:
+    """The trips of the combination with the best Sharpe ratio."""
+    best = trials.orderBy(F.desc("sharpe"), "combo").limit(1).select("combo")
+    return trips.join(best, "combo", "left_semi")
+
+
 def deflated_sharpe(trips: DataFrame, trials: DataFrame) -> DataFrame:
     """Probability that the observed Sharpe ratio beats the best of N lucky trials.
 
     `trials` has one Sharpe ratio per tried combination in `sharpe`.
     """
-    one = F.lit(1).alias("one")
-    t = trials.agg(F.count("*").alias("n_trials"), F.var_samp("sharpe").alias("v"), one).first()
+    t = trials.agg(F.count("*").alias("n_trials"), F.var_samp("sharpe").alias("v")).first()
     n, v = t["n_trials"], t["v"] or 0.0
-    norm = NormalDist()
-    lucky = 0.0
-    if n > 1:
-        lucky = v**0.5 * ((1 - EULER_GAMMA) * norm.inv_cdf(1 - 1 / n) + EULER_GAMMA * norm.inv_cdf(1 - 1 / (n * 2.718281828459045)))
     m = trips.agg(F.count("*").alias("n"), F.avg("net_pnl").alias("mean"), F.stddev_pop("net_pnl").alias("std"),
                   F.skewness("net_pnl").alias("skew"), (F.kurtosis("net_pnl") + 3).alias("kurt"))
     s = ratio(F.col("mean"), F.col("std"))
-    m = m.withColumn("sharpe", s).withColumn("expected_max_sharpe", F.lit(lucky)).withColumn("n_trials", F.lit(n))
+    m = m.withColumn("sharpe", s).withColumn("expected_max_sharpe", F.lit(v**0.5 * expected_maximum(n))).withColumn("n_trials", F.lit(n))
     spread = F.sqrt(F.greatest(1 - F.col("skew") * F.col("sharpe") + (F.col("kurt") - 1) / 4 * F.col("sharpe") ** 2, F.lit(1e-12)))
     z = (F.col("sharpe") - F.col("expected_max_sharpe")) * F.sqrt(F.greatest(F.col("n") - 1, F.lit(0))) / spread
     return m.withColumn("dsr", normal_cdf(z))

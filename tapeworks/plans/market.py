@@ -284,7 +284,7 @@ SELECT event_id, type, CASE WHEN NOT counted THEN ''
     WHEN 'volume_spike' THEN printf('Blocked, volume is %.1f times normal.', volumeRatio)
     WHEN 'momentum' THEN printf('Blocked, momentum %+.4f runs against the trade.', momentum)
     WHEN 'sentiment' THEN printf('Blocked, fear and greed index at %.0f.', fearGreed)
-    ELSE printf('Taken at about %.2f: momentum %+.4f, volatility %.4f, fear and greed %.0f.', midPrice + 1e-9, momentum, volatility, fearGreed) END
+    ELSE 'Taken at about ' || CAST(round(CAST(CAST(midPrice AS VARCHAR) AS DECIMAL(38, 15)), 2) AS DECIMAL(18, 2)) || printf(': momentum %+.4f, volatility %.4f, fear and greed %.0f.', momentum, volatility, fearGreed) END
   END AS explanation FROM x_dec""")
 def x2(spark, sf):
     return decisions.explain_decisions(decided(spark, sf)).select("event_id", "type", "explanation")

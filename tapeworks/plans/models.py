@@ -11,7 +11,7 @@ from tapeworks.plans.registry import pick, query, shared
 
 
 def samples(spark, sf):
-    return shared(spark, sf, "samples", lambda: ml.build_training_set(views.fills(spark, sf), views.features(spark, sf)))
+    return shared(spark, sf, "samples", lambda: ml.build_training_set(views.quick_fills(spark, sf), views.features(spark, sf)))
 
 
 _ENG = ml.FEATURES
@@ -26,7 +26,7 @@ def m1(spark, sf):
 
 @query("m2_preceding_features", "SELECT execution_id, epoch_us(feature_event_time) AS feature_us, snap(obi, 6) AS obi FROM x_known")
 def m2(spark, sf):
-    return ml.attach_preceding_features(views.fills(spark, sf), views.features(spark, sf)).transform(
+    return ml.attach_preceding_features(views.quick_fills(spark, sf), views.features(spark, sf)).transform(
         pick, "execution_id", "unix_micros(feature_event_time) feature_us", "snap(obi, 6) obi")
 
 
@@ -44,20 +44,61 @@ def m4(spark, sf):
     return ml.temporal_split(samples(spark, sf)).select("entry_id", "is_train")
 
 
-def _by_rank(spark, sf):
-    """The oldest 80 % train, the rest tests."""
-    s = samples(spark, sf)
-    n = s.count()
-    from tapeworks.functions.scan import running
-    r = running(s, {"rank": ("count", F.lit(1))}, order=["label_time", "entry_id"])
-    return r.where(F.col("rank") <= int(n * 0.8)), r.where(F.col("rank") > int(n * 0.8))
+def split(spark, sf):
+    return shared(spark, sf, "split", lambda: ml.temporal_split(samples(spark, sf)))
+
+
+_MODELS: dict = {}
 
 
-@query("m5_m8_train_and_score")
+def classifier(spark, sf):
+    """The model of the training part, fitted once per application and folder."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _MODELS:
+        _MODELS[key] = ml.train_classifier(split(spark, sf).where("is_train"))
+    return _MODELS[key]
+
+
+@query("m5_train_and_score")
 def m5(spark, sf):
-    train, test = _by_rank(spark, sf)
-    model = ml.train_classifier(train, rounds=10)
-    return ml.score(model, test).transform(pick, "entry_id", "label", "prediction", "snap(confidence, 6) confidence", "model_ready")
+    """Trained on M4's training part only, scored on the test part."""
+    return ml.score(classifier(spark, sf), split(spark, sf).where("NOT is_train")).transform(
+        pick, "entry_id", "label", "prediction", "snap(confidence, 6) confidence", "model_ready")
+
+
+@query("m5_scored_rows", """
+SELECT entry_id, label, true AS model_ready FROM x_samples WHERE entry_id NOT IN (
+  SELECT entry_id FROM (SELECT entry_id, rn, max(rn) FILTER (WHERE rn <= greatest(1, CAST(floor(n * 0.8) AS BIGINT)) AND label_time <= later) OVER () AS cut FROM (
+    SELECT entry_id, label_time, row_number() OVER w AS rn, count(*) OVER () AS n,
+      min(feature_event_time) OVER (ORDER BY label_time DESC, entry_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS later
+    FROM x_samples WINDOW w AS (ORDER BY label_time, entry_id))) WHERE rn <= coalesce(cut, 1))""")
+def m5_rows(spark, sf):
+    """The rows that M5 scores, and that a model was there."""
+    return m5(spark, sf).select("entry_id", "label", "model_ready")
+
+
+@query("m8_model_bookkeeping", f"""
+SELECT '{ml.schema_hash()}' AS schema_hash, {len(ml.FEATURES)} AS features, 12 AS version_chars, true AS loaded, true AS refused, true AS same_version,
+  1.0::DOUBLE AS importance, count(*) FILTER (WHERE is_train) AS samples FROM (
+  SELECT rn <= coalesce(max(rn) FILTER (WHERE rn <= greatest(1, CAST(floor(n * 0.8) AS BIGINT)) AND label_time <= later) OVER (), 1) AS is_train FROM (
+    SELECT label_time, row_number() OVER w AS rn, count(*) OVER () AS n,
+      min(feature_event_time) OVER (ORDER BY label_time DESC, entry_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS later
+    FROM x_samples WINDOW w AS (ORDER BY label_time, entry_id)))""")
+def m8(spark, sf):
+    """Save the model with its metadata, load it, and be refused with another schema."""
+    import uuid
+
+    from tapeworks.session import durable_dir
+    model = classifier(spark, sf)
+    path = f"{durable_dir(spark)}/model-{uuid.uuid4().hex}"
+    n = split(spark, sf).where("is_train").count()
+    first, again = (ml.save_model(spark, model, path, trained_at="2024-01-31T00:00:00Z", samples=n) for _ in range(2))
+    meta = spark.read.schema("version string, schema_hash string, samples long, importance map<string,double>").json(f"{path}/metadata")
+    importance = F.aggregate(F.map_values("importance"), F.lit(0.0), lambda acc, x: acc + x)
+    return meta.select(
+        "schema_hash", F.size("importance").alias("features"), F.length("version").alias("version_chars"),
+        F.lit(ml.load_model(spark, path) is not None).alias("loaded"), F.lit(ml.load_model(spark, path, features=ml.FEATURES[1:]) is None).alias("refused"),
+        F.lit(first == again).alias("same_version"), F.round(importance, 6).alias("importance"), "samples")
 
 
 _FIXED = "CASE WHEN abs_obi > 0.5 THEN 1 ELSE 0 END"
@@ -85,8 +126,7 @@ def m7(spark, sf):
 
 @query("m9_score_latest")
 def m9(spark, sf):
-    model = ml.train_classifier(samples(spark, sf), rounds=10)
-    return ml.score_latest(model, views.features(spark, sf)).transform(pick, "instrument", "event_id", "snap(confidence, 6) confidence", "model_ready")
+    return ml.score_latest(classifier(spark, sf), views.features(spark, sf)).transform(pick, "instrument", "event_id", "snap(confidence, 6) confidence", "model_ready")
 
 
 @query("m10_psi", """
@@ -116,7 +156,7 @@ def m11(spark, sf):
 SELECT total, labelled, total - labelled AS pending, snap(positive / labelled, 6) AS positive_rate FROM
   (SELECT count(*) AS total FROM x_known), (SELECT count(*) AS labelled, sum(label) AS positive FROM x_klabels)""")
 def m12(spark, sf):
-    known = ml.attach_preceding_features(views.fills(spark, sf), views.features(spark, sf))
+    known = ml.attach_preceding_features(views.quick_fills(spark, sf), views.features(spark, sf))
     return ml.sample_status(known, samples(spark, sf)).transform(pick, "total", "labelled", "pending", "snap(positive_rate, 6) positive_rate")
 
 
@@ -127,7 +167,7 @@ def obs(spark, sf):
 
 
 def models(spark, sf):
-    return shared(spark, sf, "models", lambda: regime.fit_hmm(obs(spark, sf), restarts=2, max_iter=30))
+    return shared(spark, sf, "models", lambda: regime.fit_states(obs(spark, sf)))
 
 
 @query("h1_observations", "SELECT event_id, snap(momentum, 7) AS x0, snap(volatility, 7) AS x1, snap(abs(obi), 6) AS x2 FROM x_feat")
@@ -138,26 +178,41 @@ def h1(spark, sf):
 @query("h2_window_zscore", """
 SELECT event_id, snap((x0 - avg(x0) OVER w) / stddev_pop(x0) OVER w, 5) AS x0, snap((x1 - avg(x1) OVER w) / stddev_pop(x1) OVER w, 5) AS x1,
   snap((x2 - avg(x2) OVER w) / stddev_pop(x2) OVER w, 5) AS x2 FROM (
-  SELECT event_id, instrument, momentum AS x0, volatility AS x1, abs(obi) AS x2,
-    row_number() OVER (PARTITION BY instrument ORDER BY event_time DESC, event_id DESC) AS age FROM x_feat)
-WHERE age <= 1000 WINDOW w AS (PARTITION BY instrument)""")
+  SELECT event_id, instrument, momentum AS x0, volatility AS x1, abs(obi) AS x2 FROM x_feat)
+WINDOW w AS (PARTITION BY instrument)""")
 def h2(spark, sf):
     return regime.window_zscore(obs(spark, sf)).transform(pick, "event_id", "snap(x0, 5) x0", "snap(x1, 5) x1", "snap(x2, 5) x2")
 
 
-@query("h3_fit_hmm")
+_FLATTEN = ["pi[0] pi0", "pi[2] pi2", *[f"trans[{i}] t{i}" for i in (0, 4, 8)], *[f"means[{i}] m{i}" for i in range(9)], *[f"covars[{9 * k + i}] v{k}{i}" for k in range(3) for i in (0, 1, 4, 8)]]
+_SNAPPED = [f"snap({x.split()[0]}, 5) {x.split()[1]}" for x in _FLATTEN]
+_SNAPPED_SQL = ", ".join(f"snap({x.split()[1]}, 5) AS {x.split()[1]}" for x in _FLATTEN)
+
+
+@query("h3_fit_states", f"SELECT instrument, n_obs, {_SNAPPED_SQL} FROM x_hmm")
 def h3(spark, sf):
-    return models(spark, sf).select("instrument", "n_obs", "iterations", "loglik")
+    return models(spark, sf).transform(pick, "instrument", "n_obs", *_SNAPPED)
+
+
+_PROBS = "snap(probs[0], 5) p0", "snap(probs[1], 5) p1", "snap(probs[2], 5) p2"
+_PROBS_SQL = "snap(p0, 5) AS p0, snap(p1, 5) AS p1, snap(p2, 5) AS p2"
 
 
-@query("h4_causal_filter")
+@query("h4_causal_filter", f"SELECT instrument, event_id, {_PROBS_SQL} FROM x_hfwd")
 def h4(spark, sf):
-    return regime.causal_filter(obs(spark, sf), models(spark, sf)).select("instrument", "event_id", "state", "probs")
+    return regime.causal_filter(obs(spark, sf), models(spark, sf)).transform(pick, "instrument", "event_id", *_PROBS)
 
 
-@query("h5_decode_window")
+@query("h5_decode", "SELECT instrument, event_id, path FROM x_hpath")
 def h5(spark, sf):
-    return regime.decode_window(obs(spark, sf), models(spark, sf)).select("instrument", "event_id", "path", "loglik")
+    return regime.decode(obs(spark, sf), models(spark, sf)).select("instrument", "event_id", "path")
+
+
+@query("h5_smooth", """
+SELECT instrument, event_id, snap(p0 * b0 / (p0 * b0 + p1 * b1 + p2 * b2), 5) AS p0, snap(p2 * b2 / (p0 * b0 + p1 * b1 + p2 * b2), 5) AS p2
+FROM x_hfwd JOIN x_hbwd USING (instrument, rn)""")
+def h5s(spark, sf):
+    return regime.smooth(obs(spark, sf), models(spark, sf)).transform(pick, "instrument", "event_id", "snap(smoothed[0], 5) p0", "snap(smoothed[2], 5) p2")
 
 
 @query("h6_stationary_distribution", """
@@ -191,19 +246,23 @@ def h7(spark, sf):
     return regime.derive_labels(s).select("instrument", "event_type", "label")
 
 
-@query("h7_fitted_labels")
+@query("h7_fitted_labels", """
+SELECT instrument, CAST(state AS INTEGER) AS state, CASE WHEN r = 1 THEN 'calm' WHEN r = 3 THEN 'turbulent' ELSE 'trending' END AS label, snap(t, 4) AS turbulence FROM (
+  SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY t, state) AS r FROM (
+    SELECT instrument, 0 AS state, m1 + (v00 + v04 + v08) / 3 AS t FROM x_hmm UNION ALL SELECT instrument, 1, m4 + (v10 + v14 + v18) / 3 FROM x_hmm
+    UNION ALL SELECT instrument, 2, m7 + (v20 + v24 + v28) / 3 FROM x_hmm))""")
 def h7m(spark, sf):
-    return regime.derive_labels(regime.state_parameters(models(spark, sf))).select("instrument", "state", "label", "turbulence")
+    return regime.derive_labels(regime.state_parameters(models(spark, sf))).transform(pick, "instrument", "state", "label", "snap(turbulence, 4) turbulence")
 
 
-@query("h8_regime_history")
+@query("h8_regime_history", f"SELECT instrument, event_id, epoch, {_PROBS_SQL} FROM x_hhist")
 def h8(spark, sf):
-    return regime.regime_history(obs(spark, sf), refit_every=500, restarts=1, max_iter=15).select("instrument", "event_id", "epoch", "state")
+    return regime.regime_history(obs(spark, sf)).transform(pick, "instrument", "event_id", "epoch", *_PROBS)
 
 
-@query("h9_warm_start")
+@query("h9_warm_start", f"SELECT instrument, n_obs, {_SNAPPED_SQL} FROM x_hwarm")
 def h9(spark, sf):
-    return regime.warm_start(views.revisions(spark, sf), views.AS_OF_MID, restarts=1, max_iter=15).select("instrument", "n_obs", "loglik")
+    return regime.warm_start(views.revisions(spark, sf), views.AS_OF_MID).transform(pick, "instrument", "n_obs", *_SNAPPED)
 
 
 # --- news -------------------------------------------------------------------------------------
@@ -385,11 +444,21 @@ def w10(spark, sf):
     return research.overfitting_probability(folds(spark, sf)).transform(pick, "folds", "snap(pbo, 6) pbo")
 
 
-@query("w11_deflated_sharpe")
+@query("w11_deflated_sharpe", """
+SELECT * FROM (WITH t AS (SELECT combo, avg(realized - transaction_cost) / stddev_pop(realized - transaction_cost) AS sharpe FROM x_sw_pos WHERE opposes GROUP BY combo),
+  n AS (SELECT count(*) AS n_trials, var_samp(sharpe) AS v FROM t), best AS (SELECT combo FROM t ORDER BY sharpe DESC, combo LIMIT 1),
+  r AS (SELECT realized - transaction_cost AS net FROM x_sw_pos JOIN best USING (combo) WHERE opposes),
+  m AS (SELECT count(*) AS n, avg(net) AS mean, stddev_pop(net) AS sd FROM r),
+  h AS (SELECT any_value(n) AS n, any_value(mean) / any_value(sd) AS s, avg(power((net - mean) / sd, 3)) AS skew, avg(power((net - mean) / sd, 4)) AS kurt FROM r, m),
+  z AS (SELECT *, (s - sqrt(v) * %s) * sqrt(greatest(n - 1, 0)) / sqrt(greatest(1 - skew * s + (kurt - 1) / 4 * s * s, 1e-12)) AS z FROM h, n)
+SELECT n, n_trials, snap(s, 6) AS sharpe, snap(skew, 4) AS skew, snap(kurt, 4) AS kurt, snap(%s, 5) AS dsr FROM z)""" % (
+    research.expected_maximum(len(research.THRESHOLDS) * len(research.SIZES)), research.normal_cdf_sql("z")))
 def w11(spark, sf):
-    t = folds(spark, sf).select((F.col("net_pnl") / F.greatest(F.col("turnover"), F.lit(1e-9))).alias("sharpe"))
-    return research.deflated_sharpe(trips(spark, sf), t).transform(
-        pick, "n", "n_trials", "snap(sharpe, 6) sharpe", "snap(skew, 5) skew", "snap(kurt, 5) kurt", "snap(dsr, 6) dsr")
+    """The best of the parameter combinations against the luck of having tried them all."""
+    trips = shared(spark, sf, "sweep_trips", lambda: research.sweep_trips(views.features(spark, sf)))
+    trials = research.trial_sharpes(trips)
+    return research.deflated_sharpe(research.best_trial(trips, trials), trials).transform(
+        pick, "n", "n_trials", "snap(sharpe, 6) sharpe", "snap(skew, 4) skew", "snap(kurt, 4) kurt", "snap(dsr, 5) dsr")
 
 
 # --- pipeline quality -------------------------------------------------------------------------

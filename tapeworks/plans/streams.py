@@ -11,15 +11,30 @@ from tapeworks.plans import views
 from tapeworks.plans.models import models
 from tapeworks.plans.registry import pick, query
 from tapeworks.operators import regime
-from tapeworks.session import durable_dir, materialize
+from tapeworks.session import durable_dir
 from tapeworks.streaming import jobs
 
 
-def source(spark: SparkSession, sf: str, view) -> DataFrame:
-    """A file stream over what a view derives from the tables."""
-    rows = materialize(view(spark, sf), "stream")
-    path = rows.inputFiles()[0].rsplit("/", 1)[0]
-    return spark.readStream.schema(rows.schema).parquet(path)
+def source(spark: SparkSession, sf: str, view, *, close: str | None = None, closings: int = 1, files: int = 4) -> DataFrame:
+    """A file stream over what a view derives from the tables, in several micro-batches.
+
+    `close` names the event time: a last row, empty but for a time a day after all others,
+    moves the watermark past every open window, as the end of a topic does. It stands in
+    windows of its own that never close, so no output holds it. A chain of stateful operators
+    needs a batch for each, so more `closings`, a day apart.
+    """
+    path = f"{durable_dir(spark)}/stream-{uuid.uuid4().hex}"
+    rows = view(spark, sf)
+    rows.repartition(files).write.parquet(path)
+    if close:
+        last = spark.read.schema(rows.schema).parquet(path).agg(F.max(close).alias("t")).first()["t"]
+        for day in range(1, closings + 1):
+            t = F.lit(last) + F.expr(f"interval {day} days")
+            # blank text, as a join drops rows without a key before they move the watermark
+            blank = [F.lit("" if f.dataType.simpleString() == "string" else None).cast(f.dataType).alias(f.name) for f in rows.schema]
+            spark.range(1).select(*[t.alias(f.name) if f.name == close else b for f, b in zip(rows.schema, blank)]
+                                  ).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def drain(stream: DataFrame, *, each_batch=None, mode: str = "append") -> DataFrame:
@@ -36,7 +51,7 @@ def drain(stream: DataFrame, *, each_batch=None, mode: str = "append") -> DataFr
 
 
 @query("io7_tail_and_resume", """
-SELECT CASE WHEN k = 99 THEN '{bad' WHEN k = 98 THEN '[1,2]' END AS raw, count(*) AS n FROM x_feat GROUP BY 1""")
+SELECT CASE WHEN k = 99 THEN '{bad' WHEN k = 98 THEN '[1,2]' END AS raw, CASE WHEN k < 98 THEN epoch_us(ingest_time) END AS ingest_us FROM x_feat""")
 def io7(spark, sf):
     """Tail a topic of JSON lines with a durable checkpoint, stop, resume: nothing is read twice."""
     from tapeworks.sources import readers, schemas
@@ -49,9 +64,10 @@ def io7(spark, sf):
         topic = readers.read_records(spark, f"{base}/topic", stream=True)
         topic.writeStream.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(
             write).start().awaitTermination()
-    good = spark.read.parquet(f"{base}/good").select(F.lit(None).cast("string").alias("raw"))
-    bad = spark.read.parquet(f"{base}/bad").select("raw")
-    return good.unionByName(bad).groupBy("raw").agg(F.count("*").alias("n"))
+    at = F.unix_micros(F.to_timestamp("ingestTime")).alias("ingest_us")
+    good = spark.read.parquet(f"{base}/good").select(F.lit(None).cast("string").alias("raw"), at)
+    bad = spark.read.parquet(f"{base}/bad").select("raw", F.lit(None).cast("long").alias("ingest_us"))
+    return good.unionByName(bad)
 
 
 @query("s1_stream_dedup", """
@@ -65,17 +81,16 @@ def s1(spark, sf):
 
 
 @query("s2_stream_bars", """
-SELECT instrument, epoch_us(open_time) AS open_us, snap(open, 6) AS open, snap(close, 6) AS close, volume, ticks FROM x_bars5
-WHERE close_time <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM x_trades)""")
+SELECT instrument, epoch_us(open_time) AS open_us, snap(open, 6) AS open, snap(close, 6) AS close, volume, ticks FROM x_bars5""")
 def s2(spark, sf):
-    return drain(jobs.bars_stream(source(spark, sf, views.trade_ticks))).transform(
+    return drain(jobs.bars_stream(source(spark, sf, views.trade_ticks, close="ts"))).transform(
         pick, "instrument", "unix_micros(open_time) open_us", "snap(open, 6) open", "snap(close, 6) close", "volume", "ticks")
 
 
 @query("s3_stream_positions", """
 SELECT execution_id, qn AS qty, snap(an, 6) AS avg_cost, snap(sn, 6) AS open_slippage, snap(realized, 6) AS realized FROM x_pos""")
 def s3(spark, sf):
-    return drain(jobs.positions_stream(source(spark, sf, views.fills))).transform(
+    return drain(jobs.positions_stream(source(spark, sf, views.fills, close="ts"))).transform(
         pick, "execution_id", "qty", "snap(avg_cost, 6) avg_cost", "snap(open_slippage, 6) open_slippage", "snap(realized, 6) realized")
 
 
@@ -92,24 +107,23 @@ def s5(spark, sf):
 
 
 @query("s6_stream_tca", """
-SELECT execution_id, snap(arrival, 6) AS arrival FROM x_arrival
-WHERE time_bucket(INTERVAL 1 SECOND, ts) + INTERVAL 1 SECOND <= least((SELECT max(ts) FROM x_fills), (SELECT max(ts) FROM x_ticks)) - INTERVAL 11 MINUTE""")
+SELECT execution_id, snap(arrival, 6) AS arrival FROM x_arrival""")
 def s6(spark, sf):
-    out = drain(jobs.tca_stream(source(spark, sf, views.fills), source(spark, sf, views.ticks)))
-    return out.transform(pick, "execution_id", "snap(arrival, 6) arrival")
+    out = drain(jobs.tca_stream(*[source(spark, sf, v, close="ts", closings=9) for v in (views.fills, views.ticks)]))
+    return out.where("execution_id <> ''").transform(pick, "execution_id", "snap(arrival, 6) arrival")
 
 
-@query("s7_stream_regimes")
+@query("s7_stream_regimes", "SELECT instrument, event_id, snap(p0, 5) AS p0, snap(p1, 5) AS p1, snap(p2, 5) AS p2 FROM x_hfwd")
 def s7(spark, sf):
-    src = source(spark, sf, lambda s, d: regime.observations(views.features(s, d)))
-    return drain(jobs.regime_stream(src, models(spark, sf))).select("instrument", "event_id", "state", "probs")
+    src = source(spark, sf, lambda s, d: regime.observations(views.features(s, d)), close="event_time")
+    return drain(jobs.regime_stream(src, models(spark, sf))).transform(
+        pick, "instrument", "event_id", "snap(probs[0], 5) p0", "snap(probs[1], 5) p1", "snap(probs[2], 5) p2")
 
 
 @query("s8_stream_sessions", """
 SELECT job, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) AS last_us, count(*) AS events FROM (
   SELECT *, sum(CASE WHEN ts - p < INTERVAL 5 MINUTE THEN 0 ELSE 1 END) OVER (PARTITION BY job ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (
-    SELECT *, lag(ts) OVER (PARTITION BY job ORDER BY ts, event_id) AS p FROM x_lat)) GROUP BY job, s
-HAVING max(ts) + INTERVAL 5 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM x_lat)""")
+    SELECT *, lag(ts) OVER (PARTITION BY job ORDER BY ts, event_id) AS p FROM x_lat)) GROUP BY job, s""")
 def s8(spark, sf):
-    return drain(jobs.sessions_stream(source(spark, sf, views.latency))).select(
+    return drain(jobs.sessions_stream(source(spark, sf, views.latency, close="ts"))).select(
         "job", F.unix_micros("session_start").alias("start_us"), F.unix_micros("last_event").alias("last_us"), "events")

@@ -18,6 +18,11 @@ SELECT event_id, 'x' || event_id AS execution_id, 'o' || (event_id // 2) AS orde
 VIEWS["x_fills"] = """
 SELECT * REPLACE (CASE liquidity WHEN 'maker' THEN 'maker' WHEN 'T' THEN 'taker' END AS liquidity) FROM x_raw"""
 
+VIEWS["x_quick"] = f"""
+SELECT * REPLACE ({_COINS}[CAST((event_id // 2) % 5 + 1 AS INTEGER)] AS instrument, CASE WHEN event_id % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS side,
+  CAST(1 + (event_id // 2) % 7 AS DOUBLE) AS quantity, 0.0005::DOUBLE * px * CAST(1 + (event_id // 2) % 7 AS DOUBLE) AS transaction_cost)
+FROM (SELECT f.*, fill_price AS px FROM x_fills f)"""
+
 VIEWS["x_dirty"] = """
 SELECT event_id, CASE WHEN k < 10 THEN ' ' ELSE execution_id END AS execution_id, order_id,
   CASE WHEN k = 93 THEN NULL ELSE instrument END AS instrument,
@@ -349,7 +354,7 @@ LEFT JOIN x_wfres t ON t.part = 'test' AND t.fold = b.fold AND t.combo = b.combo
 
 VIEWS["x_known"] = """
 SELECT f.*, e.event_time AS feature_event_time, e.obi, e.midPrice, e.spread, e.momentum, e.volatility, e.fearGreed, e.volumeRatio
-FROM x_fills f ASOF JOIN x_feat e ON f.instrument = e.instrument AND f.ts > e.event_time"""
+FROM x_quick f ASOF JOIN x_feat e ON f.instrument = e.instrument AND f.ts > e.event_time"""
 VIEWS["x_klots"] = """
 SELECT instrument, execution_id, ts, side, fill_price, transaction_cost, quantity,
   sum(quantity) OVER w - quantity AS a, sum(quantity) OVER w AS b FROM x_known
@@ -394,3 +399,116 @@ SELECT instrument, bucket, sum(way * part) AS flow FROM (
   SELECT instrument, bucket, way, least(e, (bucket + 1) * 200) - greatest(s, bucket * 200) AS part FROM (
     SELECT *, unnest(range(CAST(floor(s / 200) AS BIGINT), CAST(ceil(e / 200) AS BIGINT))) AS bucket FROM x_signed))
 GROUP BY 1, 2 HAVING sum(part) >= 199.9999"""
+
+
+# --- hidden-Markov regimes: states by scaled volatility, their sums, a model from the sums ------
+
+def states_sql(source: str) -> str:
+    return f"""
+SELECT *, lag(state) OVER (PARTITION BY instrument ORDER BY event_time, event_id) AS s0 FROM (
+  SELECT *, CASE WHEN z > 0.5 THEN 2 WHEN z > -0.5 THEN 1 ELSE 0 END AS state FROM (
+    SELECT *, (x1 - avg(x1) OVER w) / (CASE WHEN stddev_pop(x1) OVER w < 1e-9 THEN 1 ELSE stddev_pop(x1) OVER w END) AS z FROM (
+      SELECT instrument, event_time, event_id, momentum AS x0, volatility AS x1, abs(obi) AS x2,
+        datediff('day', DATE '1970-01-01', CAST(event_time AS DATE)) AS epoch FROM {source}) WINDOW w AS (PARTITION BY instrument)))"""
+
+
+_SUMS = [f"n{k}" for k in range(3)] + [f"s{k}_{i}" for k in range(3) for i in range(3)] + [
+    f"q{k}_{i}{j}" for k in range(3) for i in range(3) for j in range(i, 3)] + [f"t{j}{k}" for j in range(3) for k in range(3)]
+
+
+def _state_sum(name: str) -> str:
+    kind, k = name[0], name[1]
+    if kind == "n":
+        return f"count(*) FILTER (WHERE state = {k}) AS {name}"
+    if kind == "t":
+        return f"count(*) FILTER (WHERE s0 = {k} AND state = {name[2]}) AS {name}"
+    x = f"x{name[3]}" if kind == "s" else f"x{name[3]} * x{name[4]}"
+    return f"coalesce(sum({x}) FILTER (WHERE state = {k}), 0) AS {name}"
+
+
+def model_sql(sums: str, key: str = "instrument") -> str:
+    """pi, transitions, means and covariances in columns pi0.., t0..t8, m0..m8, v<state><place>."""
+    total = lambda f: " + ".join(f.format(k=k) for k in range(3))
+    cov = {(i, j): f"{min(i, j)}{max(i, j)}" for i in range(3) for j in range(3)}
+    center = ", ".join(f"({total(f's{{k}}_{i}')}) / n_obs AS c{i}" for i in range(3))
+    width = ", ".join(f"CASE WHEN sqrt(greatest(({total(f'q{{k}}_{i}{i}')}) / n_obs - c{i} * c{i}, 0)) < 1e-9 THEN 1 "
+                      f"ELSE sqrt(greatest(({total(f'q{{k}}_{i}{i}')}) / n_obs - c{i} * c{i}, 0)) END AS w{i}" for i in range(3))
+    pi = ", ".join(f"(n{k} + 1) / (n_obs + 3) AS pi{k}" for k in range(3))
+    trans = ", ".join(f"(t{j}{k} + 1) / (t{j}0 + t{j}1 + t{j}2 + 3) AS a{3 * j + k}" for j in range(3) for k in range(3))
+    means = ", ".join(f"CASE WHEN n{k} >= 2 THEN (s{k}_{i} / n{k} - c{i}) / w{i} ELSE 0 END AS m{3 * k + i}" for k in range(3) for i in range(3))
+    covs = ", ".join(
+        f"CASE WHEN n{k} >= 2 THEN (q{k}_{cov[i, j]} / n{k} - s{k}_{i} / n{k} * s{k}_{j} / n{k}) / w{i} / w{j} ELSE {float(i == j)} END + {0.001 if i == j else 0.0} AS v{k}{3 * i + j}"
+        for k in range(3) for i in range(3) for j in range(3))
+    return f"""
+SELECT {key}, n_obs, {', '.join(f'c{i}, w{i}' for i in range(3))}, {pi}, {trans}, {means}, {covs} FROM (
+  SELECT *, {width} FROM (SELECT *, {center} FROM (SELECT *, n0 + n1 + n2 AS n_obs FROM {sums}) WHERE n_obs >= 200))"""
+
+
+def emission_sql(rows: str, model: str, key: str = "instrument") -> str:
+    """rn within the key, and b0..b2, densities scaled to a largest of 1, from rows next to their model."""
+    det = lambda k: (f"(v{k}0 * (v{k}4 * v{k}8 - v{k}5 * v{k}5) - v{k}1 * (v{k}1 * v{k}8 - v{k}5 * v{k}2) + v{k}2 * (v{k}1 * v{k}5 - v{k}4 * v{k}2))")
+    def log_density(k):
+        a, b, c, e, f, i = (f"v{k}{x}" for x in (0, 1, 2, 4, 5, 8))
+        d0, d1, d2 = (f"(z{x} - m{3 * k + x})" for x in range(3))
+        quad = (f"(({e} * {i} - {f} * {f}) * {d0} * {d0} + ({a} * {i} - {c} * {c}) * {d1} * {d1} + ({a} * {e} - {b} * {b}) * {d2} * {d2} "
+                f"+ 2 * ({c} * {f} - {b} * {i}) * {d0} * {d1} + 2 * ({b} * {f} - {c} * {e}) * {d0} * {d2} + 2 * ({b} * {c} - {a} * {f}) * {d1} * {d2})")
+        return f"-0.5 * ({quad} / {det(k)} + ln({det(k)}))"
+    on = " AND ".join(f"o.{c} = m.{c}" for c in key.split(", "))
+    part = ", ".join(f"o.{c}" for c in key.split(", "))
+    z = ", ".join(f"(x{i} - c{i}) / w{i} AS z{i}" for i in range(3))
+    return f"""
+SELECT *, l0 - greatest(l0, l1, l2) AS g0, l1 - greatest(l0, l1, l2) AS g1, l2 - greatest(l0, l1, l2) AS g2 FROM (
+  SELECT *, {', '.join(f'{log_density(k)} AS l{k}' for k in range(3))} FROM (
+    SELECT o.event_id, o.event_time, row_number() OVER (PARTITION BY {part} ORDER BY o.event_time, o.event_id) AS rn, {z}, m.*
+    FROM {rows} o JOIN {model} m ON {on}))"""
+
+
+def forward_sql(name: str, emissions: str, key: str = "instrument") -> str:
+    on = " AND ".join(f"e.{c} = p.{c}" for c in key.split(", "))
+    keys = ", ".join(f"e.{c}" for c in key.split(", "))
+    norm = lambda f: ", ".join(f"{f(k)} / ({' + '.join(f(x) for x in range(3))}) AS p{k}" for k in range(3))
+    first = norm(lambda k: f"(pi{k} * exp(g{k}))")
+    nxt = norm(lambda k: f"((p.p0 * a{k} + p.p1 * a{3 + k} + p.p2 * a{6 + k}) * exp(e.g{k}))")
+    return f"""
+SELECT {keys}, e.event_id, e.rn, {first} FROM {emissions} e WHERE rn = 1
+UNION ALL SELECT {keys}, e.event_id, e.rn, {nxt} FROM {name} p JOIN {emissions} e ON {on} AND e.rn = p.rn + 1"""
+
+
+VIEWS["x_hstates"] = states_sql("x_feat")
+VIEWS["x_hsums"] = f"SELECT instrument, {', '.join(map(_state_sum, _SUMS))} FROM x_hstates GROUP BY instrument"
+VIEWS["x_hmodel"] = model_sql("x_hsums")
+# the columns that are compared, under the names of the query
+_NAMED = ", ".join(["instrument", "n_obs", "pi0", "pi2", "a0 AS t0", "a4 AS t4", "a8 AS t8", *[f"m{i}" for i in range(9)],
+                    *[f"v{k}{i}" for k in range(3) for i in (0, 1, 4, 8)]])
+VIEWS["x_hmm"] = f"SELECT {_NAMED} FROM x_hmodel"
+VIEWS["x_hemit"] = emission_sql("x_hstates", "x_hmodel")
+VIEWS["x_hfwd"] = forward_sql("x_hfwd", "x_hemit")
+_back = lambda k: f"(a{3 * k} * exp(e.g0) * p.b0 + a{3 * k + 1} * exp(e.g1) * p.b1 + a{3 * k + 2} * exp(e.g2) * p.b2)"
+VIEWS["x_hbwd"] = f"""
+SELECT instrument, rn, 1.0::DOUBLE AS b0, 1.0::DOUBLE AS b1, 1.0::DOUBLE AS b2 FROM (SELECT instrument, max(rn) AS rn FROM x_hemit GROUP BY instrument)
+UNION ALL SELECT e.instrument, e.rn - 1, {', '.join(f"{_back(k)} / ({' + '.join(_back(x) for x in range(3))}) AS b{k}" for k in range(3))}
+FROM x_hbwd p JOIN x_hemit e ON e.instrument = p.instrument AND e.rn = p.rn WHERE p.rn > 1"""
+_step = lambda j, k: f"p.d{j} + ln(a{3 * j + k})"
+VIEWS["x_hbest"] = f"""
+SELECT instrument, event_id, rn, {', '.join(f'ln(pi{k}) + g{k} AS d{k}' for k in range(3))}, 0 AS f0, 0 AS f1, 0 AS f2 FROM x_hemit WHERE rn = 1
+UNION ALL SELECT e.instrument, e.event_id, e.rn, {', '.join(f"greatest({', '.join(_step(j, k) for j in range(3))}) + e.g{k} AS d{k}" for k in range(3))},
+  {', '.join(f"CASE WHEN {_step(0, k)} >= greatest({_step(1, k)}, {_step(2, k)}) THEN 0 WHEN {_step(1, k)} >= {_step(2, k)} THEN 1 ELSE 2 END AS f{k}" for k in range(3))}
+FROM x_hbest p JOIN x_hemit e ON e.instrument = p.instrument AND e.rn = p.rn + 1"""
+VIEWS["x_hpath"] = """
+SELECT instrument, event_id, rn, CASE WHEN d0 >= greatest(d1, d2) THEN 0 WHEN d1 >= d2 THEN 1 ELSE 2 END AS path, f0, f1, f2
+FROM x_hbest WHERE (instrument, rn) IN (SELECT (instrument, max(rn)) FROM x_hbest GROUP BY instrument)
+UNION ALL SELECT b.instrument, b.event_id, b.rn, CASE p.path WHEN 0 THEN p.f0 WHEN 1 THEN p.f1 ELSE p.f2 END, b.f0, b.f1, b.f2
+FROM x_hpath p JOIN x_hbest b ON b.instrument = p.instrument AND b.rn = p.rn - 1"""
+VIEWS["x_hday"] = f"SELECT instrument, epoch, {', '.join(map(_state_sum, _SUMS))} FROM x_hstates GROUP BY instrument, epoch"
+VIEWS["x_hpast"] = f"""
+SELECT instrument, epoch, {', '.join(f'coalesce(sum({c}) OVER w, 0) AS {c}' for c in _SUMS)} FROM x_hday
+WINDOW w AS (PARTITION BY instrument ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
+VIEWS["x_hdaymodel"] = model_sql("x_hpast", "instrument, epoch")
+VIEWS["x_hdayemit"] = emission_sql("x_hstates", "x_hdaymodel", "instrument, epoch")
+VIEWS["x_hdayfwd"] = forward_sql("x_hdayfwd", "x_hdayemit", "instrument, epoch")
+VIEWS["x_hhist"] = "SELECT o.instrument, o.event_id, o.epoch, p0, p1, p2 FROM x_hstates o LEFT JOIN x_hdayfwd f ON f.instrument = o.instrument AND f.event_id = o.event_id"
+VIEWS["x_hknown"] = "SELECT * FROM x_rev WHERE event_time <= TIMESTAMP '2024-01-10 12:00:00' AND ingest_time <= TIMESTAMP '2024-01-10 12:00:00'"
+VIEWS["x_hwstates"] = states_sql("x_hknown")
+VIEWS["x_hwsums"] = f"SELECT instrument, {', '.join(map(_state_sum, _SUMS))} FROM x_hwstates GROUP BY instrument"
+VIEWS["x_hwmodel"] = model_sql("x_hwsums")
+VIEWS["x_hwarm"] = f"SELECT {_NAMED} FROM x_hwmodel"

@@ -133,35 +133,71 @@ def sample_chain(n, seed=1):
     return np.array(z), mu[z] + rng.normal(0, .25, (n, 3)), a, mu
 
 
-def test_hmm_recovers_parameters_and_likelihood_rises():
+def chain_frame(spark, x, z=None):
+    rows = [("A", f"e{i:04d}", ts("2024-01-01") + pd.Timedelta(seconds=i), *map(float, r), int(z[i]) if z is not None else 0) for i, r in enumerate(x)]
+    return spark.createDataFrame(
+        rows, "instrument string, event_id string, event_time timestamp, x0 double, x1 double, x2 double, state int")
+
+
+def test_labelled_fit_recovers_parameters(spark):
     z, x, a, mu = sample_chain(1500)
-    best = max((regime.fit_gaussian_chain(x, 3, s) for s in range(4)), key=lambda f: f[4][-1])
-    trace = best[4]
-    assert all(later >= earlier - 1e-6 for earlier, later in zip(trace, trace[1:]))
-    order = np.argsort(best[2][:, 1])
-    assert np.allclose(best[2][order], mu[np.argsort(mu[:, 1])], atol=.1)
-    lb = regime.emission(x, best[2], best[3])
-    path = np.argsort(order)[regime.viterbi(lb, best[1], best[0])]
-    assert (path == z).mean() > .95
-    gamma, _, ll = regime.chain_smooth(lb, best[1], best[0])
-    assert np.allclose(gamma.sum(axis=1), 1) and ll == pytest.approx(regime.chain_forward(lb, best[1], best[0])[1])
-
-
-def test_blocked_filter_equals_one_pass(spark):
-    _, x, a, mu = sample_chain(400, 2)
-    cov = np.repeat((np.eye(3) * .1)[None], 3, axis=0)
-    pi = np.full(3, 1 / 3)
-    obs = spark.createDataFrame(
-        [("A", f"e{i:04d}", ts("2024-01-01") + pd.Timedelta(seconds=i), *map(float, r)) for i, r in enumerate(x)],
-        "instrument string, event_id string, event_time timestamp, x0 double, x1 double, x2 double")
-    models = spark.createDataFrame(
-        [("A", pi.tolist(), a.ravel().tolist(), mu.ravel().tolist(), cov.ravel().tolist())],
-        "instrument string, pi array<double>, trans array<double>, means array<double>, covars array<double>")
+    m = regime.models_from(regime.state_sums(chain_frame(spark, x, z))).first()
+    c = regime.Chain(m.asDict())
+    assert np.allclose(c.mu * c.scale + c.center, mu, atol=.05)
+    assert np.allclose(c.trans, a, atol=.03) and c.pi.sum() == pytest.approx(1)
+    assert regime.models_from(regime.state_sums(chain_frame(spark, x[:50], z[:50]))).count() == 0
+
+
+def one_pass(x, c):
+    """Forward and backward row by row, and the best path by back-pointers."""
+    b = regime.emission((x - c.center) / c.scale, c.mu, c.cov)
+    b -= b.max(axis=1, keepdims=True)
+    e, n = np.exp(b), len(x)
+    f, g = np.zeros_like(e), np.ones_like(e)
+    for t in range(n):
+        f[t] = (c.pi if t == 0 else f[t - 1] @ c.trans) * e[t]
+        f[t] /= f[t].sum()
+    for t in range(n - 2, -1, -1):
+        g[t] = c.trans @ (e[t + 1] * g[t + 1])
+        g[t] /= g[t].sum()
+    s, back = np.log(c.pi) + b[0], []
+    for t in range(1, n):
+        step = s[:, None] + np.log(c.trans)
+        back.append(step.argmax(axis=0))
+        s = step.max(axis=0) + b[t]
+    path = [int(s.argmax())]
+    for p in reversed(back):
+        path.append(int(p[path[-1]]))
+    sm = f * g
+    return f, sm / sm.sum(axis=1, keepdims=True), path[::-1]
+
+
+def test_blocked_chains_equal_one_pass(spark):
     from tapeworks.functions.scan import order_cuts
-    cuts = order_cuts(obs, ["event_time", "event_id"], blocks=7)
-    got = regime.causal_filter(obs, models, cuts=cuts).orderBy("event_time").collect()
-    want, _ = regime.chain_forward(regime.emission(x, mu, cov), a, pi)
-    assert np.allclose([r.probs for r in got], want, atol=1e-9)
+    z, x, _, _ = sample_chain(400, 2)
+    obs = chain_frame(spark, x, z).withColumn("other", F.lit("B"))
+    other = obs.withColumn("instrument", F.col("other")).limit(5)
+    models = regime.models_from(regime.state_sums(obs))
+    both = obs.unionByName(other)
+    want = one_pass(x, regime.Chain(models.first().asDict()))
+    for blocks in (1, 7):
+        cuts = order_cuts(both, ["event_time", "event_id"], blocks=blocks)
+        run = lambda f: f(both, models, cuts=cuts).orderBy("instrument", "event_time").collect()
+        filtered, smoothed, path = run(regime.causal_filter), run(regime.smooth), run(regime.decode)
+        assert np.allclose([r.probs for r in filtered[:400]], want[0], atol=1e-9)
+        assert np.allclose([r.smoothed for r in smoothed[:400]], want[1], atol=1e-9)
+        assert [r.path for r in path[:400]] == want[2]
+        # no model for the other key: its rows stay, without a state
+        assert [r.probs for r in filtered[400:]] == [None] * 5 and [r.state for r in filtered[400:]] == [None] * 5
+    assert (np.array(want[2]) == z).mean() > .95
+
+
+def test_history_uses_earlier_days_only(spark):
+    z, x, _, _ = sample_chain(900, 3)
+    obs = chain_frame(spark, x, z).withColumn("event_time", F.expr("timestampadd(MINUTE, cast(substr(event_id, 2) as int) * 4, timestamp'2024-01-01')")).drop("state")
+    run = lambda o: {r.event_id: r.probs for r in regime.regime_history(o, min_obs=100).collect()}
+    all_days, two_days = run(obs), run(obs.where("event_time < '2024-01-03'"))
+    assert len(all_days) == 900 and sum(p is None for p in all_days.values()) == 360
 
 
 def test_stationary_distribution(spark):
@@ -189,14 +225,17 @@ def test_strategies_are_columns():
     assert {"threshold", "vwap_deviation", "ema_crossover", "vpin_breakout", "ou_zscore"} <= set(research.STRATEGIES)
 
 
-def run_stream(spark, rows, build, files=4):
-    """Feed rows in several files, oldest first, one file per micro-batch."""
+def run_stream(spark, rows, build, files=4, close=None, schema=None):
+    """Feed rows in several files, one file per micro-batch; `close` adds closing rows at the end."""
     base = f"{durable_dir(spark)}/t-{np.random.default_rng().integers(1 << 60)}"
     n = len(rows)
+    schema = schema or spark.createDataFrame(rows).schema
     for i in range(files):
         part = rows.iloc[i * n // files:(i + 1) * n // files]
-        spark.createDataFrame(part).coalesce(1).write.mode("append").parquet(f"{base}/in")
-    schema = spark.read.parquet(f"{base}/in").schema
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    for day in (100, 200) if close else ():
+        last = [(rows[close].max() + pd.Timedelta(days=day)).to_pydatetime() if f.name == close else None if f.nullable else "" for f in schema]
+        spark.createDataFrame([last], schema).coalesce(1).write.mode("append").parquet(f"{base}/in")
     jobs.use_rocksdb(spark)
     out = build(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in"))
     out.writeStream.option("checkpointLocation", f"{base}/state").option("path", f"{base}/out").format("parquet").trigger(
@@ -205,11 +244,14 @@ def run_stream(spark, rows, build, files=4):
 
 
 def test_stream_positions_equal_batch_over_several_batches(spark, sf):
+    """Shuffled fills, three files, one per micro-batch: folded in event-time order all the same."""
     from tapeworks.operators.ledger import signed_positions
     from tapeworks.plans import views
     f = views.fills(spark, sf)
     want = {r.execution_id: r for r in signed_positions(f).collect()}
-    got = run_stream(spark, f.orderBy("ts").toPandas(), jobs.positions_stream).collect()
+    rows = f.toPandas().sample(frac=1, random_state=1)
+    got = run_stream(spark, rows, lambda s: jobs.positions_stream(s, delay="60 days"), files=3, close="ts", schema=f.schema)
+    got = got.collect()
     assert len(got) == len(want)
     for g in got:
         w = want[g.execution_id]
@@ -221,7 +263,7 @@ def test_stream_dedup_across_batches(spark, sf):
     from tapeworks.plans import views
     f = views.fills(spark, sf).limit(200).toPandas()
     twice = pd.concat([f, f]).sort_values("ts", kind="stable")
-    assert run_stream(spark, twice, lambda s: jobs.dedup_stream(s)).count() == len(f)
+    assert run_stream(spark, twice, lambda s: jobs.dedup_stream(s), schema=views.fills(spark, sf).schema).count() == len(f)
 
 
 def test_repeated_batch_adds_nothing_to_the_store(spark, sf):
