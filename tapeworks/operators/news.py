@@ -82,6 +82,26 @@ def sentiment(parsed: DataFrame, as_of, *, coins=COINS, half_life: float = HALF_
     ).withColumn("label", score_label(F.round("score", 4)))
 
 
+def sentiment_series(parsed: DataFrame, *, step_minutes: int = 10, coins=COINS, half_life: float = HALF_LIFE_SECS,
+                     window_minutes: int = 120) -> DataFrame:
+    """`sentiment` at every multiple of the step that has a headline in its window: (coin, at, score).
+
+    A headline goes to the snapshots it is seen by, window / step of them, and partial sums do
+    the rest.
+    """
+    step = step_minutes * 60_000_000
+    born = F.unix_micros("processed_at")
+    first = F.ceil(born / step)
+    seen = F.sequence(first, F.floor((born + F.lit(window_minutes * 60_000_000) - 1) / step))
+    rows = by_coin(parsed, coins=coins).where("classified").withColumn("__k", F.explode(seen))
+    w = F.exp(-(F.col("__k") * step - born) / 1e6 * F.ln(F.lit(2.0)) / half_life)
+    way = F.when(F.col("sentiment") == "bullish", 1.0).when(F.col("sentiment") == "bearish", -1.0).otherwise(0.0)
+    c = F.col("confidence")
+    sums = rows.groupBy("coin", F.timestamp_micros(F.col("__k") * step).alias("at")).agg(
+        F.sum(w * c * way).alias("up"), F.sum(F.when(c > 0, w * c).otherwise(w)).alias("down"))
+    return sums.select("coin", "at", F.coalesce(F.col("up") / F.nullif(F.col("down"), F.lit(0.0)), F.lit(0.0)).alias("score"))
+
+
 def recent_headlines(parsed: DataFrame, *, limit: int = 50) -> DataFrame:
     return recent(parsed, limit, time="processed_at", uid="headline_id")
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeworks.functions.numeric import clamp, ratio
-from tapeworks.functions.scan import running
+from tapeworks.functions.scan import Cuts, running
 
 YEAR_HOURS = 8760.0
 ZERO_STD = 0.001
@@ -170,11 +170,11 @@ def by_instrument(positions: DataFrame, *, time="ts", uid="execution_id") -> Dat
 
 
 def ranked_returns(trips: DataFrame, *, last_n: int | None = None, time="time",
-                   uid="execution_id") -> DataFrame:
+                   uid="execution_id", cuts: Cuts | None = None) -> DataFrame:
     """Each instrument's returns numbered from the newest; the newest last_n only if the caller says so."""
     r = running(
         trips.select("instrument", F.col("net_pnl").alias("ret"), time, uid),
-        {"pos": ("count", F.lit(1))}, key=["instrument"], order=[time, uid], descending=True,
+        {"pos": ("count", F.lit(1))}, key=["instrument"], order=[time, uid], descending=True, cuts=cuts,
     )
     return r.where(F.col("pos") <= last_n) if last_n else r
 

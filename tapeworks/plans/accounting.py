@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tapeworks.operators import ledger, quality, risk
 from tapeworks.plans import views
-from tapeworks.plans.registry import pick, query, shared
+from tapeworks.plans.registry import pick, query, shared, time_cuts
 from tapeworks.sources import readers, schemas
 
 CASH = 100_000.0
@@ -17,16 +17,20 @@ def clean_fills(spark, sf):
     return quality.dedup_fills(valid, order=["arrival_no"])
 
 
+def cuts(spark, sf):
+    return time_cuts(spark, sf, lambda: views.fills(spark, sf), ["ts", "execution_id"])
+
+
 def positions(spark, sf):
-    return shared(spark, sf, "positions", lambda: ledger.signed_positions(views.fills(spark, sf)))
+    return shared(spark, sf, "positions", lambda: ledger.signed_positions(views.fills(spark, sf), cuts=cuts(spark, sf)))
 
 
 def equity(spark, sf):
-    return shared(spark, sf, "equity", lambda: ledger.equity_curve(positions(spark, sf), initial_cash=CASH))
+    return shared(spark, sf, "equity", lambda: ledger.equity_curve(positions(spark, sf), initial_cash=CASH, cuts=cuts(spark, sf)))
 
 
 def matches(spark, sf):
-    return shared(spark, sf, "matches", lambda: ledger.fifo_match(views.fills(spark, sf)))
+    return shared(spark, sf, "matches", lambda: ledger.fifo_match(views.fills(spark, sf), cuts=cuts(spark, sf)))
 
 
 def trips(spark, sf):
@@ -34,7 +38,7 @@ def trips(spark, sf):
 
 
 def drawdowns(spark, sf):
-    return shared(spark, sf, "drawdowns", lambda: ledger.drawdown_points(equity(spark, sf), initial_cash=CASH))
+    return shared(spark, sf, "drawdowns", lambda: ledger.drawdown_points(equity(spark, sf), initial_cash=CASH, cuts=cuts(spark, sf)))
 
 
 @query("net_pnl_by_instrument", """
@@ -46,7 +50,7 @@ FROM x_cl_pos GROUP BY instrument""")
 def net_pnl_by_instrument(spark, sf):
     # the scans read the cleaned fills several times
     clean = shared(spark, sf, "clean_fills", lambda: clean_fills(spark, sf))
-    pos = ledger.signed_positions(clean, uid="event_id")
+    pos = ledger.signed_positions(clean, uid="event_id", cuts=cuts(spark, sf))
     return risk.by_instrument(pos, uid="event_id").transform(pick, "instrument", "trades", "round_trips", "snap(win_rate, 6) win_rate", "snap(net_pnl, 4) net_pnl",
         "position", "snap(avg_cost, 6) avg_cost")
 
@@ -332,7 +336,7 @@ def a3(spark, sf):
 
 @query("a4_cash_ledger", "SELECT execution_id, snap(cash, 4) AS cash FROM x_equity")
 def a4(spark, sf):
-    return ledger.cash_ledger(positions(spark, sf), initial_cash=CASH).transform(pick, "execution_id", "snap(cash, 4) cash")
+    return ledger.cash_ledger(positions(spark, sf), initial_cash=CASH, cuts=cuts(spark, sf)).transform(pick, "execution_id", "snap(cash, 4) cash")
 
 
 @query("a5_equity_curve", """
@@ -343,7 +347,7 @@ def a5(spark, sf):
 
 @query("a5_equity_mark_to_market", "SELECT execution_id, snap(value_mtm, 4) AS value FROM x_equity")
 def a5m(spark, sf):
-    return ledger.equity_curve(positions(spark, sf), initial_cash=CASH, mark_to_market=True).transform(pick, "execution_id", "snap(value, 4) value")
+    return ledger.equity_curve(positions(spark, sf), initial_cash=CASH, mark_to_market=True, cuts=cuts(spark, sf)).transform(pick, "execution_id", "snap(value, 4) value")
 
 
 @query("a6_drawdown_points", "SELECT execution_id, snap(peak, 4) AS peak, snap(dd, 4) AS drawdown, snap(dd_pct, 8) AS drawdown_pct FROM x_dd")
@@ -482,7 +486,7 @@ def r10(spark, sf):
 SELECT a.instrument AS a, b.instrument AS b, count(*) AS n, snap(corr(a.ret, b.ret), 6) AS corr
 FROM x_tail a JOIN x_tail b ON a.pos = b.pos AND a.instrument < b.instrument GROUP BY 1, 2 HAVING count(*) >= 5""")
 def r11(spark, sf):
-    return risk.pair_correlations(risk.ranked_returns(trips(spark, sf))).transform(pick, "a", "b", "n", "snap(corr, 6) corr")
+    return risk.pair_correlations(risk.ranked_returns(trips(spark, sf), cuts=cuts(spark, sf))).transform(pick, "a", "b", "n", "snap(corr, 6) corr")
 
 
 @query("r12_portfolio_var", """
@@ -495,7 +499,7 @@ FROM (SELECT instrument, stddev_pop(ret) AS s FROM x_tail GROUP BY instrument),
   LEFT JOIN (SELECT a.instrument AS i, b.instrument AS j, corr(a.ret, b.ret) AS c FROM x_tail a JOIN x_tail b ON a.pos = b.pos GROUP BY 1, 2)
     ON i = x.instrument AND j = y.instrument)""")
 def r12(spark, sf):
-    return risk.portfolio_var(risk.ranked_returns(trips(spark, sf))).transform(pick, "instruments", "snap(var_95, 4) var_95", "snap(var_99, 4) var_99", "snap(diversification_benefit, 5) diversification_benefit")
+    return risk.portfolio_var(risk.ranked_returns(trips(spark, sf), cuts=cuts(spark, sf))).transform(pick, "instruments", "snap(var_95, 4) var_95", "snap(var_99, 4) var_99", "snap(diversification_benefit, 5) diversification_benefit")
 
 
 @query("r13_portfolio_construction", """
@@ -507,7 +511,7 @@ FROM (SELECT *, g / sum(abs(g)) OVER () AS w FROM (SELECT *, 1 / vol - avg(1 / v
       SELECT t.* FROM x_tail t, (SELECT min(m) AS m FROM (SELECT count(*) AS m FROM x_tail GROUP BY instrument)) WHERE pos <= m))
   GROUP BY instrument)))""")
 def r13(spark, sf):
-    return risk.portfolio_construction(risk.ranked_returns(trips(spark, sf))).transform(pick, "instrument", "snap(weight, 6) weight", "snap(risk_contribution, 6) risk_contribution", "snap(market, 6) market",
+    return risk.portfolio_construction(risk.ranked_returns(trips(spark, sf), cuts=cuts(spark, sf))).transform(pick, "instrument", "snap(weight, 6) weight", "snap(risk_contribution, 6) risk_contribution", "snap(market, 6) market",
         "snap(momentum, 5) momentum", "snap(volatility, 5) volatility", "n")
 
 

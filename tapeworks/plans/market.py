@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tapeworks.operators import bars, decisions, signals, store, tca
+from tapeworks.functions.asof import asof_join
+from tapeworks.operators import bars, decisions, news, signals, store, tca
 from tapeworks.plans import views
 from tapeworks.plans.registry import pick, query, shared
 
@@ -129,22 +130,42 @@ def assembled(spark, sf):
     def build():
         r = regimes(spark, sf).select("instrument", "open_time", "volatility_ann", "hurst", "autocorr", "confidence")
         joined = multi(spark, sf).join(r, ["instrument", "open_time"])
+        at = {"left_time": "close_time", "left_uid": "open_time"}
+        joined = asof_join(joined, signals.oi_change(views.open_interest(spark, sf)), **at, right_time="ts", right_uid="event_id", take={"oi_change": "oi_change"})
+        layers = ("fear_greed", "funding_rate", "ml_score", "ml_ready")
+        joined = asof_join(joined, views.market_layers(spark, sf), **at, right_time="ts", right_uid="event_id", take={c: c for c in layers})
+        mood = news.sentiment_series(news.parse_response(views.headlines(spark, sf))).withColumn("instrument", F.concat(F.upper("coin"), F.lit("-USDT")))
+        joined = asof_join(joined, mood, **at, right_time="at", right_uid="at", take={"news_sentiment": "score"}, tolerance="10 minutes")
         return signals.assemble_events(joined, signals.order_book_imbalance(views.books(spark, sf)))
     return shared(spark, sf, "assembled", build)
 
 
+_VALUES = {
+    "obi": "coalesce((bv - av) / (bv + av), 0)", "bidVolume": "coalesce(bv, 0)", "askVolume": "coalesce(av, 0)",
+    "spread": "coalesce(best_ask - best_bid, 0)", "midPrice": "coalesce((best_bid + best_ask) / 2, 0)",
+    "levels": "CASE WHEN b.book_id IS NULL THEN 0 ELSE 10 END", "momentum": "e.momentum", "momentum1m": "coalesce(momentum_1m, 0)",
+    "momentum15m": "coalesce(momentum_15m, 0)", "emaFast": "ef", "emaSlow": "es", "volatility": "e.volatility", "atr": "atr",
+    "volumeRatio": "volume_ratio", "fearGreed": "coalesce(f.fearGreed, 50)", "fundingRate": "coalesce((f.seq % 13 - 6) / 10000, 0)",
+    "oiChange": "coalesce(o.oi_change, 0)", "mlScore": "coalesce(abs(f.obi), 0.5)", "mlReady": "CASE WHEN f.event_id IS NULL THEN 0 ELSE 1 END",
+    "newsSentiment": "CASE WHEN s.mood_ts >= e.close_time - INTERVAL 10 MINUTE THEN score ELSE 0 END",
+    "regimeVolAnn": "CASE WHEN r.regime = 'unknown' THEN 0 ELSE vol END", "regimeHurst": "CASE WHEN r.regime = 'unknown' THEN 0.5 ELSE r.hurst END",
+    "regimeAutocorr": "CASE WHEN r.regime = 'unknown' THEN 0 ELSE ac END", "regimeConfidence": "confidence",
+}
+
+
 @query("f16_assemble_feature_event", f"""
-SELECT e.instrument, epoch_us(e.close_time) AS event_us, snap(coalesce((bv - av) / (bv + av), 0), 6) AS obi,
-  snap(e.momentum, 8) AS momentum, snap(coalesce(e.momentum_15m, 0), 8) AS momentum_15m,
-  snap(CASE WHEN r.regime = 'unknown' THEN 0.5 ELSE r.hurst END, 5) AS hurst,
+SELECT e.instrument, epoch_us(e.close_time) AS event_us, {', '.join(f"snap(CAST({x} AS DOUBLE), 5) AS v_{k}" for k, x in _VALUES.items())},
   CASE WHEN b.book_id IS NOT NULL THEN 'orderbook:' || replace(e.instrument, '-', '') || ':' || b.book_id || ',' ELSE '' END
     || 'kline5m:' || replace(e.instrument, '-', '') || ':' || epoch_ms(e.close_time) AS inputs
 FROM ({_MTF}) e JOIN x_regime r ON r.instrument = e.instrument AND r.open_time = e.open_time
-ASOF LEFT JOIN x_obi b ON b.instrument = e.instrument AND e.close_time >= b.ts""")
+ASOF LEFT JOIN x_obi b ON b.instrument = e.instrument AND e.close_time >= b.ts
+ASOF LEFT JOIN (SELECT instrument, ts, coalesce((open_interest - p) / p, 0) AS oi_change FROM (
+  SELECT *, lag(open_interest) OVER (PARTITION BY instrument ORDER BY ts, event_id) AS p FROM x_oi)) o ON o.instrument = e.instrument AND e.close_time >= o.ts
+ASOF LEFT JOIN x_feat f ON f.instrument = e.instrument AND e.close_time >= f.event_time
+ASOF LEFT JOIN x_mood s ON s.instrument = e.instrument AND e.close_time >= s.mood_ts""")
 def f16(spark, sf):
     return assembled(spark, sf).transform(
-        pick, "instrument", "unix_micros(event_time) event_us", "snap(values['obi'], 6) obi", "snap(values['momentum'], 8) momentum",
-        "snap(values['momentum15m'], 8) momentum_15m", "snap(values['regimeHurst'], 5) hurst", "array_join(input_event_ids, ',') inputs")
+        pick, "instrument", "unix_micros(event_time) event_us", *[f"snap(values['{k}'], 5) v_{k}" for k in _VALUES], "array_join(input_event_ids, ',') inputs")
 
 
 @query("f17_signal_counts", """

@@ -285,13 +285,11 @@ def n2(spark, sf):
     return parsed(spark, sf).select("headline_id", "classified", *_ANSWERS)
 
 
-_COINS = " UNION ALL ".join(
-    f"SELECT '{c}' AS coin, classified, processed_at, {c}_sentiment AS s, {c}_confidence AS c FROM x_news" for c in news.COINS)
 _SCORE = f"""
 SELECT coin, coalesce(sum(w * c * d) FILTER (WHERE classified) / sum(CASE WHEN c > 0 THEN w * c ELSE w END) FILTER (WHERE classified), 0) AS score,
   count(*) FILTER (WHERE classified) AS headlines, count(*) FILTER (WHERE NOT classified) AS unclassified FROM (
   SELECT coin, classified, c, CASE s WHEN 'bullish' THEN 1 WHEN 'bearish' THEN -1 ELSE 0 END AS d,
-    exp(-(epoch_us(TIMESTAMP '{views.NEWS_AS_OF}') - epoch_us(processed_at)) / 1e6 * ln(2) / 1800) AS w FROM ({_COINS})
+    exp(-(epoch_us(TIMESTAMP '{views.NEWS_AS_OF}') - epoch_us(processed_at)) / 1e6 * ln(2) / 1800) AS w FROM x_coins
   WHERE processed_at > TIMESTAMP '{views.NEWS_AS_OF}' - INTERVAL 2 HOUR AND processed_at <= TIMESTAMP '{views.NEWS_AS_OF}') GROUP BY coin"""
 
 

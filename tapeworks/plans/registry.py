@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tapeworks.functions.scan import Cuts, order_cuts
 from tapeworks.plans.views_sql import VIEWS
 from tapeworks.session import materialize
 
@@ -72,5 +73,18 @@ def shared(spark: SparkSession, sf: str, name: str, build: Callable[[], DataFram
     return _SHARED[key]
 
 
+_CUTS: dict[tuple[str, str], Cuts] = {}
+
+
+def time_cuts(spark: SparkSession, sf: str, base: Callable[[], DataFrame], order: list[str]) -> Cuts:
+    """Cuts of the event-time axis of a folder, taken once: all scans in event-time order share
+    them, as any cuts give the same result and all their inputs come from the same events."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _CUTS:
+        _CUTS[key] = order_cuts(base(), order)
+    return _CUTS[key]
+
+
 def forget_shared() -> None:
     _SHARED.clear()
+    _CUTS.clear()

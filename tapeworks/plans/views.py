@@ -162,6 +162,13 @@ def books(spark, sf) -> DataFrame:
     )
 
 
+def market_layers(spark, sf) -> DataFrame:
+    """Fear-and-greed index, funding rate and a model's score, next to the feature events."""
+    return features(spark, sf).select(
+        "instrument", F.col("event_time").alias("ts"), "event_id", F.col("fearGreed").alias("fear_greed"),
+        ((F.col("seq") % 13 - 6) / 10000).alias("funding_rate"), F.abs("obi").alias("ml_score"), F.lit(1.0).alias("ml_ready"))
+
+
 def open_interest(spark, sf) -> DataFrame:
     return events(spark, sf).select(
         "instrument", "ts", "event_id", (1000 + F.col("event_id") * 37 % 500).cast("double").alias("open_interest"))

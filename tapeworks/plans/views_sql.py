@@ -105,6 +105,16 @@ VIEWS["x_news"] = "SELECT headline_id, title, source, processed_at, classified,
     f"CASE WHEN classified THEN {c}_sentiment ELSE 'neutral' END AS {c}_sentiment, CASE WHEN classified THEN {c}_confidence ELSE 0.5 END AS {c}_confidence"
     for c in ("btc", "eth", "sol", "xrp", "doge")) + " FROM x_head"
 
+VIEWS["x_coins"] = " UNION ALL ".join(
+    f"SELECT '{c}' AS coin, classified, processed_at, {c}_sentiment AS s, {c}_confidence AS c FROM x_news" for c in ("btc", "eth", "sol", "xrp", "doge"))
+
+VIEWS["x_mood"] = """
+SELECT upper(coin) || '-USDT' AS instrument, mood_ts, sum(w * c * d) / sum(CASE WHEN c > 0 THEN w * c ELSE w END) AS score FROM (
+  SELECT coin, c, mood_ts, CASE s WHEN 'bullish' THEN 1 WHEN 'bearish' THEN -1 ELSE 0 END AS d,
+    exp(-(epoch_us(mood_ts) - epoch_us(processed_at)) / 1e6 * ln(2) / 1800) AS w FROM (
+    SELECT *, time_bucket(INTERVAL 10 MINUTE, processed_at) + to_minutes(10 * i) AS mood_ts FROM x_coins, (SELECT unnest(range(13)) AS i) WHERE classified)
+  WHERE mood_ts >= processed_at AND processed_at > mood_ts - INTERVAL 2 HOUR) GROUP BY coin, mood_ts"""
+
 VIEWS["x_lat"] = """
 SELECT event_id, ts, event_type AS job, instrument, value * 2 AS latency_ms, k > 2 AS up,
   CASE WHEN k % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS side FROM x_ev"""

@@ -28,6 +28,9 @@ def test_time_guards_reach_the_scan(table):
     assert "midPrice" not in pushed and "momentum" not in pushed
     assert "LessThanOrEqual(event_time" in pushed and "LessThanOrEqual(ingest_time" in pushed
     assert "Window" not in p
+    for df in (store.features_as_of(table, views.AS_OF_MID), store.training_window(table, views.AS_OF_MID), store.revisions_as_of(table, views.AS_OF_MID)):
+        p = plan(df)
+        assert "event_date" in p[p.index("PartitionFilters"):].split("]")[0]
 
 
 def test_only_needed_columns_are_read(table):
