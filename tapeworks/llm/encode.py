@@ -16,6 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 # The letters and numbers among the Latin-1 characters, and the contractions
 # that the vocabulary's split rule names.
@@ -25,8 +26,9 @@ _WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\s{_LE
 _RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _APART = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
 
-MEMO_CHUNKS = 400_000
-PIECE_CHARS = 1 << 18
+MEMO_CHUNKS = 800_000
+PIECE_CHARS = 1 << 20
+BATCH_BYTES = 1 << 22
 
 
 class Encoder:
@@ -58,56 +60,89 @@ class Encoder:
         return [np.array(e.ids, "<u4").tobytes() for e in done]
 
     def _learn(self, missing: list[str]) -> None:
-        if len(self.chunks) + len(missing) > MEMO_CHUNKS:
-            self.chunks.clear()
         if len(self.known) > MEMO_CHUNKS:
             self.known.clear()
-        plain, other = [], []
+        cut, other = {}, []
         for c in missing:
-            try:
-                c.encode("latin-1")
-                plain.append(c)
-            except UnicodeEncodeError:
-                other.append(c)
+            if not c.isascii():
+                try:
+                    c.encode("latin-1")
+                except UnicodeEncodeError:
+                    other.append(c)
+                    continue
+            low = c.lower()
+            if low.isalpha():
+                cut[c] = (low,)
+            elif low[-1:] in (".", ",") and low[:-1].isalpha():
+                cut[c] = (low[:-1], low[-1])
+            else:
+                cut[c] = _WORDS.findall(low)
         if other:
             self.chunks.update(zip(other, self._whole(other)))
-        cut = [_WORDS.findall(c.lower()) for c in plain]
-        new = list({w for ws in cut for w in ws if w not in self.known})
+        new = list({w for ws in cut.values() for w in ws if w not in self.known})
         if new:
             ids = self.words.encode_batch_fast(new, add_special_tokens=False)
             self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, ids))
         get = self.known.__getitem__
-        self.chunks.update((c, get(ws[0]) if len(ws) == 1 else b"".join(map(get, ws))) for c, ws in zip(plain, cut))
+        self.chunks.update((c, get(ws[0]) if len(ws) == 1 else b"".join(map(get, ws))) for c, ws in cut.items())
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def _chunk_ids(self, chunks: list[str]) -> list[bytes]:
+        """Ids of distinct chunks, learning all new ones in one batch."""
+        missing = [c for c in chunks if c not in self.chunks]
+        if len(self.chunks) + len(missing) > MEMO_CHUNKS:
+            self.chunks.clear()
+            missing = chunks
+        self._learn(missing)
+        return list(map(self.chunks.__getitem__, chunks))
+
+    def _split(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """Per text the border of its chunks, per chunk the number of a distinct one, and their ids."""
+        lists = pc.ascii_split_whitespace(texts)
+        found = lists.flatten().dictionary_encode()
+        borders = lists.offsets.to_numpy().astype(np.int64)
+        return borders - borders[0], found.indices.to_numpy(zero_copy_only=False), self._chunk_ids(found.dictionary.to_pylist())
+
+    def _apart(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, list[bytes]]:
+        """Texts that need the full pipeline, taken out and encoded by it."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        if self.by_word:
+            mask = np.zeros(len(texts), bool)
+            for s in _APART:
+                mask |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        else:
+            mask = np.ones(len(texts), bool)
+        at = np.flatnonzero(mask)
+        if not len(at):
+            return texts, at, []
+        return pc.if_else(pa.array(mask), "", texts), at, self._whole(texts.take(pa.array(at)).to_pylist())
+
+    def lengths(self, texts: pa.Array) -> np.ndarray:
+        """How many ids each text has."""
+        plain, at, whole = self._apart(texts)
+        borders, which, ids = self._split(plain)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        total = np.concatenate([[0], np.cumsum(size[which])])[borders]
+        n = np.diff(total)
+        n[at] = [len(x) // 4 for x in whole]
+        return n
+
+    def encode(self, texts: pa.Array | list) -> list[bytes]:
         """Ids of each text; a null text has none."""
-        out: list[bytes] = [b""] * len(texts)
-        apart = []
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            if not self.by_word or any(s in text for s in _APART):
-                apart.append(i)
-            else:
-                out[i] = b"".join(self._piece(p) for p in pieces(text))
-        for i, ids in zip(apart, self._whole([texts[i] for i in apart])):
-            out[i] = ids
+        plain, at, whole = self._apart(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+        borders, which, ids = self._split(plain)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        pool = np.frombuffer(b"".join(ids), "<u4")
+        begin = np.cumsum(size) - size
+        n = size[which]
+        total = np.concatenate([[0], np.cumsum(n)])
+        # every chunk's ids, one after another
+        flat = pool[np.repeat(begin[which] - total[:-1], n) + np.arange(total[-1])].tobytes()
+        ends = 4 * total[borders]
+        out = [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
+        for i, x in zip(at, whole):
+            out[i] = x
         return out
 
-    def _piece(self, text: str) -> bytes:
-        chunks = text.split()
-        get = self.chunks.get
-        ids = list(map(get, chunks))
-        if None in ids:
-            missing = list({c for c, x in zip(chunks, ids) if x is None})
-            self._learn(missing)
-            try:
-                ids = list(map(self.chunks.__getitem__, chunks))
-            except KeyError:  # the memo was emptied for the new ones
-                self._learn(list({c for c in chunks if c not in self.chunks}))
-                ids = list(map(self.chunks.__getitem__, chunks))
-        return b"".join(ids)
-
 
 def pieces(text: str, most: int = PIECE_CHARS) -> list[str]:
     """Cut a long text between a character and the white space after it: no token spans that."""
@@ -137,8 +172,6 @@ def encoder(path: str) -> Encoder:
 
 def parts_by_bytes(texts: pa.Array, most: int) -> list[tuple[int, int]]:
     """Runs [a, b) of rows of about the same number of bytes, at least one row each."""
-    import pyarrow.compute as pc
-
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(sizes)
     out, at = [], 0

@@ -10,9 +10,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeworks.llm.encode import encoder, parts_by_bytes
+from tapeworks.llm.encode import BATCH_BYTES, encoder, parts_by_bytes
 
-BATCH_BYTES = 1 << 20
 OPEN_BINS = 512
 
 
@@ -77,7 +76,7 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: s
             texts = batch.column("text")
             for a, b in parts_by_bytes(texts, BATCH_BYTES):
                 row, piece, start, ids, seq, off = [], [], [], [], [], []
-                for i, data in enumerate(enc.encode(texts.slice(a, b - a).to_pylist()), a):
+                for i, data in enumerate(enc.encode(texts.slice(a, b - a)), a):
                     data += end
                     for k, at in enumerate(range(0, len(data), 4 * size)):
                         part = data[at:at + 4 * size] if len(data) > 4 * size else data

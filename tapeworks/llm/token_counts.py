@@ -6,22 +6,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeworks.llm.encode import encoder, parts_by_bytes, pieces
+from tapeworks.llm.encode import BATCH_BYTES, encoder, parts_by_bytes, pieces
 
-BATCH_BYTES = 1 << 20
+def _lengths(texts: pa.Array, path: str, most: int) -> np.ndarray:
+    if not path.endswith(".json"):
+        from sentencepiece import SentencePieceProcessor
 
-
-def _lengths(texts: list[str | None], path: str) -> list[int]:
-    if path.endswith(".json"):
-        enc = encoder(path)
-        return [len(ids) // 4 for ids in enc.encode(texts)]
-    from sentencepiece import SentencePieceProcessor
-
-    model = SentencePieceProcessor(model_file=path)
-    return [len(x) for x in model.encode([t or "" for t in texts], num_threads=1)]
+        model = SentencePieceProcessor(model_file=path)
+        return np.array([len(x) for x in model.encode([t or "" for t in texts.to_pylist()], num_threads=1)], np.int64)
+    enc = encoder(path)
+    if len(texts) > 1 or len(texts[0].as_py() or "") <= most:
+        return enc.lengths(texts)
+    # a run of one text above the batch size: its pieces are batches of their own
+    return np.array([sum(int(enc.lengths(pa.array([p]))[0]) for p in pieces(texts[0].as_py(), most))])
 
 
 def counts(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text",
@@ -41,15 +42,11 @@ def counts(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col:
             texts = batch.column("text")
             n = np.zeros(len(texts), np.int64)
             for a, b in parts_by_bytes(texts, batch_bytes):
-                n[a:b] = _lengths(texts.slice(a, b - a).to_pylist(), tokenizer)
+                n[a:b] = _lengths(texts.slice(a, b - a), tokenizer, batch_bytes)
             size = texts.cast(pa.binary()) if pa.types.is_string(texts.type) else texts.cast(pa.large_binary())
-            import pyarrow.compute as pc
-
             n_bytes = pc.fill_null(pc.binary_length(size), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("id"), n_bytes, pa.array(n)], ["id", "n_bytes", "n_tokens"])
 
     out = slim.mapInArrow(run, f"id {id_type}, n_bytes long, n_tokens long")
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens")
 
-
-__all__ = ["counts", "pieces"]

@@ -24,10 +24,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeworks.llm._rows import KEY, partitions, row_key
-from tapeworks.llm.encode import encoder, parts_by_bytes
+from tapeworks.llm.encode import BATCH_BYTES, encoder, parts_by_bytes
 
-BLOCK_TOKENS = 1 << 20
-BATCH_BYTES = 1 << 20
+BLOCK_TOKENS = 1 << 18
 MAGIC = b"WVM1"
 
 
@@ -51,12 +50,13 @@ def build(ids: np.ndarray) -> bytes:
     zeros, planes = [], []
     pack = ZstdCompressor(level=1).compress
     for k in range(levels - 1, -1, -1):
-        bit = (codes >> codes.dtype.type(k)) & codes.dtype.type(1)
-        planes.append(pack(np.packbits(bit.astype(np.uint8)).tobytes()))
-        one = bit.view(f"u{codes.dtype.itemsize}").astype(bool)
+        if k == 7:
+            codes = codes.astype(np.uint8)  # the higher bits have had their levels
+        one = (codes & codes.dtype.type(1 << k)) != 0
+        planes.append(pack(np.packbits(one).tobytes()))
         low, high = np.flatnonzero(~one), np.flatnonzero(one)
         zeros.append(len(low))
-        codes = np.concatenate([codes[low], codes[high]])
+        codes = np.concatenate([codes.take(low), codes.take(high)])
     head = np.array([len(ids), levels, len(symbols), *symbols, *zeros, *map(len, planes)], "<u4")
     return b"".join([MAGIC, head.tobytes(), *planes])
 
@@ -179,7 +179,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, *, id_col: str = "doc_id",
         for batch in source:
             texts, keys = batch.column("text"), batch.column("id").to_pylist()
             for a, b in parts_by_bytes(texts, BATCH_BYTES):
-                for key, data in zip(keys[a:b], enc.encode(texts.slice(a, b - a).to_pylist())):
+                for key, data in zip(keys[a:b], enc.encode(texts.slice(a, b - a))):
                     held += [data, end]
                     ids.append(key)
                     sizes.append(len(data) // 4 + 1)
