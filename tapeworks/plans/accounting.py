@@ -228,18 +228,20 @@ def v9_counts(spark, sf):
     return quality.default_counts(quality.coerce_values(f))
 
 
-@query("v10_contract_check", """
+# what the raw events of the fixture hold; all other required keys are missing in every one
+_HELD = ("eventId", "eventTime", "ingestTime", "featureName", "instrument", "values")
+_HELD_VALUES = ("obi", "midPrice", "spread", "momentum", "volatility", "fearGreed", "volumeRatio")
+_quoted = lambda names: ", ".join(f"'{n}'" for n in names)
+
+
+@query("v10_contract_check", f"""
 SELECT problem, field, count(*) AS n FROM (
-  SELECT 'missing_top_level' AS problem, f AS field FROM x_feat, (SELECT unnest(['codeVersion', 'inputEventIds',
-    'featureVersion', 'windowStart', 'windowEnd', 'signalTimeMs']) AS f) WHERE k NOT IN (98, 99)
+  SELECT 'missing_top_level' AS problem, f AS field FROM x_feat, (SELECT unnest([{_quoted(k for k in schemas.REQUIRED_TOP_LEVEL if k not in _HELD)}]) AS f) WHERE k NOT IN (98, 99)
   UNION ALL SELECT 'missing_top_level', 'eventTime' FROM x_feat WHERE k = 88
   UNION ALL SELECT 'missing_top_level', 'instrument' FROM x_feat WHERE k = 89
   UNION ALL SELECT 'missing_top_level', 'values' FROM x_feat WHERE k = 87
-  UNION ALL SELECT 'missing_value', f FROM x_feat, (SELECT unnest(['bidVolume', 'askVolume', 'levels', 'momentum1m', 'momentum15m',
-    'emaFast', 'emaSlow', 'atr', 'fundingRate', 'oiChange', 'mlScore', 'mlReady', 'newsSentiment', 'regimeVolAnn', 'regimeHurst',
-    'regimeAutocorr', 'regimeConfidence']) AS f) WHERE k NOT IN (98, 99)
-  UNION ALL SELECT 'missing_value', f FROM x_feat, (SELECT unnest(['obi', 'midPrice', 'spread', 'momentum', 'volatility',
-    'fearGreed', 'volumeRatio']) AS f) WHERE k = 87
+  UNION ALL SELECT 'missing_value', f FROM x_feat, (SELECT unnest([{_quoted(k for k in schemas.REQUIRED_VALUES if k not in _HELD_VALUES)}]) AS f) WHERE k NOT IN (98, 99)
+  UNION ALL SELECT 'missing_value', f FROM x_feat, (SELECT unnest([{_quoted(_HELD_VALUES)}]) AS f) WHERE k = 87
   UNION ALL SELECT 'missing_value', 'obi' FROM x_feat WHERE k = 92
   UNION ALL SELECT 'missing_value', 'spread' FROM x_feat WHERE k % 20 = 7 AND k <> 87
   UNION ALL SELECT 'non_numeric_value', 'obi' FROM x_feat WHERE k IN (90, 91)) GROUP BY problem, field""")
