@@ -198,19 +198,19 @@ _PROBS = "snap(probs[0], 5) p0", "snap(probs[1], 5) p1", "snap(probs[2], 5) p2"
 _PROBS_SQL = "snap(p0, 5) AS p0, snap(p1, 5) AS p1, snap(p2, 5) AS p2"
 
 
-@query("h4_causal_filter", f"SELECT instrument, event_id, {_PROBS_SQL} FROM x_hfwd")
+@query("h4_causal_filter", f"SELECT instrument, event_id, {_PROBS_SQL} FROM x_hall")
 def h4(spark, sf):
     return regime.causal_filter(obs(spark, sf), models(spark, sf)).transform(pick, "instrument", "event_id", *_PROBS)
 
 
-@query("h5_decode", "SELECT instrument, event_id, path FROM x_hpath")
+@query("h5_decode", "SELECT o.instrument, o.event_id, path FROM x_hstates o LEFT JOIN x_hpath h ON h.instrument = o.instrument AND h.event_id = o.event_id")
 def h5(spark, sf):
     return regime.decode(obs(spark, sf), models(spark, sf)).select("instrument", "event_id", "path")
 
 
 @query("h5_smooth", """
 SELECT instrument, event_id, snap(p0 * b0 / (p0 * b0 + p1 * b1 + p2 * b2), 5) AS p0, snap(p2 * b2 / (p0 * b0 + p1 * b1 + p2 * b2), 5) AS p2
-FROM x_hfwd JOIN x_hbwd USING (instrument, rn)""")
+FROM x_hall LEFT JOIN x_hbwd USING (instrument, rn)""")
 def h5s(spark, sf):
     return regime.smooth(obs(spark, sf), models(spark, sf)).transform(pick, "instrument", "event_id", "snap(smoothed[0], 5) p0", "snap(smoothed[2], 5) p2")
 

@@ -113,7 +113,7 @@ def s6(spark, sf):
     return out.where("execution_id <> ''").transform(pick, "execution_id", "snap(arrival, 6) arrival")
 
 
-@query("s7_stream_regimes", "SELECT instrument, event_id, snap(p0, 5) AS p0, snap(p1, 5) AS p1, snap(p2, 5) AS p2 FROM x_hfwd")
+@query("s7_stream_regimes", "SELECT instrument, event_id, snap(p0, 5) AS p0, snap(p1, 5) AS p1, snap(p2, 5) AS p2 FROM x_hall")
 def s7(spark, sf):
     src = source(spark, sf, lambda s, d: regime.observations(views.features(s, d)), close="event_time")
     return drain(jobs.regime_stream(src, models(spark, sf))).transform(

@@ -493,6 +493,9 @@ _NAMED = ", ".join(["instrument", "n_obs", "pi0", "pi2", "a0 AS t0", "a4 AS t4",
 VIEWS["x_hmm"] = f"SELECT {_NAMED} FROM x_hmodel"
 VIEWS["x_hemit"] = emission_sql("x_hstates", "x_hmodel")
 VIEWS["x_hfwd"] = forward_sql("x_hfwd", "x_hemit")
+# rows of instruments without a model stay, without a state
+VIEWS["x_hall"] = """
+SELECT o.instrument, o.event_id, f.rn, p0, p1, p2 FROM x_hstates o LEFT JOIN x_hfwd f ON f.instrument = o.instrument AND f.event_id = o.event_id"""
 _back = lambda k: f"(a{3 * k} * exp(e.g0) * p.b0 + a{3 * k + 1} * exp(e.g1) * p.b1 + a{3 * k + 2} * exp(e.g2) * p.b2)"
 VIEWS["x_hbwd"] = f"""
 SELECT instrument, rn, 1.0::DOUBLE AS b0, 1.0::DOUBLE AS b1, 1.0::DOUBLE AS b2 FROM (SELECT instrument, max(rn) AS rn FROM x_hemit GROUP BY instrument)
