@@ -66,7 +66,7 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("op6_licence_rules")
 def op6(spark: SparkSession, sf: str) -> DataFrame:
-    return licences.scan(table(spark, sf, "documents")).select(
+    return licences.scan(table(spark, sf, "documents"), notices=True).select(
         "doc_id", "n_sentences", *[F.array_join(c, ",").alias(c) for c in ("found", "licences", "kinds")])
 
 
