@@ -202,11 +202,13 @@ def measure(root: Node) -> None:
 def _blocks(top: Node, path: set[Node], best: Node, threshold: float) -> list[str]:
     """The texts of the blocks below `top`, in order.
 
-    Below `best` all blocks count; beside the path to it headings do, and blocks that are as
-    dense as the threshold. Blocks of mostly links below the threshold never do.
+    Below `best` all blocks count, linked ones too; beside the path to it headings do, and
+    blocks that are as dense as the threshold. Other blocks of mostly links below the threshold
+    don't, and on a page of links alone none does.
     """
     out: list[str] = []
     run: list[str] = []
+    main = best.total > 0 or best.tag in WHOLE  # else the page is links only
 
     def flush() -> None:
         text = _SPACE.sub(" ", "".join(run)).strip()
@@ -227,7 +229,8 @@ def _blocks(top: Node, path: set[Node], best: Node, threshold: float) -> list[st
             inside = inside or n is best
             if n.tag in BLOCK and n is not top:
                 sparse = n.density < threshold
-                if sparse and 2 * n.link_chars > n.chars or sparse and not inside and n not in path and n.tag not in HEADINGS:
+                counts = main and (inside or n.tag in HEADINGS)
+                if sparse and not counts and (2 * n.link_chars > n.chars or not inside and n not in path and n.tag not in HEADINGS):
                     flush()
                     continue
             if n.tag in BLOCK:
