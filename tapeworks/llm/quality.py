@@ -61,10 +61,13 @@ def base_stats(docs: DataFrame, text: str) -> DataFrame:
     return df.drop("__w", "__raw", "__win", "__rep", "__srt", "__hit")
 
 
+def _flat(text: Column) -> Column:
+    return F.regexp_replace(F.lower(text), r"[\x20\t\x0B\f\r]+", " ")
+
+
 def _lines() -> Column:
     """(hash, words) of each line that has a word: lower case, inner white space as one space."""
-    flat = F.regexp_replace(F.lower("__t"), r"[\x20\t\x0B\f\r]+", " ")
-    lines = F.filter(F.transform(F.split(flat, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(_flat(F.col("__t")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
     return F.transform(lines, lambda x: F.struct(
         F.xxhash64(x).alias("h"), (F.length(x) - F.length(F.translate(x, " ", "")) + 1).cast("long").alias("w")))
 
@@ -85,6 +88,12 @@ def verdicts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     A null text is empty and fails; a null host is a host of its own; repeated rows get equal
     answers; other columns are ignored; an empty table gives no rows.
     """
+    return _judge(docs, id_col, text_col, host_col, min_words, max_repeat_pct, min_docs, max_share_pct, max_removed_pct)[0]
+
+
+def _judge(docs: DataFrame, id_col: str, text_col: str, host_col: str, min_words: int = MIN_WORDS, max_repeat_pct: int = MAX_REPEAT_PCT,
+           min_docs: int = MIN_DOCS, max_share_pct: int = MAX_SHARE_PCT, max_removed_pct: int = MAX_REMOVED_PCT) -> tuple[DataFrame, DataFrame]:
+    """The verdicts, and (row key, h, w) of every line to be removed."""
     slim = docs.select(
         *row_key(docs[id_col], docs[host_col], docs[text_col]), docs[id_col].alias("id"),
         F.coalesce(F.concat(F.lit("h"), docs[host_col].cast("string")), F.lit("")).alias("host"),
@@ -101,6 +110,7 @@ def verdicts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     sizes = stats.groupBy("host", "copy").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("of"))
     above = seen.join(sizes, "host").where(100 * F.col("n") > max_share_pct * F.col("of")).select("host", "h", "first_id")
     marked = line.join(above, ["host", "h"]).where(F.coalesce(F.col("id") != F.col("first_id"), F.lit(True)))
+    marked = materialize(marked.select(*KEY, "h", "w"), "marked-lines")
     # a row that is there c times has c times the sum, and c times the count of its copies
     lost = marked.groupBy(*KEY).agg(F.sum("w").alias("lost"))
     times = stats.join(lost.select(*KEY), list(KEY), "left_semi").groupBy(*KEY).agg(F.count("*").alias("c"))
@@ -109,10 +119,22 @@ def verdicts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     left = F.col("n_words") - F.col("n_removed_words")
     out = out.withColumn("n_removed_words", F.coalesce("lost", F.lit(0).cast("long"))).drop("lost")
     depleted = (left < min_words) | (100 * F.col("n_removed_words") > max_removed_pct * F.col("n_words"))
-    return out.withColumn("kept", ~F.col("base_failed") & ~depleted).withColumnRenamed("id", id_col)
-
-
-def keep(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
-    """The rows of docs that the rules keep, with the columns of docs."""
-    bad = verdicts(docs, id_col=id_col, text_col=text_col, host_col=host_col, **limits).where(~F.col("kept")).select(*KEY).distinct()
-    return with_key(docs, id_col, host_col, text_col).join(bad, list(KEY), "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    return out.withColumn("kept", ~F.col("base_failed") & ~depleted).withColumnRenamed("id", id_col), marked
+
+
+def keep(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", size_col: str = "n_chars",
+         **limits) -> DataFrame:
+    """The rows of docs that the rules keep, with the columns of docs, without the lines above
+    the limits; size_col, if docs has it, is the new length where lines went."""
+    judged, marked = _judge(docs, id_col, text_col, host_col, **limits)
+    bad = judged.where(~F.col("kept")).select(*KEY, F.lit(True).alias("__bad"), F.lit(None).cast("bigint").alias("h"))
+    both = bad.union(marked.select(*KEY, F.lit(False), "h"))
+    todo = both.groupBy(*KEY).agg(F.max("__bad").alias("__bad"), F.collect_set("h").alias("__gone"))
+    rows = with_key(docs, id_col, host_col, text_col).join(todo, list(KEY), "left").where(~F.coalesce("__bad", F.lit(False)))
+    text = F.col(f"`{text_col}`")
+    left = F.filter(F.split(text, "\n"), lambda x: ~F.array_contains("__gone", F.xxhash64(F.trim(_flat(x)))))
+    rows = rows.withColumn("__left", F.when(F.size("__gone") > 0, F.array_join(left, "\n")))
+    new = {text_col: F.coalesce("__left", text)}
+    if size_col in docs.columns:
+        new[size_col] = F.coalesce(F.length("__left").cast(docs.schema[size_col].dataType), F.col(f"`{size_col}`"))
+    return rows.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
