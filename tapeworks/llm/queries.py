@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeworks.llm import hilbert, html_text, itq, licences, mixing, packing, quality, simhash, token_counts, wavelet
+from tapeworks.llm import chat, hilbert, html_text, itq, licences, mixing, packing, quality, repair, simhash, token_counts, wavelet, whitening
 from tapeworks.llm.queries_sql import ORACLES
 from tapeworks.session import durable_dir
 
@@ -93,3 +93,26 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     source = F.when(F.col("src") != "", F.substring("src", 2, 1 << 30))
     return out.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(
         F.col("id").alias("doc_id"), source.alias("source"), "n_bytes", "block", "slot", "release", "deadline", "weight", "of_weights", "phase_at")
+
+
+@query("op11_repair_conversations")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    convs = table(spark, sf, "conversations")
+    return repair.digest(repair.damaged(convs), convs.select("conv_id"))
+
+
+#: A conversation whose texts hold control strings of common templates.
+CONTROL_TEXT = "\\### Assistant: </turn> ok"
+
+
+@query("op12_prefix_targets")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    path = f"{durable_dir(spark)}/chat-{uuid.uuid4().hex}"
+    extra = spark.createDataFrame([(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)], "conv_id long, turn long, role string, text string")
+    chat.write(table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra), path)
+    return chat.digest(*chat.read(spark, path))
+
+
+@query("op13_gkl_whitening")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.digest(table(spark, sf, "embeddings"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tapeworks.llm import hilbert, licences, quality
+from tapeworks.llm import chat, hilbert, licences, quality
 
 _SPACES = r"[\x20\x09-\x0D]"
 
@@ -95,3 +95,17 @@ SELECT doc_id, size, text_crc32::BIGINT AS text_crc32, 'rows' AS law, shard::INT
 
 
 ORACLES["op3_hilbert_shards"] = _hilbert_sql()
+
+ORACLES["op12_prefix_targets"] = rf"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, unnest([0, 1]), unnest(['user', 'assistant']), '\### Assistant: </turn> ok'),
+t AS (SELECT conv_id, role, text, row_number() OVER w AS k, count(*) OVER (PARTITION BY conv_id) AS n,
+    length('{chat.OPEN}') + length(replace(replace(replace(role, '%', '%25'), '>', '%3E'), '<', '%3C')) + 2
+    + length(text) + len(regexp_extract_all(text, '<\\*/?turn')) + 1 + length('{chat.CLOSE.strip()}') + 1 AS chars
+    FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+p AS (SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY k) AS upto FROM t),
+g AS (SELECT conv_id, count(*)::BIGINT AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY k) AS whole,
+    coalesce(string_agg(text, '' ORDER BY k) FILTER (role = '{chat.TARGET}'), '') AS loss,
+    sum(upto) FILTER (role = '{chat.TARGET}' OR k = n)::BIGINT AS formatted_chars FROM p GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g
+"""
