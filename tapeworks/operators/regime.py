@@ -14,8 +14,10 @@ from pyspark.sql import types as T
 from tapeworks.functions.numeric import finite
 from tapeworks.functions.scan import BLOCK, Cuts, order_cuts, running, spread, with_block
 from tapeworks.operators.store import training_window
+from tapeworks.session import materialize
 
 STATES, MIN_OBS, COVAR_FLOOR = 3, 200, 1e-3
+REFIT = 50
 DIMS = ["x0", "x1", "x2"]
 ROWS_PER_CHAIN = 100_000
 FLAT = 1e-9
@@ -123,23 +125,95 @@ def warm_start(store: DataFrame, as_of, **params) -> DataFrame:
     return fit_states(observations(training_window(store, as_of)), **params)
 
 
-def epochs(obs: DataFrame, *, time="event_time") -> DataFrame:
-    """Add `epoch`, the day of the row: models are renewed once a day."""
-    return obs.withColumn("epoch", F.unix_date(F.to_date(time)))
+def epochs(obs: DataFrame, *, first: int = MIN_OBS, every: int = REFIT, key=("instrument",), time="event_time", uid="event_id", cuts: Cuts | None = None) -> DataFrame:
+    """Add `n`, the row's number in its key, and `epoch`: 0 for the first `first` rows, then one
+    more with every `every` rows, as models are renewed."""
+    numbered = running(obs, {"n": ("count", F.lit(1))}, key=list(key), order=[time, uid], cuts=cuts)
+    later = (F.floor((F.col("n") - first - 1) / every) + 1).cast("long")
+    return numbered.withColumn("epoch", F.when(F.col("n") <= first, 0).otherwise(later))
 
 
-def regime_history(obs: DataFrame, *, time="event_time", uid="event_id", **params) -> DataFrame:
-    """Every row filtered by the model that was current when it came: that of all earlier days.
+def _before(sums: DataFrame, names: list[str]) -> DataFrame:
+    """Per epoch the sums of all earlier epochs of the instrument (0 where there are none)."""
+    past = running(sums, {f"__b_{c}": ("sum", F.col(c), "before") for c in names}, key=["instrument"], order=["epoch"])
+    return past.select("instrument", "epoch", *[F.coalesce(f"__b_{c}", F.lit(0)).alias(c) for c in names])
 
-    Sums per day add up along the days, so no row is read again for a later model. A chain
-    starts anew with its model. Rows of days before there is a model come without a state.
+
+def states_so_far(numbered: DataFrame, *, dim: str = "x1", borders=STATE_BORDERS) -> DataFrame:
+    """Add `state` as `volatility_states` does, by mean and deviation of earlier epochs alone; the
+    first epoch, which no model scores, by its own."""
+    x = F.col(dim)
+    own = numbered.groupBy("instrument", "epoch").agg(F.count("*").alias("c"), F.sum(x).alias("s"), F.sum(x * x).alias("q"))
+    own = materialize(own, "epoch-sums")
+    bands = _before(own, ["c", "s", "q"]).where("epoch > 0").unionByName(own.where("epoch = 0"))
+    mean = F.col("s") / F.col("c")
+    width = F.sqrt(F.greatest(F.col("q") / F.col("c") - mean * mean, F.lit(0.0)))
+    bands = bands.select("instrument", "epoch", mean.alias("__m"), F.when(width < FLAT, 1.0).otherwise(width).alias("__w"))
+    z = (x - F.col("__m")) / F.col("__w")
+    state = sum((F.when(z > b, 1).otherwise(0) for b in borders), F.lit(0))
+    return numbered.join(bands, ["instrument", "epoch"]).withColumn("state", state).drop("__m", "__w")
+
+
+def refits(numbered: DataFrame, *, time="event_time", uid="event_id", **params) -> DataFrame:
+    """A model per instrument and epoch, from the rows of all earlier epochs.
+
+    Labels of a row use earlier rows only, so they never change, and the sums of epochs add up:
+    every refit is a prefix of one scan, and no row is read again for a later model.
     """
-    labelled = epochs(volatility_states(obs), time=time)
     key = ["instrument", "epoch"]
-    sums = state_sums(labelled, key=key, time=time, uid=uid)
-    earlier = Window.partitionBy("instrument").orderBy("epoch").rowsBetween(Window.unboundedPreceding, -1)
-    past = sums.select(*key, *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in sums.columns if c not in key])
-    return causal_filter(epochs(obs, time=time), models_from(past, key=key, **params), key=tuple(key), time=time, uid=uid)
+    sums = materialize(state_sums(states_so_far(numbered), key=key, time=time, uid=uid), "epoch-state-sums")
+    return models_from(_before(sums, [c for c in sums.columns if c not in key]), key=key, **params)
+
+
+def regime_history(obs: DataFrame, *, min_obs: int = MIN_OBS, refit: int = REFIT, time="event_time", uid="event_id", cuts: Cuts | None = None) -> DataFrame:
+    """Every row filtered by the model that was current when it came: fitted after min_obs rows of
+    its instrument, and again after every `refit` more, on all rows before.
+
+    Nothing about a row depends on later ones. The chain goes on through a refit (states are
+    bands of volatility, so they keep their meaning). The first min_obs rows have no state.
+    """
+    order = [time, uid]
+    cuts = cuts if cuts is not None else order_cuts(obs, order, rows_per_block=ROWS_PER_CHAIN)
+    numbered = materialize(with_block(epochs(obs, first=min_obs, every=refit, time=time, uid=uid, cuts=cuts), order, cuts), "epochs")
+    models = materialize(refits(numbered.drop(BLOCK), time=time, uid=uid, min_obs=min_obs), "refits")
+    by = ["instrument", BLOCK]
+    # the models of a block's epochs, next to its rows
+    here = numbered.select(*by, "epoch").distinct().join(models.select("instrument", "epoch", *MODEL), ["instrument", "epoch"])
+    here = materialize(here.select(*by, "epoch", *MODEL), "block-refits")
+    types = dict(numbered.dtypes)
+    kinds = ", ".join(f"{c} {types[c]}" for c in by)
+
+    def modelled(rows: pd.DataFrame, par: pd.DataFrame):
+        rows = rows.sort_values(order).reset_index(drop=True)
+        own = rows[rows["epoch"] > 0]
+        if own.empty or par.empty:
+            return rows, own, None
+        chain = Refitted(par)
+        return rows, own, chain.steps(own[DIMS].to_numpy(float), own["epoch"].to_numpy(), int(own["n"].iloc[0]) == min_obs + 1)
+
+    def summarize(rows: pd.DataFrame, par: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty:
+            return pd.DataFrame({c: pd.Series(dtype="object") for c in [*by, "m"]})
+        _, _, steps = modelled(rows, par)
+        m = np.eye(STATES) if steps is None else prefixes(steps)[-1]
+        return pd.DataFrame([{**{c: rows[c].iloc[0] for c in by}, "m": m.ravel().tolist()}])
+
+    def replay(rows: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        # the second frame holds the block's models and, in each row, the vector before the block
+        rows, own, steps = modelled(rows, start)
+        out = rows[["instrument", time, uid, "epoch"]].assign(probs=None, state=None)
+        if steps is not None:
+            p = np.einsum("i,tij->tj", np.asarray(start["start"].iloc[0], float), prefixes(steps))
+            p = p / p.sum(axis=1, keepdims=True)
+            out.loc[own.index, "probs"] = pd.Series(p.tolist(), index=own.index)
+            out.loc[own.index, "state"] = p.argmax(axis=1)
+        return out.assign(state=out["state"].astype("Int32"))
+
+    sides = lambda right: spread(numbered, *by).groupBy(*by).cogroup(spread(right, *by).groupBy(*by))
+    ends = _ends(sides(here).applyInPandas(summarize, f"{kinds}, m array<double>"), ["instrument"], False)
+    ready = here.join(ends.select(*[F.col(c).alias(c) for c in (*by, "start")]), by)
+    columns = ", ".join(f"{c} {types[c]}" for c in ("instrument", time, uid, "epoch"))
+    return sides(ready).applyInPandas(replay, f"{columns}, probs array<double>, state int")
 
 
 # --- chains -----------------------------------------------------------------------------------
@@ -229,6 +303,29 @@ class Chain:
         return p / p.sum(axis=1, keepdims=True)
 
 
+class Refitted:
+    """The models of several epochs side by side; each row is stepped by that of its epoch."""
+
+    def __init__(self, par: pd.DataFrame):
+        par = par.sort_values("epoch")
+        k, d = len(par["pi"].iloc[0]), len(DIMS)
+        stack = lambda c, *shape: np.stack(par[c].to_list()).astype(float).reshape(-1, *shape)
+        self.epochs = par["epoch"].to_numpy()
+        self.pi, self.trans, self.mu, cov = stack("pi", k), stack("trans", k, k), stack("means", k, d), stack("covars", k, d, d)
+        self.center, self.scale = stack("center", d), stack("scale", d)
+        self.inv, self.logdet = np.linalg.inv(cov), np.linalg.slogdet(cov)[1]
+
+    def steps(self, x: np.ndarray, epoch: np.ndarray, first: bool) -> np.ndarray:
+        e = np.searchsorted(self.epochs, epoch)
+        off = ((x - self.center[e]) / self.scale[e])[:, None, :] - self.mu[e]
+        log_b = -0.5 * (np.einsum("tki,tkij,tkj->tk", off, self.inv[e], off) + self.logdet[e])
+        b = np.exp(log_b - log_b.max(axis=1, keepdims=True))
+        m = self.trans[e] * b[:, None, :]
+        if first:
+            m[0] = self.pi[e[0]] * b[0]
+        return m
+
+
 MODEL = ["pi", "trans", "means", "covars", "center", "scale"]
 
 

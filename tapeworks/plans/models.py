@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tapeworks.operators import ml, news, quality, regime, research, slo
+from tapeworks.operators import baum_welch, ml, news, quality, regime, research, slo
 from tapeworks.plans import market, views
 from tapeworks.plans.accounting import trips
 from tapeworks.plans.registry import pick, query, shared
+from tapeworks.plans.views_sql import EM_ROUNDS
 
 
 def samples(spark, sf):
@@ -255,6 +256,43 @@ def h7m(spark, sf):
     return regime.derive_labels(regime.state_parameters(models(spark, sf))).transform(pick, "instrument", "state", "label", "snap(turbulence, 4) turbulence")
 
 
+def hmm_noise(start: int, draw: int):
+    """Noise from the number in the row's id, alike in both engines (twin of `noise_sql`)."""
+    seq = F.regexp_extract("event_id", r"(\d+)$", 1).cast("long")
+    return (((seq % 1000003) * 7919 + F.lit(start * 104729 + draw * 1299709 + 12345)) * 48271 % 2147483647 + 0.5) / 2147483647.0
+
+
+def em_models(spark, sf):
+    """Two rounds of Baum-Welch from two starts: as far as row-by-row SQL follows."""
+    def build():
+        o = obs(spark, sf)
+        first = baum_welch.starts(o, 2, noise=hmm_noise)
+        return baum_welch.refine(baum_welch.packed(o), first, rounds=EM_ROUNDS, tolerance=float("-inf"))
+    return shared(spark, sf, "em", build)
+
+
+_EM = [x for x in _SNAPPED if "pi" not in x] + ["snap(history[0], 4) ll0", "snap(history[1], 4) ll1"]
+_EM_SQL = ", ".join([f"snap(a{i}, 5) AS t{i}" for i in (0, 4, 8)] + [f"snap(m{i}, 5) AS m{i}" for i in range(9)]
+                    + [f"snap(v{k}{i}, 5) AS v{k}{i}" for k in range(3) for i in (0, 1, 4, 8)] + ["snap(ll0, 4) AS ll0", "snap(ll1, 4) AS ll1"])
+
+
+@query("h3_baum_welch", f"SELECT instrument, start, n_obs, {_EM_SQL} FROM x_emfit")
+def h3em(spark, sf):
+    return em_models(spark, sf).transform(pick, "instrument", "cast(start as int) start", "n_obs", *_EM)
+
+
+@query("h3_fit_hmm")
+def h3fit(spark, sf):
+    """The likeliest of five starts after at most 30 rounds; its likelihoods are tested to rise."""
+    m = baum_welch.fit_hmm(obs(spark, sf), rounds=30)
+    return m.select("instrument", "start", "n_obs", "loglik", F.size("history").alias("rounds"), "pi", "trans", "means", "covars")
+
+
+@query("h5_score", "SELECT instrument, snap(sum(ll), 4) AS loglik FROM x_hscore GROUP BY instrument")
+def h5score(spark, sf):
+    return baum_welch.score(obs(spark, sf), models(spark, sf)).transform(pick, "instrument", "snap(loglik, 4) loglik")
+
+
 @query("h8_regime_history", f"SELECT instrument, event_id, epoch, {_PROBS_SQL} FROM x_hhist")
 def h8(spark, sf):
     return regime.regime_history(obs(spark, sf)).transform(pick, "instrument", "event_id", "epoch", *_PROBS)

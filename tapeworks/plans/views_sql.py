@@ -454,8 +454,8 @@ SELECT {key}, n_obs, {', '.join(f'c{i}, w{i}' for i in range(3))}, {pi}, {trans}
   SELECT *, {width} FROM (SELECT *, {center} FROM (SELECT *, n0 + n1 + n2 AS n_obs FROM {sums}) WHERE n_obs >= 200))"""
 
 
-def emission_sql(rows: str, model: str, key: str = "instrument") -> str:
-    """rn within the key, and b0..b2, densities scaled to a largest of 1, from rows next to their model."""
+def emission_sql(rows: str, model: str, key: str = "instrument", within: str | None = None) -> str:
+    """rn within the key (or `within`), and b0..b2, densities scaled to a largest of 1, from rows next to their model."""
     det = lambda k: (f"(v{k}0 * (v{k}4 * v{k}8 - v{k}5 * v{k}5) - v{k}1 * (v{k}1 * v{k}8 - v{k}5 * v{k}2) + v{k}2 * (v{k}1 * v{k}5 - v{k}4 * v{k}2))")
     def log_density(k):
         a, b, c, e, f, i = (f"v{k}{x}" for x in (0, 1, 2, 4, 5, 8))
@@ -464,7 +464,7 @@ def emission_sql(rows: str, model: str, key: str = "instrument") -> str:
                 f"+ 2 * ({c} * {f} - {b} * {i}) * {d0} * {d1} + 2 * ({b} * {f} - {c} * {e}) * {d0} * {d2} + 2 * ({b} * {c} - {a} * {f}) * {d1} * {d2})")
         return f"-0.5 * ({quad} / {det(k)} + ln({det(k)}))"
     on = " AND ".join(f"o.{c} = m.{c}" for c in key.split(", "))
-    part = ", ".join(f"o.{c}" for c in key.split(", "))
+    part = ", ".join(f"o.{c}" for c in (within or key).split(", "))
     z = ", ".join(f"(x{i} - c{i}) / w{i} AS z{i}" for i in range(3))
     return f"""
 SELECT *, l0 - greatest(l0, l1, l2) AS g0, l1 - greatest(l0, l1, l2) AS g1, l2 - greatest(l0, l1, l2) AS g2 FROM (
@@ -512,14 +512,110 @@ SELECT instrument, event_id, rn, CASE WHEN d0 >= greatest(d1, d2) THEN 0 WHEN d1
 FROM x_hbest WHERE (instrument, rn) IN (SELECT (instrument, max(rn)) FROM x_hbest GROUP BY instrument)
 UNION ALL SELECT b.instrument, b.event_id, b.rn, CASE p.path WHEN 0 THEN p.f0 WHEN 1 THEN p.f1 ELSE p.f2 END, b.f0, b.f1, b.f2
 FROM x_hpath p JOIN x_hbest b ON b.instrument = p.instrument AND b.rn = p.rn - 1"""
-VIEWS["x_hday"] = f"SELECT instrument, epoch, {', '.join(map(_state_sum, _SUMS))} FROM x_hstates GROUP BY instrument, epoch"
-VIEWS["x_hpast"] = f"""
-SELECT instrument, epoch, {', '.join(f'coalesce(sum({c}) OVER w, 0) AS {c}' for c in _SUMS)} FROM x_hday
+# models after 200 rows and again after every 50, from earlier rows alone
+VIEWS["x_h8n"] = """
+SELECT *, CASE WHEN n <= 200 THEN 0 ELSE (n - 201) // 50 + 1 END AS epoch FROM (
+  SELECT instrument, event_time, event_id, momentum AS x0, volatility AS x1, abs(obi) AS x2,
+    row_number() OVER (PARTITION BY instrument ORDER BY event_time, event_id) AS n FROM x_feat)"""
+VIEWS["x_h8own"] = "SELECT instrument, epoch, count(*) AS c, avg(x1) AS m, stddev_pop(x1) AS w, sum(x1) AS s, sum(x1 * x1) AS q FROM x_h8n GROUP BY 1, 2"
+VIEWS["x_h8band"] = """
+SELECT instrument, epoch, m, CASE WHEN w < 1e-9 THEN 1 ELSE w END AS w FROM (
+  SELECT instrument, epoch, CASE WHEN epoch = 0 THEN m ELSE sum(s) OVER p / sum(c) OVER p END AS m,
+    CASE WHEN epoch = 0 THEN w ELSE sqrt(greatest(sum(q) OVER p / sum(c) OVER p - (sum(s) OVER p / sum(c) OVER p) * (sum(s) OVER p / sum(c) OVER p), 0)) END AS w
+  FROM x_h8own WINDOW p AS (PARTITION BY instrument ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+VIEWS["x_h8states"] = """
+SELECT *, lag(state) OVER (PARTITION BY instrument ORDER BY n) AS s0 FROM (
+  SELECT o.*, CASE WHEN (x1 - m) / w > 0.5 THEN 2 WHEN (x1 - m) / w > -0.5 THEN 1 ELSE 0 END AS state FROM x_h8n o JOIN x_h8band b USING (instrument, epoch))"""
+VIEWS["x_h8sums"] = f"SELECT instrument, epoch, {', '.join(map(_state_sum, _SUMS))} FROM x_h8states GROUP BY instrument, epoch"
+VIEWS["x_h8past"] = f"""
+SELECT instrument, epoch, {', '.join(f'coalesce(sum({c}) OVER w, 0) AS {c}' for c in _SUMS)} FROM x_h8sums
 WINDOW w AS (PARTITION BY instrument ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
-VIEWS["x_hdaymodel"] = model_sql("x_hpast", "instrument, epoch")
-VIEWS["x_hdayemit"] = emission_sql("x_hstates", "x_hdaymodel", "instrument, epoch")
-VIEWS["x_hdayfwd"] = forward_sql("x_hdayfwd", "x_hdayemit", "instrument, epoch")
-VIEWS["x_hhist"] = "SELECT o.instrument, o.event_id, o.epoch, p0, p1, p2 FROM x_hstates o LEFT JOIN x_hdayfwd f ON f.instrument = o.instrument AND f.event_id = o.event_id"
+VIEWS["x_h8model"] = model_sql("x_h8past", "instrument, epoch")
+VIEWS["x_h8emit"] = emission_sql("x_h8states", "x_h8model", "instrument, epoch", "instrument")
+VIEWS["x_h8fwd"] = forward_sql("x_h8fwd", "x_h8emit")
+VIEWS["x_hhist"] = "SELECT o.instrument, o.event_id, o.epoch, p0, p1, p2 FROM x_h8n o LEFT JOIN x_h8fwd f ON f.instrument = o.instrument AND f.event_id = o.event_id"
+
+
+# --- Baum-Welch, two starts and two rounds, row by row --------------------------------------------
+
+_EM_KEY = "instrument, start"
+_MOMENTS = [f"(avg(x{i} * x{j}) - avg(x{i}) * avg(x{j}))" for i in range(3) for j in range(3)]
+VIEWS["x_emobs"] = "SELECT instrument, event_time, event_id, seq, momentum AS x0, volatility AS x1, abs(obi) AS x2 FROM x_feat"
+VIEWS["x_emstat"] = f"""
+SELECT instrument, count(*) AS n_obs, {', '.join(f'avg(x{i}) AS c{i}, stddev_pop(x{i}) AS w{i}' for i in range(3))},
+  {', '.join(f'covar_pop(x{i}, x{j}) AS k{3 * i + j}' for i in range(3) for j in range(3))} FROM x_emobs GROUP BY instrument HAVING count(*) >= 200"""
+VIEWS["x_emz"] = f"SELECT o.instrument, start, seq, {', '.join(f'(x{i} - c{i}) / w{i} AS z{i}' for i in range(3))} FROM x_emobs o JOIN x_emstat USING (instrument), (SELECT unnest([0, 1]) AS start)"
+
+
+def noise_sql(draw: int) -> str:
+    """Uniform noise in (0, 1) from the number in a row's id; `hmm_noise` in models.py is its twin."""
+    return f"(((seq % 1000003) * 7919 + start * 104729 + {draw} * 1299709 + 12345) * 48271 % 2147483647 + 0.5) / 2147483647"
+
+
+_DIST = lambda k: " + ".join(f"(z{i} - q{k}{i}) * (z{i} - q{k}{i})" for i in range(3))
+_RACE = ["ln({u})", "ln({u}) / ({0})", "ln({u}) / least({0}, {1})"]
+for _k in range(3):
+    _race = _RACE[_k].format(*map(_DIST, range(_k)), u=noise_sql(_k)) if _k else f"ln({noise_sql(0)})"
+    _apart = " AND ".join(f"({_DIST(j)}) > 0" for j in range(_k)) or "true"
+    _old = "".join(f", q{j}{i}" for j in range(_k) for i in range(3))
+    VIEWS[f"x_emq{_k}"] = f"""
+SELECT instrument, start{_old}, {', '.join(f'arg_max(z{i}, ({_race})) AS q{_k}{i}' for i in range(3))}
+FROM x_emz {f'JOIN x_emq{_k - 1} USING (instrument, start)' if _k else ''} WHERE {_apart} GROUP BY ALL"""
+VIEWS["x_em0"] = f"""
+SELECT instrument, start, n_obs, {', '.join(f'c{i}, w{i}, 1.0::DOUBLE / 3 AS pi{i}' for i in range(3))},
+  {', '.join(f'{0.8 if j == k else 0.1}::DOUBLE AS a{3 * j + k}' for j in range(3) for k in range(3))},
+  {', '.join(f'q{k}{i} AS m{3 * k + i}' for k in range(3) for i in range(3))},
+  {', '.join(f'k{3 * i + j} / w{i} / w{j} + {0.001 if i == j else 0.0} AS v{k}{3 * i + j}' for k in range(3) for i in range(3) for j in range(3))}
+FROM x_emstat JOIN x_emq2 USING (instrument)"""
+
+
+def em_round_sql(r: int) -> None:
+    """Views of round r: emissions, forward with the log scale, backward, expected counts, the next model."""
+    sum3 = lambda f: " + ".join(f(k) for k in range(3))
+    VIEWS[f"x_emrow{r}"] = "SELECT o.*, start FROM x_emobs o, (SELECT unnest([0, 1]) AS start)"
+    VIEWS[f"x_ememit{r}"] = emission_sql(f"x_emrow{r}", f"x_em{r}", _EM_KEY)
+    on = "e.instrument = p.instrument AND e.start = p.start"
+    first, nxt = (lambda k: f"(e.pi{k} * exp(e.g{k}))"), (lambda k: f"((p.p0 * a{k} + p.p1 * a{3 + k} + p.p2 * a{6 + k}) * exp(e.g{k}))")
+    top = "greatest(e.l0, e.l1, e.l2) - 1.5 * ln(2 * pi())"
+    state = lambda f: ", ".join(f"{f(k)} / ({sum3(f)}) AS p{k}" for k in range(3)) + f", ln({sum3(f)}) + {top} AS ll"
+    VIEWS[f"x_emfwd{r}"] = f"""
+SELECT e.instrument, e.start, e.rn, {state(first)} FROM x_ememit{r} e WHERE rn = 1
+UNION ALL SELECT e.instrument, e.start, e.rn, {state(nxt)} FROM x_emfwd{r} p JOIN x_ememit{r} e ON {on} AND e.rn = p.rn + 1"""
+    VIEWS[f"x_emll{r}"] = f"SELECT instrument, start, sum(ll) AS ll FROM x_emfwd{r} GROUP BY 1, 2"
+    back = lambda k: f"(a{3 * k} * exp(e.g0) * p.b0 + a{3 * k + 1} * exp(e.g1) * p.b1 + a{3 * k + 2} * exp(e.g2) * p.b2)"
+    VIEWS[f"x_embwd{r}"] = f"""
+SELECT instrument, start, max(rn) AS rn, 1.0::DOUBLE AS b0, 1.0::DOUBLE AS b1, 1.0::DOUBLE AS b2 FROM x_ememit{r} GROUP BY 1, 2
+UNION ALL SELECT e.instrument, e.start, e.rn - 1, {', '.join(f'{back(k)} / ({sum3(back)}) AS b{k}' for k in range(3))}
+FROM x_embwd{r} p JOIN x_ememit{r} e ON {on} AND e.rn = p.rn WHERE p.rn > 1"""
+    post = lambda k: f"p{k} * b{k} / ({sum3(lambda x: f'p{x} * b{x}')})"
+    pair = lambda j, k: f"o{j} * a{3 * j + k} * exp(g{k}) * b{k}"
+    every = " + ".join(pair(j, k) for j in range(3) for k in range(3))
+    VIEWS[f"x_empost{r}"] = f"""
+SELECT instrument, start, rn, z0, z1, z2, {', '.join(f'{post(k)} AS y{k}' for k in range(3))},
+  {', '.join(f'{pair(j, k)} / ({every}) AS h{3 * j + k}' for j in range(3) for k in range(3))} FROM (
+  SELECT e.*, p0, p1, p2, b0, b1, b2, {', '.join(f'lag(p{j}) OVER (PARTITION BY e.instrument, e.start ORDER BY e.rn) AS o{j}' for j in range(3))}
+  FROM x_ememit{r} e JOIN x_emfwd{r} USING (instrument, start, rn) JOIN x_embwd{r} USING (instrument, start, rn))"""
+    h = lambda j: sum3(lambda k: f"sum(h{3 * j + k})")
+    VIEWS[f"x_em{r + 1}"] = f"""
+SELECT instrument, start, {', '.join(f'c{i}, w{i}' for i in range(3))}, n_obs, e.* EXCLUDE (instrument, start) FROM x_emstat JOIN (
+  SELECT instrument, start, {', '.join(f'max(y{k}) FILTER (rn = 1) AS pi{k}' for k in range(3))},
+    {', '.join(f'sum(h{3 * j + k}) / ({h(j)}) AS a{3 * j + k}' for j in range(3) for k in range(3))},
+    {', '.join(f'sum(y{k} * z{i}) / sum(y{k}) AS m{3 * k + i}' for k in range(3) for i in range(3))},
+    {', '.join(f'sum(y{k} * z{i} * z{j}) / sum(y{k}) - sum(y{k} * z{i}) / sum(y{k}) * (sum(y{k} * z{j}) / sum(y{k})) AS v{k}{3 * i + j}' for k in range(3) for i in range(3) for j in range(3))}
+  FROM x_empost{r} GROUP BY 1, 2) e USING (instrument)"""
+
+
+EM_ROUNDS = 2
+for _r in range(EM_ROUNDS):
+    em_round_sql(_r)
+VIEWS["x_emfit"] = f"SELECT f.*, f0.ll AS ll0, f1.ll AS ll1 FROM x_em{EM_ROUNDS} f JOIN x_emll0 f0 USING (instrument, start) JOIN x_emll1 f1 USING (instrument, start)"
+# the log-likelihood of the labelled models' rows
+VIEWS["x_hscore"] = """
+SELECT instrument, rn, ln(s) + top AS ll FROM (
+  SELECT e.instrument, e.rn, greatest(l0, l1, l2) - 1.5 * ln(2 * pi()) AS top,
+    CASE WHEN e.rn = 1 THEN pi0 * exp(g0) + pi1 * exp(g1) + pi2 * exp(g2) ELSE
+      (p.p0 * a0 + p.p1 * a3 + p.p2 * a6) * exp(g0) + (p.p0 * a1 + p.p1 * a4 + p.p2 * a7) * exp(g1) + (p.p0 * a2 + p.p1 * a5 + p.p2 * a8) * exp(g2) END AS s
+  FROM x_hemit e LEFT JOIN x_hfwd p ON p.instrument = e.instrument AND p.rn = e.rn - 1)"""
 VIEWS["x_hknown"] = "SELECT * FROM x_rev WHERE event_time <= TIMESTAMP '2024-01-10 12:00:00' AND ingest_time <= TIMESTAMP '2024-01-10 12:00:00'"
 VIEWS["x_hwstates"] = states_sql("x_hknown")
 VIEWS["x_hwsums"] = f"SELECT instrument, {', '.join(map(_state_sum, _SUMS))} FROM x_hwstates GROUP BY instrument"

@@ -192,12 +192,51 @@ def test_blocked_chains_equal_one_pass(spark):
     assert (np.array(want[2]) == z).mean() > .95
 
 
-def test_history_uses_earlier_days_only(spark):
+def test_history_never_sees_later_rows(spark):
+    """Later rows, however different, change nothing about earlier ones: their labels, models and states."""
+    from tapeworks.functions.scan import order_cuts
     z, x, _, _ = sample_chain(900, 3)
-    obs = chain_frame(spark, x, z).withColumn("event_time", F.expr("timestampadd(MINUTE, cast(substr(event_id, 2) as int) * 4, timestamp'2024-01-01')")).drop("state")
-    run = lambda o: {r.event_id: r.probs for r in regime.regime_history(o, min_obs=100).collect()}
-    all_days, two_days = run(obs), run(obs.where("event_time < '2024-01-03'"))
-    assert len(all_days) == 900 and sum(p is None for p in all_days.values()) == 360
+    wild = x.copy()
+    wild[500:] = wild[500:] * 9 - 40
+    run = lambda rows, **p: [(r.epoch, r.probs, r.state) for r in regime.regime_history(chain_frame(spark, rows).drop("state"), min_obs=100, **p).orderBy("event_time").collect()]
+    whole, other, cut = run(x), run(wild), run(x[:500])
+    assert len(whole) == 900 and [e for e, _, _ in whole] == [0] * 100 + [1 + i // 50 for i in range(800)]
+    assert [p is None for _, p, _ in whole] == [True] * 100 + [False] * 800
+    for a, b, c in zip(whole[:500], other, cut):
+        assert a[0] == b[0] == c[0] and a[2] == b[2] == c[2]
+        assert a[1] is None or (np.allclose(a[1], b[1], atol=1e-9) and np.allclose(a[1], c[1], atol=1e-9))
+    assert any(not np.allclose(a[1], b[1], atol=1e-3) for a, b in zip(whole[500:], other[500:]))
+    obs = chain_frame(spark, x).drop("state")
+    blocked = run(x, cuts=order_cuts(obs, ["event_time", "event_id"], blocks=7))
+    assert all(a[1] is None or np.allclose(a[1], b[1], atol=1e-9) for a, b in zip(whole, blocked))
+
+
+def test_history_row_by_row(spark):
+    """Against a plain replay that refits on the rows so far."""
+    z, x, _, _ = sample_chain(260, 5)
+    obs = chain_frame(spark, x).drop("state")
+    got = regime.regime_history(obs, min_obs=100, refit=40).orderBy("event_time").collect()
+    first, v, state = 100, None, np.zeros(260, int)
+    bands = lambda rows: (rows[:, 1].mean(), rows[:, 1].std())
+    for n in range(260):
+        epoch = 0 if n < first else 1 + (n - first) // 40
+        m, s = bands(x[:first] if epoch == 0 else x[:first + (epoch - 1) * 40])
+        state[n] = int((x[n, 1] - m) / s > -.5) + int((x[n, 1] - m) / s > .5)
+    for n in range(first, 260):
+        upto = first + (n - first) // 40 * 40
+        past, lab = x[:upto], state[:upto]
+        c, w = past.mean(0), past.std(0)
+        p = (np.bincount(lab, minlength=3) + 1) / (upto + 3)
+        t = np.ones((3, 3))
+        np.add.at(t, (lab[:-1], lab[1:]), 1)
+        t /= t.sum(1, keepdims=True)
+        zs = [(past[lab == k] - c) / w for k in range(3)]
+        mu = np.stack([q.mean(0) if len(q) > 1 else np.zeros(3) for q in zs])
+        cov = np.stack([(np.cov(q.T, bias=True) if len(q) > 1 else np.eye(3)) + 1e-3 * np.eye(3) for q in zs])
+        b = regime.emission(((x[n] - c) / w)[None], mu, cov)[0]
+        v = (p if v is None else v @ t) * np.exp(b - b.max())
+        v /= v.sum()
+        assert np.allclose(got[n].probs, v, atol=1e-8), n
 
 
 def test_stationary_distribution(spark):
