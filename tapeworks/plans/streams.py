@@ -11,30 +11,58 @@ from tapeworks.plans import views
 from tapeworks.plans.models import models
 from tapeworks.plans.registry import pick, query
 from tapeworks.operators import regime
-from tapeworks.session import durable_dir
-from tapeworks.streaming import jobs
+from tapeworks.session import durable_dir, materialize
+from tapeworks.streaming import jobs, slots
 
 
-def source(spark: SparkSession, sf: str, view, *, close: str | None = None, closings: int = 1, files: int = 4) -> DataFrame:
+def _in_turn(spark: SparkSession, path: str) -> None:
+    """A file source takes files by their age: give those of each slice the age of their turn."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in fs.globStatus(hadoop.Path(f"{path}/slice=*/*.parquet")):
+        turn = int(status.getPath().getParent().getName().split("=")[1])
+        fs.setTimes(status.getPath(), 1_000_000_000_000 + 60_000 * turn, -1)
+
+
+def source(spark: SparkSession, sf: str, view, *, close: str | None = None, closings: int = 1, files: int = 4, slices: int = 1) -> DataFrame:
     """A file stream over what a view derives from the tables, in several micro-batches.
 
     `close` names the event time: a last row, empty but for a time a day after all others,
     moves the watermark past every open window, as the end of a topic does. It stands in
     windows of its own that never close, so no output holds it. A chain of stateful operators
-    needs a batch for each, so more `closings`, a day apart.
+    needs a batch for each, so more `closings`, a day apart. With `slices` the rows come in
+    event-time order, a slice of the time axis to a batch.
     """
     path = f"{durable_dir(spark)}/stream-{uuid.uuid4().hex}"
     rows = view(spark, sf)
-    rows.repartition(files).write.parquet(path)
+    if slices == 1:
+        rows.repartition(files).write.parquet(f"{path}/slice=0")
+    else:
+        rows = materialize(rows, "stream-rows")
+        at = F.unix_micros(close)
+        cuts = rows.agg(F.percentile_approx(at, [i / slices for i in range(1, slices)], 1000).alias("q")).first()["q"] or []
+        place = sum((F.when(at > c, 1).otherwise(0) for c in cuts), F.lit(0))
+        piece = F.pmod(F.xxhash64(at), F.lit(files))
+        rows.withColumn("slice", place).repartition(files * slices, "slice", piece).write.partitionBy("slice").parquet(path)
+        _in_turn(spark, path)
     if close:
-        last = spark.read.schema(rows.schema).parquet(path).agg(F.max(close).alias("t")).first()["t"]
+        last = spark.read.schema(rows.schema).parquet(f"{path}/*").agg(F.max(close).alias("t")).first()["t"]
         for day in range(1, closings + 1):
             t = F.lit(last) + F.expr(f"interval {day} days")
             # blank text, as a join drops rows without a key before they move the watermark
             blank = [F.lit("" if f.dataType.simpleString() == "string" else None).cast(f.dataType).alias(f.name) for f in rows.schema]
             spark.range(1).select(*[t.alias(f.name) if f.name == close else b for f, b in zip(rows.schema, blank)]
-                                  ).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
+                                  ).coalesce(1).write.parquet(f"{path}/slice={slices + day}")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{path}/*")
+
+
+def fold(stream: DataFrame, step: slots.Step) -> DataFrame:
+    """Run a sealed stream through its step to the end and return all its rows."""
+    spark = stream.sparkSession
+    path = f"{durable_dir(spark)}/fold-{uuid.uuid4().hex}"
+    drain(stream, each_batch=slots.carried(path, step))
+    return spark.read.parquet(f"{path}/rows").drop("batch")
 
 
 def drain(stream: DataFrame, *, each_batch=None, mode: str = "append") -> DataFrame:
@@ -90,7 +118,7 @@ def s2(spark, sf):
 @query("s3_stream_positions", """
 SELECT execution_id, qn AS qty, snap(an, 6) AS avg_cost, snap(sn, 6) AS open_slippage, snap(realized, 6) AS realized FROM x_pos""")
 def s3(spark, sf):
-    return drain(jobs.positions_stream(source(spark, sf, views.fills, close="ts"))).transform(
+    return fold(slots.positions(source(spark, sf, views.fills, close="ts", files=2, slices=8)), slots.positions_step).transform(
         pick, "execution_id", "qty", "snap(avg_cost, 6) avg_cost", "snap(open_slippage, 6) open_slippage", "snap(realized, 6) realized")
 
 
@@ -115,8 +143,8 @@ def s6(spark, sf):
 
 @query("s7_stream_regimes", "SELECT instrument, event_id, snap(p0, 5) AS p0, snap(p1, 5) AS p1, snap(p2, 5) AS p2 FROM x_hall")
 def s7(spark, sf):
-    src = source(spark, sf, lambda s, d: regime.observations(views.features(s, d)), close="event_time")
-    return drain(jobs.regime_stream(src, models(spark, sf))).transform(
+    src = source(spark, sf, lambda s, d: regime.observations(views.features(s, d)), close="event_time", files=2, slices=8)
+    return fold(slots.regimes(src), slots.regimes_step(models(spark, sf))).transform(
         pick, "instrument", "event_id", "snap(probs[0], 5) p0", "snap(probs[1], 5) p1", "snap(probs[2], 5) p2")
 
 

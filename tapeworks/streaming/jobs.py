@@ -2,18 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tapeworks.operators import bars as bar_ops
 from tapeworks.operators.decisions import decide
 from tapeworks.operators.quality import fill_key
-from tapeworks.operators.regime import DIMS, MODEL, Chain
 from tapeworks.operators.store import append_to_store
 
 STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -21,6 +15,8 @@ STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateSto
 
 def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_PROVIDER)
+    # a batch writes what it changed, not the whole table
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
 
 
 def dedup_stream(fills: DataFrame, *, time="ts", delay: str = "1 hour") -> DataFrame:
@@ -72,135 +68,6 @@ def tca_stream(fills: DataFrame, ticks: DataFrame, *, tolerance_secs: int = 60,
     ).select(*[F.col(f"f_{c}").alias(c) for c in rest], F.timestamp_micros("f_us").alias("ts"), "arrival")
 
 
-class InOrder(StatefulProcessor):
-    """Folds a key's rows in the order of (event time, id), whatever order they come in.
-
-    Rows wait in the state until the watermark has passed them; a timer then folds all that
-    are due. Rows later than the watermark are dropped by Spark, as in every stream here.
-    """
-
-    time, uid, waiting = "ts", "execution_id", ""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.wait = handle.getListState("wait", self.waiting)
-        self.columns = [f.split()[0] for f in self.waiting.split(", ")]
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for pdf in rows:
-            self.wait.appendList(list(pdf[self.columns].itertuples(index=False, name=None)))
-            # one timer a batch of rows: when the last of them is due, so are the others
-            self.handle.registerTimer(int(pdf[self.time].max().timestamp() * 1000) + 1)
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        mark = pd.Timestamp(timerValues.getCurrentWatermarkInMs(), unit="ms")
-        held = pd.DataFrame(list(self.wait.get()), columns=self.columns)
-        due = held[self.time] < mark
-        later = held[~due]
-        if later.empty:
-            self.wait.clear()
-        else:
-            self.wait.put(list(later.itertuples(index=False, name=None)))
-        if due.any():
-            yield self.fold(key, held[due].sort_values([self.time, self.uid]))
-
-    def fold(self, key, rows: pd.DataFrame) -> pd.DataFrame:
-        raise NotImplementedError
-
-    def close(self) -> None:
-        pass
-
-
-POSITION_OUT = ("instrument string, execution_id string, ts timestamp, qty double, avg_cost double, "
-                "open_slippage double, realized double, opposes boolean")
-_UNITS = 10**8  # quantities are added as whole numbers, so "flat" does not drift
-
-
-class PositionProcessor(InOrder):
-    """Per-instrument position state; one output row per fill."""
-
-    waiting = "execution_id string, ts timestamp, side string, quantity double, fill_price double, slippage_bps double"
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.book = handle.getValueState("book", "units long, avg double, slip double")
-
-    def fold(self, key, rows: pd.DataFrame) -> pd.DataFrame:
-        q, avg, slip = self.book.get() if self.book.exists() else (0, 0.0, 0.0)
-        out = []
-        units = np.rint(rows["quantity"].to_numpy(float) * _UNITS).astype(np.int64).tolist()
-        bps = np.abs(np.nan_to_num(rows["slippage_bps"].to_numpy(float)))
-        own = (bps / 1e4 * rows["fill_price"].to_numpy(float) * rows["quantity"].to_numpy(float)).tolist()
-        for side, n, px, cost in zip(rows["side"], units, rows["fill_price"], own):
-            s = n if side == "BUY" else -n
-            realized, opposes = 0.0, q * s < 0
-            if opposes:
-                closed = min(abs(q), n)
-                realized = (px - avg) * closed / _UNITS * (1 if q > 0 else -1)
-                left = q + s
-                if left == 0:
-                    q, avg, slip = 0, 0.0, 0.0
-                elif (left > 0) != (q > 0):
-                    q, avg, slip = left, px, 0.0
-                else:
-                    q, slip = left, slip * (1 - closed / abs(q))
-            else:
-                avg = (avg * abs(q) + px * n) / abs(q + s)
-                q, slip = q + s, slip + cost
-            out.append((q / _UNITS, avg, slip, realized, opposes))
-        self.book.update((int(q), float(avg), float(slip)))
-        res = pd.DataFrame(out, columns=["qty", "avg_cost", "open_slippage", "realized", "opposes"])
-        res.insert(0, "instrument", key[0])
-        res.insert(1, "execution_id", rows["execution_id"].to_numpy())
-        res.insert(2, "ts", rows["ts"].to_numpy())
-        return res
-
-
-def positions_stream(fills: DataFrame, *, delay: str = "1 hour") -> DataFrame:
-    """The batch ledger's rows, fills folded in event-time order once the watermark has passed them."""
-    cols = ["instrument", "execution_id", "ts", "side", "quantity", "fill_price", "slippage_bps"]
-    return fills.select(*cols).withWatermark("ts", delay).groupBy("instrument").transformWithStateInPandas(
-        statefulProcessor=PositionProcessor(), outputStructType=POSITION_OUT, outputMode="Append", timeMode="EventTime")
-
-
-REGIME_OUT = "instrument string, event_id string, event_time timestamp, probs array<double>, state int"
-
-
-class RegimeProcessor(InOrder):
-    """Forward probabilities carried from batch to batch: constant work per event."""
-
-    time, uid = "event_time", "event_id"
-    waiting = "event_id string, event_time timestamp, x0 double, x1 double, x2 double"
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.last = handle.getValueState("alpha", "p array<double>")
-        self.model = handle.getValueState("model", ", ".join(f"{c} array<double>" for c in MODEL))
-
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        row = initialState.iloc[0]
-        self.model.update(tuple([float(x) for x in row[c]] for c in MODEL))
-
-    def fold(self, key, rows: pd.DataFrame) -> pd.DataFrame:
-        out = rows[["event_id", "event_time"]].reset_index(drop=True)
-        out.insert(0, "instrument", key[0])
-        if not self.model.exists():
-            return out.assign(probs=None, state=None)
-        probs = Chain(dict(zip(MODEL, self.model.get()))).forward(
-            rows[DIMS].to_numpy(float), self.last.get()[0] if self.last.exists() else None)
-        self.last.update((probs[-1].tolist(),))
-        return out.assign(probs=probs.tolist(), state=probs.argmax(axis=1).astype("int32"))
-
-
-def regime_stream(obs: DataFrame, models: DataFrame, *, delay: str = "1 hour") -> DataFrame:
-    """Filtered states of a stream. Each key's model is its initial state, so models are
-    shuffled to the keys that need them; keys without one keep their rows without a state."""
-    return obs.withWatermark("event_time", delay).groupBy("instrument").transformWithStateInPandas(
-        statefulProcessor=RegimeProcessor(), outputStructType=REGIME_OUT, outputMode="Append", timeMode="EventTime",
-        initialState=models.select("instrument", *MODEL).groupBy("instrument"))
-
-
 def store_writer(spark: SparkSession, path: str, *, late_path: str | None = None, late_after: str = "1 day"):
     """foreachBatch function: stamps arrival once and appends what the store does not hold.
 

@@ -282,22 +282,6 @@ def run_stream(spark, rows, build, files=4, close=None, schema=None):
     return spark.read.schema(out.schema).parquet(f"{base}/out")
 
 
-def test_stream_positions_equal_batch_over_several_batches(spark, sf):
-    """Shuffled fills, three files, one per micro-batch: folded in event-time order all the same."""
-    from tapeworks.operators.ledger import signed_positions
-    from tapeworks.plans import views
-    f = views.fills(spark, sf)
-    want = {r.execution_id: r for r in signed_positions(f).collect()}
-    rows = f.toPandas().sample(frac=1, random_state=1)
-    got = run_stream(spark, rows, lambda s: jobs.positions_stream(s, delay="60 days"), files=3, close="ts", schema=f.schema)
-    got = got.collect()
-    assert len(got) == len(want)
-    for g in got:
-        w = want[g.execution_id]
-        assert g.qty == pytest.approx(w.qty) and g.avg_cost == pytest.approx(w.avg_cost)
-        assert g.open_slippage == pytest.approx(w.open_slippage) and g.realized == pytest.approx(w.realized)
-
-
 def test_stream_dedup_across_batches(spark, sf):
     from tapeworks.plans import views
     f = views.fills(spark, sf).limit(200).toPandas()
