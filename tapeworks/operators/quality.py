@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeworks.functions.numeric import blank_to_null, finite
+from tapeworks.functions.scan import running
+from tapeworks.session import materialize
 
 # The accepted spellings of sides and liquidity flags.
 BUY_TOKENS = ["BUY", "B", "0"]
@@ -147,6 +149,9 @@ def dedup_events(df: DataFrame, *, order: list[str], event_id: str = "event_id")
     return named.unionByName(tagged.where(F.col("__id").isNull())).drop("__id")
 
 
+HEADLINE_SECONDS = 2 * 3600
+
+
 def title_hash(title: Column) -> Column:
     return F.sha2(title, 256)
 
@@ -155,6 +160,46 @@ def dedup_headlines(df: DataFrame, *, order: list[str]) -> DataFrame:
     return keep_first(df.withColumn("title_hash", title_hash(F.col("title"))), F.col("title_hash"), order)
 
 
+def dedup_headlines_within(df: DataFrame, *, seconds: int = HEADLINE_SECONDS, time: str = "processed_at", uid: str = "headline_id") -> DataFrame:
+    """Headlines whose title was not kept in the `seconds` before: a title is remembered from the
+    row that was kept, not from each repeat, so the next kept row is the first at or after that time.
+
+    Each row of a repeated title points to the row that would be kept after it, and kept rows are
+    found by doubling these pointers: log2(kept rows of a title) joins on (title, rank), which no
+    title can skew. `uid` is unique. Rows without a title are one title.
+    """
+    tagged = df.withColumn("title_hash", title_hash(F.col("title")))
+    slim = materialize(tagged.select(F.coalesce("title_hash", F.lit("")).alias("__key"), F.col(time).alias("__at"), F.col(uid).alias("__uid")), "titles")
+    after = F.expr(f"interval {seconds} seconds")
+    again = slim.groupBy("__key").agg(F.min("__at").alias("a"), F.max("__at").alias("b")).where(F.col("b") >= F.col("a") + after).select("__key")
+    ranked = running(slim.join(again, "__key", "left_semi"), {"__rank": ("count", F.lit(1))}, key=["__key"], order=["__at", "__uid"])
+    ranked = materialize(ranked, "title-ranks")
+    rows = ranked.withColumn("__kind", F.lit(1))
+    asked = ranked.withColumns({"__at": F.col("__at") + after, "__kind": F.lit(0)})
+    # seen from the end, the last row before a question is the first at or after its time
+    found = running(rows.unionByName(asked), {"__next": ("last", F.when(F.col("__kind") == 1, F.col("__rank")))},
+                    key=["__key"], order=["__at", "__kind", "__uid"], descending=True)
+    jump = materialize(found.where("__kind = 0 and __next is not null").select("__key", "__rank", "__next"), "title-jumps")
+    kept = ranked.where("__rank = 1").select("__key", "__rank")
+    later = []
+    while True:
+        hit = materialize(kept.join(jump, ["__key", "__rank"]).select("__key", F.col("__next").alias("__rank")), "title-kept")
+        if hit.isEmpty():
+            break
+        later.append(hit)
+        kept = kept.unionByName(hit)
+        beyond = jump.select("__key", F.col("__rank").alias("__next"), F.col("__next").alias("__far"))
+        jump = materialize(jump.join(beyond, ["__key", "__next"]).select("__key", "__rank", F.col("__far").alias("__next")), "title-jumps")
+    first = keep_first(tagged, F.coalesce("title_hash", F.lit("")), [time, uid])
+    if not later:
+        return first
+    ranks = later[0]
+    for hit in later[1:]:
+        ranks = ranks.unionByName(hit)
+    ids = ranked.join(ranks, ["__key", "__rank"]).select(F.col("__uid").alias(uid))
+    return first.unionByName(tagged.join(ids, uid, "left_semi"))
+
+
 def latest_per_order(fills: DataFrame, *, time: str = "ts", uid: str = "execution_id") -> DataFrame:
     """The last fill of each order."""
     return (

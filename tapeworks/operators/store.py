@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeworks.functions.scan import running
@@ -125,9 +127,102 @@ def new_rows(batch: DataFrame, store: DataFrame, *, uid="event_id") -> DataFrame
 
 def append_to_store(batch: DataFrame, store: DataFrame, path: str, *, uid="event_id") -> None:
     """Append the new rows, partitioned by event date and sorted for file statistics."""
-    rows = new_rows(batch, store, uid=uid).withColumns({
-        "known_at": known_at(), "event_date": F.to_date("event_time"),
-    })
+    _append(new_rows(batch, store, uid=uid), path)
+
+
+def _append(new: DataFrame, path: str) -> None:
+    rows = new.withColumns({"known_at": known_at(), "event_date": F.to_date("event_time")})
     rows.repartitionByRange("event_date", "instrument", "event_time").sortWithinPartitions(
         "event_date", "instrument", "event_time"
     ).write.mode("append").partitionBy("event_date").parquet(path)
+
+
+# --- the ids of a store ------------------------------------------------------------------------
+
+BUCKETS = 64
+#: Up to so many ids of a batch are looked for by value, so that Bloom filters skip files.
+LITERALS = 200
+_INDEX = "id string, batch long, bucket int"
+
+
+def id_bucket(uid: Column) -> Column:
+    return F.pmod(F.xxhash64(uid.cast("string")), F.lit(BUCKETS)).cast("int")
+
+
+def id_index(path: str) -> str:
+    """The folder of a store's ids, next to the store."""
+    return f"{path.rstrip('/')}.ids"
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def known_ids(ids: DataFrame, index: str) -> DataFrame | None:
+    """The entries of the index that a batch's ids (one column `id`) can hit, or None without an index.
+
+    Only the buckets of the batch are opened, and a small batch asks for its ids by value: then
+    the Bloom filter of each file, written with the ids, and their range decide.
+    """
+    spark = ids.sparkSession
+    if not _exists(spark, index):
+        return None
+    hit = [r["b"] for r in ids.select(id_bucket(F.col("id")).alias("b")).distinct().collect()]  # at most BUCKETS numbers
+    entries = spark.read.schema(_INDEX).parquet(index).where(F.col("bucket").isin(hit))
+    few = [r["id"] for r in ids.limit(LITERALS + 1).collect()]
+    if 0 < len(few) <= LITERALS:
+        asked = F.col("id") == few[0]
+        for x in few[1:]:
+            asked = asked | (F.col("id") == x)
+        entries = entries.where(asked)
+    return entries
+
+
+def _write_ids(rows: DataFrame, index: str, mode: str) -> None:
+    rows.withColumn("bucket", id_bucket(F.col("id"))).repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", "id").write.mode(mode).option(
+        "parquet.bloom.filter.enabled#id", "true").partitionBy("bucket").parquet(index)
+
+
+def append_indexed(batch: DataFrame, path: str, batch_id: int, *, uid="event_id") -> None:
+    """Append a batch's first arrivals whose ids the store does not hold; rows without an id always.
+
+    The index learns the ids before the store gets the rows, each with the number of its batch:
+    a repeated batch passes over its own entries and, there alone, asks the store itself what of
+    it had arrived. So a failure between the two writes neither loses nor doubles a named row.
+    """
+    from tapeworks.operators.quality import blank_to_null, dedup_events
+
+    spark, index = batch.sparkSession, id_index(path)
+    first = materialize(dedup_events(batch, order=["ingest_time", "event_time"], event_id=uid), "batch")
+    name = blank_to_null(F.col(uid))
+    ids = first.select(name.cast("string").alias("id")).where("id is not null")
+    entries = known_ids(ids, index)
+    tagged = first.withColumn("__id", name.cast("string"))
+    repeated = False
+    if entries is not None:
+        others = entries.where(F.col("batch") != batch_id).select(F.col("id").alias("__id"))
+        tagged = tagged.join(others, "__id", "left_anti")
+        repeated = not entries.where(F.col("batch") == batch_id).isEmpty()
+    fresh = materialize(tagged, "fresh")
+    if repeated:
+        fresh = fresh.join(spark.read.parquet(path).select(F.col(uid).cast("string").alias("__id")).distinct(), "__id", "left_anti") if _exists(spark, path) else fresh
+    else:
+        _write_ids(fresh.where("__id is not null").select(F.col("__id").alias("id"), F.lit(batch_id).cast("long").alias("batch")), index, "append")
+    _append(fresh.drop("__id"), path)
+
+
+def compact_ids(spark: SparkSession, path: str) -> None:
+    """Rewrite the index with one sorted file a bucket, beside the old one, and put it in its place.
+
+    To be run while no batch is being written.
+    """
+    index = id_index(path)
+    done = f"{index}-{uuid.uuid4().hex}"
+    _write_ids(spark.read.schema(_INDEX).parquet(index).drop("bucket"), done, "error")
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    old, new = hadoop.Path(index), hadoop.Path(done)
+    fs = old.getFileSystem(conf)
+    fs.delete(old, True)
+    if not fs.rename(new, old):
+        raise OSError(f"the compacted index stays at {done}")

@@ -313,6 +313,14 @@ def d4(spark, sf):
     return quality.dedup_headlines(views.headlines(spark, sf), order=["processed_at", "headline_id"]).select("headline_id", "title_hash")
 
 
+@query("d4_headline_expiry", """
+SELECT headline_id FROM (
+  SELECT title, rank FROM x_titles WHERE rank = 1 UNION ALL SELECT title, rank FROM x_title_orbit) JOIN x_titles USING (title, rank)""")
+def d4x(spark, sf):
+    """A title counts again two hours after it was last kept."""
+    return quality.dedup_headlines_within(views.headlines(spark, sf)).select("headline_id")
+
+
 @query("d5_latest_per_order", "SELECT order_id, arg_max(execution_id, (ts, execution_id)) AS execution_id FROM x_fills GROUP BY order_id")
 def d5(spark, sf):
     return quality.latest_per_order(views.fills(spark, sf)).select("order_id", "execution_id")

@@ -278,11 +278,9 @@ def io9(spark, sf):
     f = views.features(spark, sf)
     f = f.withColumn("event_id", F.when(F.col("k") >= 5, F.col("event_id")))
     path = f"{durable_dir(spark)}/store-{uuid.uuid4().hex}"
-    empty = f.limit(0)
-    store.append_to_store(f, empty, path)
     later = f.withColumn("event_time", F.col("event_time") + F.expr("interval 1 day"))
-    for batch in (f, later):
-        store.append_to_store(batch, spark.read.parquet(path), path)
+    for i, batch in enumerate((f, f, later)):
+        store.append_indexed(batch, path, i)
     return spark.read.parquet(path).groupBy("event_id").agg(
         F.count("*").alias("n"), F.unix_micros(F.min("event_time")).alias("event_us"))
 

@@ -101,6 +101,14 @@ SELECT d.doc_id AS headline_id, text AS title, source, TIMESTAMP '2024-01-01' +
   d.doc_id % 13 NOT IN (0, 1) AS classified
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"""
 
+VIEWS["x_titles"] = "SELECT title, processed_at, headline_id, row_number() OVER (PARTITION BY title ORDER BY processed_at, headline_id) AS rank FROM x_head"
+VIEWS["x_title_next"] = """
+SELECT a.title, a.rank, min(b.rank) AS next FROM x_titles a JOIN x_titles b ON a.title = b.title AND b.processed_at >= a.processed_at + INTERVAL 2 HOUR
+GROUP BY a.title, a.rank"""
+VIEWS["x_title_orbit"] = """
+SELECT title, next AS rank FROM x_title_next WHERE rank = 1
+UNION ALL SELECT n.title, n.next FROM x_title_orbit o JOIN x_title_next n ON n.title = o.title AND n.rank = o.rank"""
+
 VIEWS["x_news"] = "SELECT headline_id, title, source, processed_at, classified, " + ", ".join(
     f"CASE WHEN classified THEN {c}_sentiment ELSE 'neutral' END AS {c}_sentiment, CASE WHEN classified THEN {c}_confidence ELSE 0.5 END AS {c}_confidence"
     for c in ("btc", "eth", "sol", "xrp", "doge")) + " FROM x_head"

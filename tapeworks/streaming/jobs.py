@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tapeworks.operators import bars as bar_ops
 from tapeworks.operators.decisions import decide
 from tapeworks.operators.quality import fill_key
-from tapeworks.operators.store import append_to_store
+from tapeworks.operators.store import append_indexed
 
 STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -74,15 +74,8 @@ def store_writer(spark: SparkSession, path: str, *, late_path: str | None = None
     Repeating a batch after a failure adds nothing. Very late rows are also copied aside.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
         rows = batch if "ingest_time" in batch.columns else batch.withColumn("ingest_time", F.current_timestamp())
-        try:
-            have = session.read.parquet(path)
-        except Exception as e:  # the first batch finds no table yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            have = rows.limit(0)
-        append_to_store(rows, have, path)
+        append_indexed(rows, path, batch_id)
         if late_path:
             late = rows.where(F.col("ingest_time") > F.col("event_time") + F.expr(f"interval {late_after}"))
             late.write.mode("append").parquet(late_path)
