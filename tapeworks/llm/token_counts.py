@@ -19,9 +19,10 @@ def _lengths(texts: pa.Array, path: str, most: int) -> np.ndarray:
         model = SentencePieceProcessor(model_file=path)
         return np.array([len(x) for x in model.encode([t or "" for t in texts.to_pylist()], num_threads=1)], np.int64)
     enc = encoder(path)
-    if len(texts) > 1 or len(texts[0].as_py() or "") <= most:
+    if not enc.by_word or len(texts) > 1 or len(texts[0].as_py() or "") <= most:
         return enc.lengths(texts)
-    # a run of one text above the batch size: its pieces are batches of their own
+    # a run of one text above the batch size: its pieces are batches of their own. Only of the
+    # known rules it is sure that no token spans a cut; other tokenizers take texts whole
     return np.array([sum(int(enc.lengths(pa.array([p]))[0]) for p in pieces(texts[0].as_py(), most))])
 
 
@@ -31,7 +32,7 @@ def counts(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col:
 
     tokenizer: the path of a .json (tokenizers) or .model (sentencepiece) file. The rows of an
     Arrow batch are encoded in runs of about batch_bytes, long texts in pieces cut before white
-    space. One pass, no shuffle. A null or empty text has 0 bytes and 0 tokens; ids may be null
+    space where the tokenizer's rules make that safe, and whole with any other. One pass, no shuffle. A null or empty text has 0 bytes and 0 tokens; ids may be null
     or repeat (each row is counted); other columns are ignored; an empty table gives no rows.
     """
     slim = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))

@@ -48,9 +48,23 @@ def test_pieces_are_safe(library):
 
 
 def test_small_memo(enc, library, monkeypatch):
-    monkeypatch.setattr("tapeworks.llm.encode.MEMO_CHUNKS", 5)
-    text = "one two three four five six seven eight one two"
-    assert np.frombuffer(enc.encode([text])[0], "<u4").tolist() == library(text)
+    monkeypatch.setattr("tapeworks.llm.encode.MEMO_WORDS", 5)
+    for text in ("one two three four five six seven eight one two", "two, nine! ten; Two? one's don't-stop", "nine one 中文 two: naïve ÉTÉ. 中文 (x)"):
+        for _ in range(2):
+            assert np.frombuffer(enc.encode([text])[0], "<u4").tolist() == library(text)
+
+
+def test_memo_keeps_what_is_in_use(monkeypatch):
+    from tapeworks.llm.encode import Memo
+
+    monkeypatch.setattr("tapeworks.llm.encode.MEMO_WORDS", 20)
+    asked = []
+    memo = Memo(lambda words: [asked.append(w) or w.encode() for w in words])
+    for k in range(30):
+        words = ["hot", "hot", *[f"w{k}-{i}" for i in range(9)]]
+        assert memo.of(words) == [w.encode() for w in words]
+        assert len(memo.new) + len(memo.old) <= 2 * (20 + len(words))
+    assert asked.count("hot") == 1 and len(asked) == 1 + 30 * 9
 
 
 def test_counts(odd, empty, bpe, library):
