@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeworks.llm._order import running_before
-from tapeworks.llm._rows import KEY, partitions, row_key, with_key
+from tapeworks.llm._rows import KEY, partitions, row_key
 from tapeworks.session import materialize
 
 BLOCK_BYTES = 1 << 16
@@ -103,7 +103,9 @@ def schedule(docs: DataFrame, weights: dict[str | None, float] | None = None, *,
     bytes to the power `temper`, so that small sources come up), rounded to `resolution` parts.
     No document is dropped or repeated: when a source has run dry the rest go on among
     themselves; slots that a long document runs through stay empty. At most MAX_SOURCES
-    sources, since their schedule is broadcast.
+    sources: the periods of all phases, up to one for each source that runs dry, are a table
+    that is made on the driver and broadcast (1,000 sources that run dry one by one: a million
+    numbers).
 
     Null and repeated ids, null and empty texts are documents like others; a null source is a
     source of its own; rows that repeat wholly share one row here, with `copies`; a source
@@ -138,7 +140,7 @@ def schedule(docs: DataFrame, weights: dict[str | None, float] | None = None, *,
     kinds = "src string, first long, at long, w long, of long, slots array<int>"
     by_source = spark.createDataFrame(table, kinds).groupBy("src").agg(
         F.sort_array(F.collect_list(F.struct("first", "at", "w", "of", "slots"))).alias("phases"))
-    # bounded: at most MAX_SOURCES rows, `resolution` slots for each phase
+    # a row for each source, up to its weight in slots for each phase it is in
     out = placed.join(F.broadcast(by_source), "src").withColumn(
         "p", F.element_at(F.filter("phases", lambda p: p["first"] <= F.col("block")), -1)).drop("phases")
     k = F.col("block") - F.col("p.first")
@@ -157,7 +159,8 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, *, id_c
     """All rows of docs with its columns, in the order of the mix: partitions are runs of slots,
     sorted inside, so files written from them follow the mix one after another."""
     slots = schedule(docs, weights, id_col=id_col, text_col=text_col, source_col=source_col, **options)
-    slots = materialize(slots.select(*KEY, F.col("slot").alias("__slot"), F.col("before").alias("__before")), "slots")
-    rows = with_key(docs, id_col, source_col, text_col).join(slots, list(KEY))
-    ordered = rows.repartitionByRange(partitions(docs.sparkSession), "__slot", "__before").sortWithinPartitions("__slot", "__before")
-    return ordered.select(*[f"`{c}`" for c in docs.columns])
+    slots = materialize(slots.select(*KEY, "slot", "before"), "slots")
+    # the columns of docs travel in one struct, so that no name of theirs meets one of these
+    rows = docs.select(*row_key(docs[id_col], docs[source_col], docs[text_col]), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    ordered = rows.join(slots, list(KEY)).repartitionByRange(partitions(docs.sparkSession), "slot", "before").sortWithinPartitions("slot", "before")
+    return ordered.select("row.*")

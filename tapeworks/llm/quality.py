@@ -9,14 +9,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeworks.llm._rows import KEY, row_key, with_key
+from tapeworks.llm._rows import KEY, row_key
 from tapeworks.session import materialize
 
 MIN_WORDS = 10
 MAX_REPEAT_PCT = 20
 WINDOW = 5
-MIN_DOCS = 20
-MAX_SHARE_PCT = 5
+#: A line goes that stands in more than MAX_DOCS documents of a host, however large that is, or
+#: in more than MAX_SHARE_PCT per cent of it, if these are more than MIN_DOCS, however small it is.
+MIN_DOCS, MAX_SHARE_PCT = 4, 5
+MAX_DOCS = 100
 MAX_REMOVED_PCT = 80
 
 # White space that parts words, and the characters that count as symbols.
@@ -74,25 +76,25 @@ def _lines() -> Column:
 
 def verdicts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
              min_words: int = MIN_WORDS, max_repeat_pct: int = MAX_REPEAT_PCT, min_docs: int = MIN_DOCS,
-             max_share_pct: int = MAX_SHARE_PCT, max_removed_pct: int = MAX_REMOVED_PCT) -> DataFrame:
+             max_share_pct: int = MAX_SHARE_PCT, max_docs: int = MAX_DOCS, max_removed_pct: int = MAX_REMOVED_PCT) -> DataFrame:
     """One row per row of docs: row key, id, base statistics, n_removed_words, base_failed, kept.
 
-    A line is above the limits if, among the documents of one host, it stands in more than
-    min_docs and in more than max_share_pct per cent. Copies of a text with one another count
+    A line is above the limits if it stands in more than max_docs documents of one host, or in
+    more than min_docs that are more than max_share_pct per cent of it. Copies of a text with one another count
     as one document, so a much-copied text does not make boilerplate of itself. Such a line is
     removed from every document but the first (smallest id) of the host that has it, so no
     text vanishes from the corpus; documents without an id lose it. A document is depleted if
-    fewer than min_words words are left, or more than max_removed_pct per cent went. Limits are
-    shares of the host and behave alike at every size.
+    fewer than min_words words are left, or more than max_removed_pct per cent went. The
+    share reaches the lines of small hosts, the number those of large ones.
 
     A null text is empty and fails; a null host is a host of its own; repeated rows get equal
     answers; other columns are ignored; an empty table gives no rows.
     """
-    return _judge(docs, id_col, text_col, host_col, min_words, max_repeat_pct, min_docs, max_share_pct, max_removed_pct)[0]
+    return _judge(docs, id_col, text_col, host_col, min_words, max_repeat_pct, min_docs, max_share_pct, max_docs, max_removed_pct)[0]
 
 
 def _judge(docs: DataFrame, id_col: str, text_col: str, host_col: str, min_words: int = MIN_WORDS, max_repeat_pct: int = MAX_REPEAT_PCT,
-           min_docs: int = MIN_DOCS, max_share_pct: int = MAX_SHARE_PCT, max_removed_pct: int = MAX_REMOVED_PCT) -> tuple[DataFrame, DataFrame]:
+           min_docs: int = MIN_DOCS, max_share_pct: int = MAX_SHARE_PCT, max_docs: int = MAX_DOCS, max_removed_pct: int = MAX_REMOVED_PCT) -> tuple[DataFrame, DataFrame]:
     """The verdicts, and (row key, h, w) of every line to be removed."""
     slim = docs.select(
         *row_key(docs[id_col], docs[host_col], docs[text_col]), docs[id_col].alias("id"),
@@ -106,9 +108,10 @@ def _judge(docs: DataFrame, id_col: str, text_col: str, host_col: str, min_words
     line = stats.select(*KEY, "id", "host", "copy", F.explode("lines").alias("l")).select(
         *KEY, "id", "host", "copy", F.col("l.h").alias("h"), F.col("l.w").alias("w"))
     held = line.groupBy("host", "h", "copy").agg(F.min("id").alias("id"))
-    seen = held.groupBy("host", "h").agg(F.count("*").alias("n"), F.min("id").alias("first_id")).where(F.col("n") > min_docs)
+    seen = held.groupBy("host", "h").agg(F.count("*").alias("n"), F.min("id").alias("first_id")).where(F.col("n") > min(min_docs, max_docs))
     sizes = stats.groupBy("host", "copy").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("of"))
-    above = seen.join(sizes, "host").where(100 * F.col("n") > max_share_pct * F.col("of")).select("host", "h", "first_id")
+    common = (F.col("n") > min_docs) & (100 * F.col("n") > max_share_pct * F.col("of"))
+    above = seen.join(sizes, "host").where((F.col("n") > max_docs) | common).select("host", "h", "first_id")
     marked = line.join(above, ["host", "h"]).where(F.coalesce(F.col("id") != F.col("first_id"), F.lit(True)))
     marked = materialize(marked.select(*KEY, "h", "w"), "marked-lines")
     # a row that is there c times has c times the sum, and c times the count of its copies
@@ -127,14 +130,16 @@ def keep(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", hos
     """The rows of docs that the rules keep, with the columns of docs, without the lines above
     the limits; size_col, if docs has it, is the new length where lines went."""
     judged, marked = _judge(docs, id_col, text_col, host_col, **limits)
-    bad = judged.where(~F.col("kept")).select(*KEY, F.lit(True).alias("__bad"), F.lit(None).cast("bigint").alias("h"))
+    bad = judged.where(~F.col("kept")).select(*KEY, F.lit(True).alias("bad"), F.lit(None).cast("bigint").alias("h"))
     both = bad.union(marked.select(*KEY, F.lit(False), "h"))
-    todo = both.groupBy(*KEY).agg(F.max("__bad").alias("__bad"), F.collect_set("h").alias("__gone"))
-    rows = with_key(docs, id_col, host_col, text_col).join(todo, list(KEY), "left").where(~F.coalesce("__bad", F.lit(False)))
-    text = F.col(f"`{text_col}`")
-    left = F.filter(F.split(text, "\n"), lambda x: ~F.array_contains("__gone", F.xxhash64(F.trim(_flat(x)))))
-    rows = rows.withColumn("__left", F.when(F.size("__gone") > 0, F.array_join(left, "\n")))
-    new = {text_col: F.coalesce("__left", text)}
+    todo = both.groupBy(*KEY).agg(F.max("bad").alias("bad"), F.collect_set("h").alias("gone"))
+    # the columns of docs travel in one struct, so that no name of theirs meets one of these
+    rows = docs.select(*row_key(docs[id_col], docs[host_col], docs[text_col]), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    rows = rows.join(todo, list(KEY), "left").where(~F.coalesce("bad", F.lit(False)))
+    text = F.col("row")[text_col]
+    left = F.filter(F.split(text, "\n"), lambda x: ~F.array_contains("gone", F.xxhash64(F.trim(_flat(x)))))
+    rows = rows.withColumn("left", F.when(F.size("gone") > 0, F.array_join(left, "\n")))
+    new = {text_col: F.coalesce("left", text)}
     if size_col in docs.columns:
-        new[size_col] = F.coalesce(F.length("__left").cast(docs.schema[size_col].dataType), F.col(f"`{size_col}`"))
-    return rows.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
+        new[size_col] = F.coalesce(F.length("left").cast(docs.schema[size_col].dataType), F.col("row")[size_col])
+    return rows.select(*[(new[c] if c in new else F.col("row")[c]).alias(c) for c in docs.columns])

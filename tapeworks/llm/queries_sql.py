@@ -29,7 +29,7 @@ line AS (SELECT * FROM nl WHERE n <> ''),
 freq AS (SELECT source, n, count(DISTINCT t) AS c, min(doc_id) AS first_id FROM line GROUP BY source, n),
 size AS (SELECT source, count(DISTINCT t) AS of_host FROM d GROUP BY source),
 above AS (SELECT source, n, first_id FROM freq JOIN size USING (source)
-    WHERE c > {quality.MIN_DOCS} AND 100 * c > {quality.MAX_SHARE_PCT} * of_host),
+    WHERE c > {quality.MAX_DOCS} OR (c > {quality.MIN_DOCS} AND 100 * c > {quality.MAX_SHARE_PCT} * of_host)),
 lost AS (SELECT doc_id, sum(len(string_split(n, ' ')))::BIGINT AS n_removed FROM line JOIN above USING (source, n)
     WHERE doc_id <> first_id GROUP BY doc_id),
 f AS (SELECT base.*, coalesce(n_removed, 0)::BIGINT AS n_removed_words,
