@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeworks.functions.scan import running
-from tapeworks.session import materialize
+from tapeworks.session import exists, materialize
 
 HISTORY_LIMIT = 50
 
@@ -154,11 +154,6 @@ def id_index(path: str) -> str:
     return f"{path.rstrip('/')}.ids"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
-
-
 def known_ids(ids: DataFrame, index: str) -> DataFrame | None:
     """The entries of the index that a batch's ids (one column `id`) can hit, or None without an index.
 
@@ -166,7 +161,7 @@ def known_ids(ids: DataFrame, index: str) -> DataFrame | None:
     the Bloom filter of each file, written with the ids, and their range decide.
     """
     spark = ids.sparkSession
-    if not _exists(spark, index):
+    if not exists(spark, index):
         return None
     hit = [r["b"] for r in ids.select(id_bucket(F.col("id")).alias("b")).distinct().collect()]  # at most BUCKETS numbers
     entries = spark.read.schema(_INDEX).parquet(index).where(F.col("bucket").isin(hit))
@@ -206,7 +201,7 @@ def append_indexed(batch: DataFrame, path: str, batch_id: int, *, uid="event_id"
         repeated = not entries.where(F.col("batch") == batch_id).isEmpty()
     fresh = materialize(tagged, "fresh")
     if repeated:
-        fresh = fresh.join(spark.read.parquet(path).select(F.col(uid).cast("string").alias("__id")).distinct(), "__id", "left_anti") if _exists(spark, path) else fresh
+        fresh = fresh.join(spark.read.parquet(path).select(F.col(uid).cast("string").alias("__id")).distinct(), "__id", "left_anti") if exists(spark, path) else fresh
     else:
         _write_ids(fresh.where("__id is not null").select(F.col("__id").alias("id"), F.lit(batch_id).cast("long").alias("batch")), index, "append")
     _append(fresh.drop("__id"), path)

@@ -12,7 +12,7 @@ from tapeworks.plans.models import models
 from tapeworks.plans.registry import pick, query
 from tapeworks.operators import regime
 from tapeworks.session import durable_dir, materialize
-from tapeworks.streaming import jobs, slots
+from tapeworks.streaming import jobs, late_rows, slots
 
 
 def _in_turn(spark: SparkSession, path: str) -> None:
@@ -25,18 +25,22 @@ def _in_turn(spark: SparkSession, path: str) -> None:
         fs.setTimes(status.getPath(), 1_000_000_000_000 + 60_000 * turn, -1)
 
 
-def source(spark: SparkSession, sf: str, view, *, close: str | None = None, closings: int = 1, files: int = 4, slices: int = 1) -> DataFrame:
+def source(spark: SparkSession, sf: str, view, *, close: str | None = None, closings: int = 1, files: int = 4, slices: int = 1, turn=None) -> DataFrame:
     """A file stream over what a view derives from the tables, in several micro-batches.
 
     `close` names the event time: a last row, empty but for a time a day after all others,
     moves the watermark past every open window, as the end of a topic does. It stands in
     windows of its own that never close, so no output holds it. A chain of stateful operators
     needs a batch for each, so more `closings`, a day apart. With `slices` the rows come in
-    event-time order, a slice of the time axis to a batch.
+    event-time order, a slice of the time axis to a batch; `turn`, a column of numbers from 0,
+    names the batch of each row instead, one file each.
     """
     path = f"{durable_dir(spark)}/stream-{uuid.uuid4().hex}"
     rows = view(spark, sf)
-    if slices == 1:
+    if turn is not None:
+        rows.withColumn("slice", turn).repartition("slice").write.partitionBy("slice").parquet(path)
+        _in_turn(spark, path)
+    elif slices == 1:
         rows.repartition(files).write.parquet(f"{path}/slice=0")
     else:
         rows = materialize(rows, "stream-rows")
@@ -53,7 +57,7 @@ def source(spark: SparkSession, sf: str, view, *, close: str | None = None, clos
             # blank text, as a join drops rows without a key before they move the watermark
             blank = [F.lit("" if f.dataType.simpleString() == "string" else None).cast(f.dataType).alias(f.name) for f in rows.schema]
             spark.range(1).select(*[t.alias(f.name) if f.name == close else b for f, b in zip(rows.schema, blank)]
-                                  ).coalesce(1).write.parquet(f"{path}/slice={slices + day}")
+                                  ).coalesce(1).write.parquet(f"{path}/slice={1_000_000 + day}")
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{path}/*")
 
 
@@ -115,6 +119,22 @@ def s2(spark, sf):
         pick, "instrument", "unix_micros(open_time) open_us", "snap(open, 6) open", "snap(close, 6) close", "volume", "ticks")
 
 
+@query("s2_bars_with_late_rows", """
+SELECT instrument, count(*) FILTER (NOT late) AS kept, count(*) FILTER (late) AS late, count(DISTINCT CASE WHEN NOT late THEN time_bucket(INTERVAL 5 MINUTE, ts) END) AS bars FROM (
+  SELECT instrument, ts, coalesce(ts < mark - INTERVAL 10 MINUTE, false) AS late FROM x_turns LEFT JOIN x_marks USING (turn)) GROUP BY instrument""")
+def s2late(spark, sf):
+    """Ticks of which every 17th comes three batches late: bars of those in time, the others kept aside."""
+    view = lambda s, d: views.trade_ticks(s, d).withColumn("event_id", F.col("event_id").cast("long"))
+    late = F.when(F.col("event_id") % 17 == 0, 3).otherwise(0)
+    day = F.datediff("ts", F.lit("2024-01-01")) / 4
+    base = f"{durable_dir(spark)}/late-{uuid.uuid4().hex}"
+    src = source(spark, sf, view, close="ts", files=1, turn=(F.floor(day) + late).cast("int"))
+    drain(src, each_batch=late_rows.aside(base, jobs.bars_stream, time="ts", delay="10 minutes"))
+    kept = spark.read.parquet(f"{base}/out").groupBy("instrument").agg(F.sum("ticks").alias("kept"), F.count("*").alias("bars"))
+    lost = late_rows.late(spark, base).groupBy("instrument").agg(F.count("*").alias("late"))
+    return kept.join(lost, "instrument", "full").select("instrument", F.coalesce("kept", F.lit(0)).alias("kept"), F.coalesce("late", F.lit(0)).alias("late"), F.coalesce("bars", F.lit(0)).alias("bars"))
+
+
 @query("s3_stream_positions", """
 SELECT execution_id, qn AS qty, snap(an, 6) AS avg_cost, snap(sn, 6) AS open_slippage, snap(realized, 6) AS realized FROM x_pos""")
 def s3(spark, sf):

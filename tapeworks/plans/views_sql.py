@@ -58,6 +58,12 @@ SELECT 't' || event_id AS tick_id, instrument, px * (1 + (k - 50) / 10000) AS pr
 VIEWS["x_trades"] = """
 SELECT 't' || event_id AS tick_id, event_id, instrument, px AS price, CAST(1 + k % 10 AS DOUBLE) AS quantity, ts FROM x_ev"""
 
+VIEWS["x_turns"] = """
+SELECT instrument, ts, datediff('day', DATE '2024-01-01', CAST(ts AS DATE)) // 4 + CASE WHEN event_id % 17 = 0 THEN 3 ELSE 0 END AS turn FROM x_trades"""
+# the latest time of all earlier turns
+VIEWS["x_marks"] = """
+SELECT turn, max(top) OVER (ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mark FROM (SELECT turn, max(ts) AS top FROM x_turns GROUP BY turn)"""
+
 VIEWS["x_feat"] = """
 SELECT 'e' || event_id AS event_id, instrument, ts AS event_time, ts + to_minutes(k) AS ingest_time,
   (k - 50) / 50 AS obi, px AS midPrice, 0.01::DOUBLE * (1 + k % 5) AS spread,
