@@ -17,7 +17,7 @@ from tapeworks.functions.numeric import ratio
 from tapeworks.functions.quantiles import exact_quantiles
 from tapeworks.functions.scan import running
 from tapeworks.operators.ledger import fifo_labels, fifo_match
-from tapeworks.session import materialize
+from tapeworks.session import exists, materialize
 
 MIN_SAMPLES, RETRAIN_INTERVAL, TEST_SHARE = 30, 50, 0.2
 MAX_DEPTH, ROUNDS, LEARNING_RATE = 4, 100, 0.1
@@ -148,6 +148,23 @@ def promotion_gate(scored: DataFrame, *, challenger="prediction", incumbent: str
     return a.withColumn("reason", reason).withColumn("promote", F.col("reason").isin("first_model", "better"))
 
 
+def gate_against_stored(spark: SparkSession, candidate: PipelineModel | None, path: str, test: DataFrame, *, trained_at: str, samples: int,
+                        features: list[str] = FEATURES) -> DataFrame:
+    """The gate's decision on a newly trained model against the stored one, both on the same test
+    rows. A promoted candidate is stored in its place; no candidate is never promoted."""
+    if candidate is None:
+        none = promotion_gate(test.limit(0).withColumn("prediction", F.lit(0.0)))
+        return none.withColumn("reason", F.lit("not_trained"))
+    stored = load_model(spark, path, features=features) if exists(spark, f"{path}/metadata") else None
+    scored = score(candidate, test).withColumnRenamed("prediction", "challenger").drop("confidence", "model_ready")
+    if stored is not None:
+        scored = score(stored, scored).withColumnRenamed("prediction", "incumbent")
+    decision = materialize(promotion_gate(scored, challenger="challenger", incumbent=None if stored is None else "incumbent"), "gate")
+    if decision.first()["promote"]:
+        save_model(spark, candidate, path, trained_at=trained_at, samples=samples, features=features)
+    return decision
+
+
 def schema_hash(features: list[str] = FEATURES) -> str:
     return hashlib.sha256(json.dumps(features).encode()).hexdigest()[:16]
 

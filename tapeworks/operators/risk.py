@@ -7,11 +7,12 @@ from math import factorial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeworks.functions.numeric import clamp, ratio
 from tapeworks.functions.scan import Cuts, running
+from tapeworks.session import materialize
 
 YEAR_HOURS = 8760.0
 ZERO_STD = 0.001
@@ -255,44 +256,49 @@ def portfolio_var(ranked: DataFrame) -> DataFrame:
 _EPS = 1e-9
 
 
+PORTFOLIO = ("instrument string, weight double, risk_contribution double, market double, momentum double, volatility double, n long, as_of timestamp, "
+             "available boolean, reason string")
+
+
 def portfolio_construction(ranked: DataFrame, *, time="time") -> DataFrame:
     """Inverse-volatility, demeaned, gross-one weights with factor exposures.
 
-    Empty when fewer than two instruments are usable or all volatilities are equal.
+    Where there are none, one row says why: fewer than two instruments with enough returns, or
+    volatilities that do not differ. The returns are read twice, for counts and for the common
+    tail; all else works on one written row per instrument.
     """
-    counts = ranked.groupBy("instrument").agg(F.count("*").alias("m"), F.max(time).alias("t")).where(
-        F.col("m") >= MIN_RETURNS
-    )
-    usable = _with_totals(
-        counts, F.min("m").alias("n"), F.count("*").alias("k"), F.max("t").alias("as_of")).where(F.col("k") >= 2)
-    tails = ranked.join(usable, "instrument").where(F.col("pos") <= F.col("n"))
-    basket = tails.groupBy("pos").agg(F.avg("ret").alias("basket"))
-    per = tails.join(basket, "pos").groupBy("instrument").agg(
+    spark = ranked.sparkSession
+
+    def unavailable(reason: str) -> DataFrame:
+        return spark.createDataFrame([(*[None] * 8, False, reason)], PORTFOLIO)
+
+    counts = ranked.groupBy("instrument").agg(F.count("*").alias("m"), F.max(time).alias("t")).where(F.col("m") >= MIN_RETURNS)
+    counts = materialize(counts, "portfolio-counts")
+    head = counts.agg(F.min("m").alias("n"), F.count("*").alias("k"), F.max("t").alias("as_of")).first()
+    if head["k"] < 2:
+        return unavailable(f"need at least 2 instruments with {MIN_RETURNS} returns, have {head['k']}")
+    tails = ranked.where(F.col("pos") <= head["n"]).join(counts.select("instrument"), "instrument", "left_semi").select("instrument", "pos", "ret")
+    basket = F.avg("ret").over(Window.partitionBy("pos"))  # a place holds one return of each instrument
+    per = tails.withColumn("basket", basket).groupBy("instrument").agg(
         F.avg("ret").alias("mean"), F.stddev_pop("ret").alias("vol"),
-        F.covar_pop("ret", "basket").alias("cov"), F.stddev_pop("basket").alias("basket_std"),
-        F.first("n").alias("n"), F.first("as_of").alias("as_of"),
-    )
-    per = per.withColumn("raw", 1 / F.greatest("vol", F.lit(_EPS)))
-    per = _with_totals(per, F.avg("raw").alias("mid")).withColumn("signed", F.col("raw") - F.col("mid"))
-    per = _with_totals(per, F.sum(F.abs("signed")).alias("gross")).where(F.col("gross") > _EPS)
-    per = per.withColumn("weight", F.col("signed") / F.col("gross"))
-    load = F.abs("weight") * F.col("vol")
+        F.covar_pop("ret", "basket").alias("cov"), F.stddev_pop("basket").alias("basket_std"))
+    per = materialize(per.withColumn("raw", 1 / F.greatest("vol", F.lit(_EPS))), "portfolio")
+    mid = per.agg(F.avg("raw").alias("mid")).first()["mid"]
+    signed = F.col("raw") - F.lit(mid)
     usable_corr = (F.col("vol") > _EPS) & (F.col("basket_std") > _EPS)
     corr = F.when(usable_corr, clamp(ratio(F.col("cov"), F.col("vol") * F.col("basket_std")), -1.0, 1.0))
-    per = _with_totals(
-        per, F.sum(load).alias("total"), F.avg(corr).alias("market"), F.avg("mean").alias("momentum"), F.avg("vol").alias("volatility"))
-    total = F.col("total")
+    sums = per.agg(
+        F.sum(F.abs(signed)).alias("gross"), F.sum(F.abs(signed) * F.col("vol")).alias("load"), F.avg(corr).alias("market"),
+        F.avg("mean").alias("momentum"), F.avg("vol").alias("volatility")).first()
+    if not sums["gross"] > _EPS:
+        return unavailable("the volatilities of the instruments do not differ")
+    gross, load = F.lit(sums["gross"]), F.abs(signed) * F.col("vol")
+    total = sums["load"] / sums["gross"]
     return per.select(
-        "instrument", "weight",
-        F.when(total > _EPS, load / total).otherwise(0.0).alias("risk_contribution"),
-        F.coalesce("market", F.lit(0.0)).alias("market"), "momentum", "volatility", "n", "as_of",
-    )
-
-
-def _with_totals(df: DataFrame, *totals: Column) -> DataFrame:
-    """Each row with figures over the whole frame: one row, joined back."""
-    one = df.agg(*totals, F.lit(1).alias("one"))
-    return df.withColumn("one", F.lit(1)).join(one, "one").drop("one")
+        "instrument", (signed / gross).alias("weight"),
+        (load / gross / total if total > _EPS else F.lit(0.0)).alias("risk_contribution"),
+        F.lit(sums["market"] or 0.0).alias("market"), F.lit(sums["momentum"]).alias("momentum"), F.lit(sums["volatility"]).alias("volatility"),
+        F.lit(head["n"]).cast("long").alias("n"), F.lit(head["as_of"]).cast("timestamp").alias("as_of"), F.lit(True).alias("available"), F.lit(None).cast("string").alias("reason"))
 
 
 SIMULATIONS = 5000

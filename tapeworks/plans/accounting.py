@@ -133,8 +133,14 @@ SELECT reason, count(*) AS n FROM (SELECT coalesce(reason, 'processed') AS reaso
 WHERE n = 1 GROUP BY reason""")
 def io6(spark, sf):
     """Reading a topic twice from the start gives the same fills as reading it once."""
-    once = views.validated_fills(spark, sf)
-    twice = once.unionByName(once)
+    import uuid
+
+    from tapeworks.session import durable_dir
+    topic = f"{durable_dir(spark)}/fills-{uuid.uuid4().hex}"
+    lines = views.dirty_fills(spark, sf).drop("ts")
+    lines.select(F.to_json(F.struct(*lines.columns)).alias("value")).write.text(topic)
+    read = lambda: readers.good_records(readers.decode(readers.read_records(spark, topic), lines.schema))
+    twice = quality.validate_fills(read().unionByName(read()))
     return quality.dedup_fills(quality.typed_fills(twice), order=["arrival_no"]).groupBy(
         F.lit("processed").alias("reason")).agg(F.count("*").alias("n"))
 
@@ -525,6 +531,15 @@ def r13(spark, sf):
         "snap(momentum, 5) momentum", "snap(volatility, 5) volatility", "n")
 
 
+@query("r13_portfolio_unavailable", f"""
+SELECT NULL::VARCHAR AS instrument, NULL::DOUBLE AS weight, false AS available, 'need at least 2 instruments with {risk.MIN_RETURNS} returns, have '
+  || count(*) AS reason FROM (SELECT instrument FROM x_trips WHERE instrument = 'BTC-USDT' GROUP BY instrument HAVING count(*) >= {risk.MIN_RETURNS})""")
+def r13u(spark, sf):
+    """One instrument alone is no portfolio, and the row says so."""
+    one = trips(spark, sf).where("instrument = 'BTC-USDT'")
+    return risk.portfolio_construction(risk.ranked_returns(one, cuts=cuts(spark, sf))).select("instrument", "weight", "available", "reason")
+
+
 _STEPS = " + ".join(f"CASE WHEN u >= {s} THEN 1 ELSE 0 END" for s in risk.POISSON_STEPS)
 
 

@@ -125,6 +125,30 @@ def m7(spark, sf):
         pick, "n", "positives", "snap(challenger_accuracy, 6) challenger_accuracy", "snap(incumbent_accuracy, 6) incumbent_accuracy", "promote")
 
 
+@query("m6_trained_metrics")
+def m6t(spark, sf):
+    """M6 on what the trained model says of the test part; tested against counts of its predictions."""
+    scored = ml.score(classifier(spark, sf), split(spark, sf).where("NOT is_train"))
+    return ml.classifier_metrics(scored).transform(
+        pick, "n", "tp", "fp", "fn", "tn", "snap(accuracy, 6) accuracy", "snap(precision, 6) precision", "snap(recall, 6) recall", "snap(f1, 6) f1")
+
+
+@query("m7_trained_gate")
+def m7t(spark, sf):
+    """A model of the older half of the training part is the first; that of the whole part is gated against it."""
+    import uuid
+
+    from tapeworks.session import durable_dir
+    path = f"{durable_dir(spark)}/gate-{uuid.uuid4().hex}"
+    train, test = split(spark, sf).where("is_train"), split(spark, sf).where("NOT is_train")
+    mid = train.agg(F.percentile_approx(F.unix_micros("label_time"), 0.5).alias("t")).first()["t"]
+    older = train.where(F.unix_micros("label_time") <= mid)
+    first = ml.gate_against_stored(spark, ml.train_classifier(older), path, test, trained_at="2024-01-15T00:00:00Z", samples=older.count())
+    second = ml.gate_against_stored(spark, classifier(spark, sf), path, test, trained_at="2024-01-31T00:00:00Z", samples=train.count())
+    return first.withColumn("turn", F.lit(1)).unionByName(second.withColumn("turn", F.lit(2))).select(
+        "turn", "n", "positives", "challenger_accuracy", "incumbent_accuracy", "reason", "promote")
+
+
 @query("m9_score_latest")
 def m9(spark, sf):
     return ml.score_latest(classifier(spark, sf), views.features(spark, sf)).transform(pick, "instrument", "event_id", "snap(confidence, 6) confidence", "model_ready")

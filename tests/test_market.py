@@ -123,6 +123,38 @@ def test_model_round_trip(spark, tmp_path):
     assert ml.load_model(spark, str(tmp_path / "m"), features=["a"]) is None
 
 
+def test_gate_against_the_stored_model(spark, tmp_path):
+    """The stored model stays unless a candidate is better on the same test rows."""
+    rng = np.random.default_rng(3)
+    x = rng.uniform(-1, 1, (900, 2))
+    rows = [(float(a), float(b), int(a > 0)) for a, b in x]
+    df = spark.createDataFrame(rows, "a double, b double, label int")
+    test, flipped = df.limit(300), df.withColumn("label", 1 - F.col("label"))
+    fit = lambda d: ml.train_classifier(d, features=["a", "b"], rounds=3)
+    good, bad = fit(df), fit(flipped)
+    gate = lambda m: ml.gate_against_stored(spark, m, str(tmp_path / "g"), test, trained_at="t", samples=900, features=["a", "b"]).first()
+    assert [gate(bad).reason, gate(bad).reason, gate(good).reason, gate(bad).reason] == ["first_model", "no_improvement", "better", "no_improvement"]
+    last = gate(good)
+    assert (last.reason, last.promote, last.challenger_accuracy) == ("no_improvement", False, last.incumbent_accuracy) and last.challenger_accuracy > .9
+    assert gate(None).reason == "not_trained"
+    scored = ml.score(good, test)
+    m, rows = ml.classifier_metrics(scored).first(), scored.select("label", "prediction").collect()
+    assert (m.tp, m.fn) == (sum(r.label and r.prediction == 1 for r in rows), sum(r.label and r.prediction == 0 for r in rows))
+
+
+def test_portfolio_says_why_there_is_none(spark):
+    from tapeworks.operators import risk
+    rows = [(i, p, r, ts("2024-01-01")) for i, k in (("A", .01), ("B", .03)) for p, r in enumerate([k, -k, k, -k, k, -k], 1)]
+    ranked = spark.createDataFrame(rows, "instrument string, pos long, ret double, time timestamp")
+    both = risk.portfolio_construction(ranked).orderBy("instrument").collect()
+    assert [r.weight for r in both] == pytest.approx([.5, -.5]) and all(r.available and r.reason is None for r in both)
+    one = risk.portfolio_construction(ranked.where("instrument = 'A'")).collect()
+    assert len(one) == 1 and not one[0].available and "have 1" in one[0].reason and one[0].weight is None
+    equal = risk.portfolio_construction(ranked.withColumn("ret", F.when(F.col("pos") % 2 == 0, .01).otherwise(-.01))).first()
+    assert not equal.available and "do not differ" in equal.reason
+    assert risk.portfolio_construction(ranked.where("false")).first().reason.endswith("have 0")
+
+
 def sample_chain(n, seed=1):
     rng = np.random.default_rng(seed)
     a = np.array([[.95, .03, .02], [.03, .94, .03], [.02, .03, .95]])
