@@ -14,12 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tapeworks.llm._order import running_before
-from tapeworks.llm._rows import KEY, partitions, row_key, with_key
+from tapeworks.llm._rows import KEY, partitions, row_key
 from tapeworks.session import materialize
 
 BITS = 6
 SHARDS = 16
-PREFIX_BYTES = 7
 
 
 @lru_cache(maxsize=8)
@@ -68,11 +67,10 @@ def curve_index(cells: list[Column], bits: int) -> Column:
 
 
 def _axis(df: DataFrame, name: str) -> Column:
-    """An order-keeping long: numbers and times as they are, text by its first seven bytes."""
+    """An order-keeping number; text as it is, for `_ranked`."""
     kind, c = df.schema[name].dataType, df[name]
-    if isinstance(kind, T.StringType):
-        head = F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, PREFIX_BYTES)), 2 * PREFIX_BYTES, "0")
-        return F.conv(head, 16, 10).cast("long")
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return c
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         return F.unix_micros(c.cast("timestamp"))
     if isinstance(kind, T.DateType):
@@ -80,6 +78,17 @@ def _axis(df: DataFrame, name: str) -> Column:
     return c.cast("double") if isinstance(kind, (T.FloatType, T.DoubleType, T.DecimalType)) else c.cast("long")
 
 
+def _ranked(rows: DataFrame, axis: str) -> DataFrame:
+    """The text axis as a number: how many rows have a smaller value, whole values compared.
+
+    Values are counted before they are shuffled, and ranges of them ranked: a common value is
+    one row of that table, long common beginnings do no harm.
+    """
+    values = rows.where(F.col(axis).isNotNull()).groupBy(axis).agg(F.count("*").alias("n"))
+    ranks = materialize(running_before(values, [axis], {"below": F.col("n")}).select(axis, "below"), "values")
+    return rows.join(ranks, axis, "left").drop(axis).withColumnRenamed("below", axis)
+
+
 def _cell(axis: Column, cuts: list | None) -> Column:
     """How many cuts are at or below the value; a null is below them all."""
     values = F.array(*[F.lit(x) for x in sorted(set(cuts or []))]) if cuts else F.array().cast("array<long>")
@@ -95,7 +104,7 @@ def assign(docs: DataFrame, *, dims: tuple[str, ...] = ("lang", "source", "n_cha
     their text, then their id: equal texts with equal metadata stand together. Wholly equal
     rows take neighbouring places. A null stands in the first cell of its dimension; a null
     text has size 1 and checksum 0; ids may be null or repeat; other columns are ignored; an
-    empty table gives no rows. Two texts that agree on seven bytes share a cell, no more.
+    empty table gives no rows. Text dimensions are cut by the ranks of their whole values.
     """
     slim = docs.select(
         *row_key(docs[id_col], docs[text_col], *[docs[d] for d in dims]), docs[id_col].alias("id"),
@@ -104,6 +113,9 @@ def assign(docs: DataFrame, *, dims: tuple[str, ...] = ("lang", "source", "n_cha
         *[_axis(docs, d).alias(f"__d{i}") for i, d in enumerate(dims)],
     )
     slim = materialize(slim, "curve")
+    for i in range(len(dims)):
+        if isinstance(slim.schema[f"__d{i}"].dataType, (T.StringType, T.BinaryType)):
+            slim = _ranked(slim, f"__d{i}")
     probs = [i / (1 << bits) for i in range(1, 1 << bits)]
     found = slim.agg(*[F.percentile_approx(f"__d{i}", probs, 10_000).alias(f"q{i}") for i in range(len(dims))], F.count("*").alias("n")).first()
     slim = slim.withColumns({f"__c{i}": _cell(F.col(f"__d{i}"), found[f"q{i}"]) for i in range(len(dims))})
@@ -119,12 +131,17 @@ def write_shards(docs: DataFrame, path: str, *, rows_per_file: int = 1_000_000,
     """Write docs as Parquet, a folder per shard, each file a run of the curve in order.
 
     Shards are written in ranges of (shard, slot), so a shard above rows_per_file rows is many
-    files and no task holds more than a range.
+    files and no task holds more than a range. The folders are named `shard`, with as many
+    underscores after it as docs makes necessary.
     """
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
     dims = options.get("dims", ("lang", "source", "n_chars"))
-    slots = assign(docs, **options).groupBy(*KEY).agg(F.min(F.struct("shard", "slot")).alias("__at"))
-    rows = with_key(docs, id_col, text_col, *dims).join(slots, list(KEY))
-    ordered = rows.withColumns({"shard": F.col("__at.shard"), "__slot": F.col("__at.slot")}).drop("__at", *KEY)
-    ordered = ordered.repartitionByRange(partitions(docs.sparkSession), "shard", "__slot").sortWithinPartitions("shard", "__slot")
-    ordered.drop("__slot").write.partitionBy("shard").option("maxRecordsPerFile", rows_per_file).parquet(path)
+    slots = assign(docs, **options).groupBy(*KEY).agg(F.min(F.struct("shard", "slot")).alias("at"))
+    # the columns of docs travel in one struct, so that no name of theirs meets one of these
+    rows = docs.select(*row_key(docs[id_col], docs[text_col], *[docs[d] for d in dims]), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    rows = rows.join(slots, list(KEY)).select("row", "at.shard", "at.slot")
+    ordered = rows.repartitionByRange(partitions(docs.sparkSession), "shard", "slot").sortWithinPartitions("shard", "slot")
+    folder = "shard"
+    while folder in docs.columns:
+        folder += "_"
+    ordered.select("row.*", F.col("shard").alias(folder)).write.partitionBy(folder).option("maxRecordsPerFile", rows_per_file).parquet(path)

@@ -71,9 +71,8 @@ for _b in range(256):
 
 def _hilbert_sql(dims: tuple[str, ...] = ("lang", "source", "n_chars"), bits: int = hilbert.BITS, shards: int = hilbert.SHARDS) -> str:
     step, follow = hilbert.curve_table(len(dims))
-    width = 2 * hilbert.PREFIX_BYTES
     axis = {"lang": 1, "source": 1}
-    keys = [f"('0x' || rpad(substr(hex(encode({d})), 1, {width}), {width}, '0'))::BIGINT" if d in axis else d for d in dims]
+    keys = [f"CASE WHEN {d} IS NOT NULL THEN rank() OVER (ORDER BY {d}) - 1 END" if d in axis else d for d in dims]
     cuts = ", ".join(f"list_sort(list_distinct(quantile_disc(d{i}, [{', '.join(str(k / (1 << bits)) for k in range(1, 1 << bits))}]))) AS q{i}" for i in range(len(dims)))
     cells = ", ".join(f"len(list_filter(q{i}, lambda x: x <= d{i})) AS c{i}" for i in range(len(dims)))
     sql = f"""WITH b AS (SELECT doc_id, coalesce(text, '') AS t, {', '.join(f'{k} AS d{i}' for i, k in enumerate(keys))} FROM documents),

@@ -58,9 +58,20 @@ def test_files_prune(spark, documents, tmp_path):
 
 
 def test_odd_files(spark, odd, tmp_path):
-    hilbert.write_shards(odd.drop("shard"), f"{tmp_path}/o")
+    hilbert.write_shards(odd, f"{tmp_path}/o")
     got = spark.read.parquet(f"{tmp_path}/o")
-    assert got.count() == len(ROWS) and len(got.columns) == 5 + len(CLASHES)
+    assert got.count() == len(ROWS) and set(got.columns) == {*odd.columns, "shard_"}
+    assert {r.shard for r in got.select("shard").distinct().collect()} == {"x"}
+
+
+def test_long_common_beginnings(spark):
+    """Sources that agree on many bytes still spread over the cells of their dimension."""
+    df = spark.range(640).selectExpr("id as doc_id", "concat('t', id) as text", "'en' as lang", "concat('https://www.example.org/site-', lpad(id % 64, 3, '0')) as source", "10L as n_chars")
+    rows = hilbert.assign(df, dims=("source", "n_chars")).collect()
+    curve = {}
+    for r in rows:
+        curve.setdefault(r.id % 64, set()).add(r.curve)
+    assert all(len(c) == 1 for c in curve.values()) and len({min(c) for c in curve.values()}) >= 60
 
 
 def test_sql(spark, sf):
