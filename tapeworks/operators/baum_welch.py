@@ -198,14 +198,13 @@ def _improved(row: dict, counts: np.ndarray) -> dict:
     return {"pi": (g0 / g0.sum()).tolist(), "trans": trans.ravel().tolist(), "means": means.ravel().tolist(), "covars": covs.ravel().tolist()}
 
 
-def one_round(pieces: DataFrame, models: DataFrame, key: list[str], tolerance: float = 0.0) -> DataFrame:
+def one_round(pieces: DataFrame, models: DataFrame, key: list[str], states: int, tolerance: float = 0.0) -> DataFrame:
     """The models after one more round; `history` gains the log-likelihood the models had before
     it. A model whose last gain was below tolerance is done."""
     ids = [*key, "start"]
-    k = STATES if (r := models.select(F.size("pi").alias("k")).first()) is None else r["k"]
     active = models.where(~F.col("done"))
     borders = _borders(_maps(pieces, active, key, ids), ids)
-    counted = active.join(_counted(pieces, active, borders, key, ids, k), ids)
+    counted = active.join(_counted(pieces, active, borders, key, ids, states), ids)
     names, kinds = models.columns, _kinds(models, models.columns)
 
     def run(source: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -271,8 +270,11 @@ def starts(obs: DataFrame, n: int = STARTS, *, states: int = STATES, key=("instr
 
 def refine(pieces: DataFrame, models: DataFrame, *, key=("instrument",), rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
     """Baum-Welch from the given models until each gains less than tolerance, or for `rounds`."""
+    first = models.select(F.size("pi").alias("k")).first()
+    if first is None:
+        return models
     for _ in range(rounds):
-        models = materialize(one_round(pieces, models, list(key), tolerance), "em-models")
+        models = materialize(one_round(pieces, models, list(key), first["k"], tolerance), "em-models")
         if models.where("not done").isEmpty():
             break
     return models

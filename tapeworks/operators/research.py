@@ -157,24 +157,42 @@ def sweep_fills(features: DataFrame, *, thresholds=THRESHOLDS, sizes=SIZES, keep
     return strategy_fills(live, threshold_strategy(F.col("threshold")), size=F.col("size"), keep=("combo", *keep))
 
 
-def _combo_results(pos: DataFrame, key: list[str], initial_cash: float) -> DataFrame:
-    net = F.when(F.col("opposes"), F.col("realized") - F.col("transaction_cost"))
+def _unit_fills(features: DataFrame, thresholds, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Fills of the threshold strategy at size 1, for every threshold: a size only scales them."""
+    live = features.where(F.abs("obi") > min(thresholds)).withColumn("threshold", F.explode(F.array(*[F.lit(t) for t in thresholds])))
+    return strategy_fills(live, threshold_strategy(F.col("threshold")), size=1.0, keep=("threshold", *keep))
+
+
+_SUMS = ("fills", "realized", "net", "wins", "closes", "notional")
+
+
+def _unit_sums(pos: DataFrame, key: list[str]) -> DataFrame:
+    net = F.col("realized") - F.col("transaction_cost")
     return pos.groupBy(*key).agg(
-        F.count("*").alias("fills"), F.sum("realized").alias("realized_pnl"),
-        F.sum(F.col("realized") - F.col("transaction_cost")).alias("net_pnl"),
-        F.coalesce(ratio(F.count_if(net > 0), F.count(net)), F.lit(0.0)).alias("hit_rate"),
-        (F.sum(F.col("quantity") * F.col("fill_price")) / initial_cash).alias("turnover"),
-    )
+        F.count("*").alias("fills"), F.sum("realized").alias("realized"), F.sum(net).alias("net"), F.count_if(F.col("opposes") & (net > 0)).alias("wins"),
+        F.count_if("opposes").alias("closes"), F.sum(F.col("quantity") * F.col("fill_price")).alias("notional"))
+
+
+def _sized(sums: DataFrame, keep: list[str], thresholds, sizes, initial_cash: float) -> DataFrame:
+    """Results of every combination: the sums of its threshold, multiplied by its size."""
+    own = F.filter(parameter_grid(thresholds, sizes), lambda g: g["threshold"] == F.col("threshold"))
+    each = sums.withColumn("g", F.explode(own))
+    size = F.col("g.size")
+    return each.select(
+        *keep, "g.combo", "fills", (F.col("realized") * size).alias("realized_pnl"), (F.col("net") * size).alias("net_pnl"),
+        F.coalesce(ratio(F.col("wins"), F.col("closes")), F.lit(0.0)).alias("hit_rate"), (F.col("notional") * size / initial_cash).alias("turnover"))
 
 
 def parameter_sweep(features: DataFrame, *, thresholds=THRESHOLDS, sizes=SIZES, initial_cash: float = 100_000.0) -> DataFrame:
-    """Fills, profit, hit rate, turnover and average hold of every combination."""
+    """Fills, profit, hit rate, turnover and average hold of every combination: one replay per
+    threshold, multiplied by the sizes."""
     # both ledgers scan the fills several times
-    fills = materialize(sweep_fills(features, thresholds=thresholds, sizes=sizes), "sweep")
-    res = _combo_results(signed_positions(fills, key=("combo", "instrument")), ["combo"], initial_cash)
+    fills = materialize(_unit_fills(features, thresholds), "sweep")
+    sums = _unit_sums(signed_positions(fills, key=("threshold", "instrument")), ["threshold"])
     hold = (F.unix_micros("exit_time") - F.unix_micros("entry_time")) / 1e6
-    holds = fifo_match(fills, key=("combo", "instrument")).groupBy("combo").agg(F.avg(hold).alias("avg_hold_secs"))
-    return res.join(holds, "combo", "left")
+    holds = fifo_match(fills, key=("threshold", "instrument")).groupBy("threshold").agg(F.avg(hold).alias("avg_hold_secs"))
+    res = _sized(sums.join(holds, "threshold", "left"), ["avg_hold_secs"], thresholds, sizes, initial_cash)
+    return res.select(*[c for c in res.columns if c != "avg_hold_secs"], "avg_hold_secs")
 
 
 def folds_of(features: DataFrame, folds: int = FOLDS, *, time="event_time", uid="event_id") -> DataFrame:
@@ -187,20 +205,23 @@ def folds_of(features: DataFrame, folds: int = FOLDS, *, time="event_time", uid=
 
 def fold_results(features: DataFrame, *, folds: int = FOLDS, thresholds=THRESHOLDS, sizes=SIZES,
                  initial_cash: float = 100_000.0) -> DataFrame:
-    """Per fold f, side and combination: train on the first f chunks, test on the next one."""
+    """Per fold f, side and combination: train on the first f chunks, test on the next one.
+
+    A ledger's rows do not depend on later ones, so one replay of the whole series has the rows
+    of every training prefix: sums per chunk, added up along the chunks. Tests start flat, a
+    replay per chunk. So each row is replayed twice per threshold, whatever the folds and sizes.
+    """
     chunked = folds_of(features, folds)
     c = F.col("chunk")
-    # a chunk trains every later fold and tests exactly one
-    roles = F.concat(
-        F.transform(F.filter(F.sequence(F.lit(1), F.lit(folds)), lambda f: f > c),
-                    lambda f: F.struct(f.cast("int").alias("fold"), F.lit("train").alias("part"))),
-        F.when(c >= 1, F.array(F.struct(c.cast("int").alias("fold"), F.lit("test").alias("part"))))
-        .otherwise(F.array().cast("array<struct<fold:int,part:string>>")),
-    )
-    rows = chunked.withColumn("__r", F.explode(roles)).select("*", "__r.*").drop("__r")
-    fills = materialize(sweep_fills(rows, thresholds=thresholds, sizes=sizes, keep=("fold", "part")), "folds")
-    pos = signed_positions(fills, key=("fold", "part", "combo", "instrument"))
-    return _combo_results(pos, ["fold", "part", "combo"], initial_cash)
+    whole = F.struct(F.lit("train").alias("part"), F.lit(-1).cast("long").alias("run"))
+    own = F.struct(F.lit("test").alias("part"), c.cast("long").alias("run"))
+    rows = chunked.withColumn("r", F.explode(F.when(c >= 1, F.array(whole, own)).otherwise(F.array(whole)))).select("*", "r.*").drop("r")
+    fills = materialize(_unit_fills(rows, thresholds, keep=("part", "run", "chunk")), "folds")
+    pos = signed_positions(fills, key=("part", "run", "threshold", "instrument"))
+    sums = materialize(_unit_sums(pos, ["part", "threshold", "chunk"]), "fold-sums")
+    later = F.when(F.col("part") == "train", F.filter(F.sequence(F.lit(1), F.lit(folds)), lambda f: f > c)).otherwise(F.array(c.cast("int")))
+    per = sums.withColumn("fold", F.explode(later)).groupBy("fold", "part", "threshold").agg(*[F.sum(x).alias(x) for x in _SUMS])
+    return _sized(per.withColumn("fold", F.col("fold").cast("int")), ["fold", "part"], thresholds, sizes, initial_cash)
 
 
 def walk_forward(results: DataFrame) -> DataFrame:

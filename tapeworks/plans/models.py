@@ -307,8 +307,8 @@ def h3em(spark, sf):
 
 @query("h3_fit_hmm")
 def h3fit(spark, sf):
-    """The likeliest of five starts after at most 30 rounds; its likelihoods are tested to rise."""
-    m = baum_welch.fit_hmm(obs(spark, sf), rounds=30)
+    """The likeliest of five starts after at most 10 rounds; its likelihoods are tested to rise."""
+    m = baum_welch.fit_hmm(obs(spark, sf), rounds=10)
     return m.select("instrument", "start", "n_obs", "loglik", F.size("history").alias("rounds"), "pi", "trans", "means", "covars")
 
 
