@@ -103,13 +103,13 @@ def texts(written: DataFrame, made: DataFrame) -> DataFrame:
     return joined.select("conv", "example", F.substring(F.col("all"), F.lit(1), F.col("n_chars")).alias("text"), "loss_start", "loss_end")
 
 
-def parsed(written: DataFrame) -> DataFrame:
-    """(conv, seq, role, text): the turns back from their formatted text alone."""
+def parsed(written: DataFrame, *keep: str) -> DataFrame:
+    """(conv, seq, role, text): the turns back from their formatted text alone; and columns to keep."""
     body = F.col("formatted")
     end = F.locate(">\n", body)
     role = F.substring(body, F.lit(len(OPEN) + 1), end - len(OPEN) - 1)
     text = F.substring(body, end + 2, F.char_length(body) - end - 1 - len("\n" + CLOSE))
-    return written.select("conv", "seq", unescaped_role(role).alias("role"), unescaped(text).alias("text"))
+    return written.select("conv", "seq", unescaped_role(role).alias("role"), unescaped(text).alias("text"), *keep)
 
 
 def digest(written: DataFrame, made: DataFrame, conv_col: str = "conv_id") -> DataFrame:
@@ -118,9 +118,9 @@ def digest(written: DataFrame, made: DataFrame, conv_col: str = "conv_id") -> Da
     A SHA-256 is taken of one message, so here a conversation's text meets in one row. The loss
     text is cut from the formatted turn by the example's mask.
     """
-    mask = made.select("seq", "n_chars", "loss_start", "loss_end", F.col("n_chars").alias("upto"))
-    turn = parsed(written).join(written.select("seq", "formatted", F.col("n_chars").alias("own")), "seq").join(mask.drop("n_chars"), "seq", "left")
-    at = F.col("loss_start") - (F.col("upto") - F.col("own"))
+    mask = made.select("seq", F.col("n_chars").alias("upto"), "loss_start", "loss_end")
+    turn = parsed(written, "formatted", "n_chars").join(mask, "seq", "left")
+    at = F.col("loss_start") - (F.col("upto") - F.col("n_chars"))
     loss = F.coalesce(unescaped(F.substring(F.col("formatted"), (at + 1).cast("int"), (F.col("loss_end") - F.col("loss_start")).cast("int"))), F.lit(""))
     turn = turn.select("conv", "seq", F.concat("role", F.lit("\n"), "text", F.lit("\n")).alias("t"), loss.alias("l"), "upto")
     row = F.sort_array(F.collect_list(F.struct("seq", "t", "l")))
