@@ -37,10 +37,6 @@ def delete(spark: SparkSession, df_path: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def batches(columns: list[list], types: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types.types)], schema=types)
-
-
 def whole_groups(source: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
     """Regroup sorted batches so that equal keys are never in two batches."""
     import numpy as np
