@@ -9,7 +9,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeworks.functions.numeric import ratio
+from tapeworks.functions.numeric import correlation, ratio
 from tapeworks.functions.quantiles import average_ranks
 from tapeworks.functions.scan import framed, own_rows, running
 from tapeworks.operators.ledger import fifo_match, signed_positions
@@ -30,17 +30,19 @@ def forward_returns(df: DataFrame, horizon: int = 1, *, price="midPrice", time="
 
 
 def information_coefficient(df: DataFrame, *, signal="obi", ret="fwd_ret", key=("instrument",)) -> DataFrame:
-    """Rank correlation of signal and forward return per key, ties at their mean rank."""
+    """Rank correlation of signal and forward return per key, ties at their mean rank; NULL where
+    all rows share one signal or one return."""
     key = list(key)
     known = df.where(F.col(signal).isNotNull() & F.col(ret).isNotNull()).select(*key, signal, ret)
     ranked = average_ranks(average_ranks(known, key=key, value=signal, out="__rs"), key=key, value=ret, out="__rr")
-    return ranked.groupBy(*key).agg(F.count("*").alias("n"), F.corr("__rs", "__rr").alias("ic"))
+    return ranked.groupBy(*key).agg(F.count("*").alias("n"), correlation(F.col("__rs"), F.col("__rr")).alias("ic"))
 
 
 def rolling_corr(df: DataFrame, *, window: int, signal="obi", ret="fwd_ret", time="event_time", uid="event_id") -> DataFrame:
+    """Correlation over each row's last `window` rows; NULL where one side does not move in them."""
     f, w = framed(df, key=["instrument"], order=[time, uid], before=window)
     span = w.rowsBetween(1 - window, 0)
-    f = f.withColumns({"corr": F.corr(signal, ret).over(span), "n": F.count("*").over(span)})
+    f = f.withColumns({"corr": correlation(F.col(signal), F.col(ret), span), "n": F.count("*").over(span)})
     return own_rows(f)
 
 
