@@ -133,11 +133,13 @@ def strategy_fills(df: DataFrame, way: Column, *, size: Column | float = 0.01, p
 def composite(alphas: DataFrame, weights: DataFrame, *, band: float = BAND, key=("instrument", "event_time", "event_id")) -> DataFrame:
     """Weighted sum of a long table of alpha signals; an entry when it leaves the band.
 
-    A score on the band, give or take rounding of the sum, is no entry.
+    A score on the band, give or take rounding of the sum, is no entry. Rows are shuffled before
+    they are summed, as a sum ahead of it would hold every key of a file's share in one table.
     """
     band = band + 1e-9
-    w = alphas.join(weights, "alpha").withColumn("contribution", F.col("weight") * F.col("signal"))
-    c = w.groupBy(*key).agg(F.sum("contribution").alias("score"), F.count("*").alias("alphas"))
+    # written, so that Spark knows they are few: shuffled by alpha, all rows would meet in a task each
+    w = alphas.join(materialize(weights, "weights"), "alpha").withColumn("contribution", F.col("weight") * F.col("signal"))
+    c = w.select(*key, "contribution").repartition(*key).groupBy(*key).agg(F.sum("contribution").alias("score"), F.count("*").alias("alphas"))
     return c.withColumn("entry", F.when(F.col("score") > band, "BUY").when(F.col("score") < -band, "SELL"))
 
 
