@@ -315,6 +315,40 @@ def _uniform(h: np.ndarray, s: np.ndarray) -> np.ndarray:
     return x * x % PRIME
 
 
+_SHIFT = 15
+_UNSURE = 255
+_EDGES = np.arange(0, PRIME + 1, 1 << _SHIFT)
+#: The weight of all draws with the same upper bits, or that a threshold lies between such draws.
+_WEIGHTS = np.searchsorted(POISSON_STEPS, _EDGES, side="right").astype(np.uint8)
+_WEIGHTS[np.searchsorted(POISSON_STEPS, _EDGES + (1 << _SHIFT) - 1, side="right") != _WEIGHTS] = _UNSURE
+
+
+def _below_prime(x: np.ndarray) -> np.ndarray:
+    """x % PRIME in place, for x below PRIME squared: 2**31 is 1 there, so the upper bits are added."""
+    upper = x >> np.uint64(31)
+    x &= np.uint64(PRIME)
+    x += upper
+    return np.minimum(x, np.subtract(x, np.uint64(PRIME), out=upper), out=x)
+
+
+def poisson_weights(h: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """Poisson(1) weights of whole numbers h from 0 below PRIME in simulations s, a row per h."""
+    s = s.astype(np.uint64)[None, :]
+    x = _below_prime((h.astype(np.uint64) * np.uint64(48271) % np.uint64(PRIME))[:, None] + s * np.uint64(69621) + np.uint64(12345))
+    x *= x
+    x = _below_prime(x)
+    x *= np.uint64(48271)
+    x += s
+    x = _below_prime(x)
+    x *= x
+    x = _below_prime(x)
+    u = x.view(np.int64)
+    w = _WEIGHTS[u >> _SHIFT]
+    rest = np.flatnonzero(w == _UNSURE)
+    w.reshape(-1)[rest] = np.searchsorted(POISSON_STEPS, u.reshape(-1)[rest], side="right")
+    return w
+
+
 def bootstrap_moments(trips: DataFrame, *, id_hash: Column, n_sims: int = SIMULATIONS) -> DataFrame:
     """Resampled count, sum and sum of squares of net profit for every simulation.
 
@@ -328,10 +362,14 @@ def bootstrap_moments(trips: DataFrame, *, id_hash: Column, n_sims: int = SIMULA
         for pdf in batches:
             h, r = pdf["h"].to_numpy(), pdf["r"].to_numpy()
             for at in range(0, len(h), 64):
-                u = _uniform(h[at:at + 64, None], sims[None, :])
-                w = np.searchsorted(steps, u, side="right").astype(float)
                 part = r[at:at + 64]
-                sums += np.stack([np.ones_like(part), part, part * part]) @ w
+                powers = np.stack([np.ones_like(part), part, part * part])
+                if h.dtype.kind == "f":  # a batch with a null id
+                    u = _uniform(h[at:at + 64, None], sims[None, :])
+                    sums += powers @ np.searchsorted(steps, u, side="right").astype(float)
+                    continue
+                for a in range(0, n_sims, 500):  # a tile stays in the processor's cache
+                    sums[:, a:a + 500] += powers @ poisson_weights(h[at:at + 64], sims[a:a + 500]).astype(float)
         yield pd.DataFrame({"sim": sims, "w": sums[0], "wr": sums[1], "wrr": sums[2]})
 
     picked = trips.select(F.pmod(id_hash.cast("long"), F.lit(PRIME)).alias("h"), F.col("net_pnl").alias("r"))
