@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tapeworks.functions.asof import asof_join
 from tapeworks.functions.numeric import ratio
 from tapeworks.functions.quantiles import exact_quantiles
-from tapeworks.functions.scan import running
+from tapeworks.functions.scan import order_cuts, running, with_block
 from tapeworks.operators.ledger import fifo_labels, fifo_match
 from tapeworks.session import exists, materialize
 
@@ -56,7 +56,8 @@ def build_training_set(fills: DataFrame, features: DataFrame) -> DataFrame:
     """Labelled samples: features of the entry fill, outcome of its closed lot."""
     # matching scans these rows several times, and the samples join them again
     known = materialize(attach_preceding_features(fills, features), "known")
-    labels = fifo_labels(fifo_match(known))
+    # the labels read the matches by their entries and by their exits
+    labels = fifo_labels(materialize(fifo_match(known), "matches"))
     entry = engineer_features(known, time="feature_event_time").select(
         "instrument", F.col("execution_id").alias("entry_id"), "feature_event_time", *FEATURES)
     return labels.join(entry, ["instrument", "entry_id"])
@@ -67,11 +68,13 @@ def temporal_split(samples: DataFrame, *, test_share: float = TEST_SHARE, uid: s
 
     The boundary is the largest valid rank at or below the wanted one, never below 1.
     """
-    ranked = running(samples, {"rank": ("count", F.lit(1))}, order=["label_time", uid])
+    order = ["label_time", uid]
+    cuts = order_cuts(samples, order)
+    ranked = running(samples, {"rank": ("count", F.lit(1))}, order=order, cuts=cuts)
     ranked = running(
-        ranked, {"__later": ("min", F.col("feature_event_time"), "before")},
-        order=["label_time", uid], descending=True,
-    )
+        ranked, {"__later": ("min", F.col("feature_event_time"), "before")}, order=order, cuts=cuts, descending=True, source=with_block(samples, order, cuts))
+    # read for the boundary and for the rows
+    ranked = materialize(ranked, "ranked")
     n = samples.count()
     wanted = max(1, int(n * (1 - test_share)))
     wanted = max(1, n - 1) if wanted >= n else wanted
