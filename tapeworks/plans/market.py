@@ -8,6 +8,7 @@ from tapeworks.functions.asof import asof_join
 from tapeworks.operators import bars, decisions, news, signals, store, tca
 from tapeworks.plans import views
 from tapeworks.plans.registry import pick, query, shared
+from tapeworks.session import materialize
 
 
 def bars5(spark, sf):
@@ -129,13 +130,15 @@ def f15(spark, sf):
 def assembled(spark, sf):
     def build():
         r = regimes(spark, sf).select("instrument", "open_time", "volatility_ann", "hurst", "autocorr", "confidence")
-        joined = multi(spark, sf).join(r, ["instrument", "open_time"])
+        # each as-of join reads its left side three times: the bars are written between them
+        joined = materialize(multi(spark, sf).join(r, ["instrument", "open_time"]), "bars-regimes")
         at = {"left_time": "close_time", "left_uid": "open_time"}
-        joined = asof_join(joined, signals.oi_change(views.open_interest(spark, sf)), **at, right_time="ts", right_uid="event_id", take={"oi_change": "oi_change"})
+        interest = materialize(signals.oi_change(views.open_interest(spark, sf)).select("instrument", "ts", "event_id", "oi_change"), "interest")
+        joined = materialize(asof_join(joined, interest, **at, right_time="ts", right_uid="event_id", take={"oi_change": "oi_change"}), "bars-interest")
         layers = ("fear_greed", "funding_rate", "ml_score", "ml_ready")
-        joined = asof_join(joined, views.market_layers(spark, sf), **at, right_time="ts", right_uid="event_id", take={c: c for c in layers})
+        joined = materialize(asof_join(joined, views.market_layers(spark, sf), **at, right_time="ts", right_uid="event_id", take={c: c for c in layers}), "bars-layers")
         mood = news.sentiment_series(news.parse_response(views.headlines(spark, sf))).withColumn("instrument", F.concat(F.upper("coin"), F.lit("-USDT")))
-        joined = asof_join(joined, mood, **at, right_time="at", right_uid="at", take={"news_sentiment": "score"}, tolerance="10 minutes")
+        joined = materialize(asof_join(joined, materialize(mood, "mood"), **at, right_time="at", right_uid="at", take={"news_sentiment": "score"}, tolerance="10 minutes"), "bars-mood")
         return signals.assemble_events(joined, signals.order_book_imbalance(views.books(spark, sf)))
     return shared(spark, sf, "assembled", build)
 
