@@ -157,7 +157,7 @@ def s5(spark, sf):
 @query("s6_stream_tca", """
 SELECT execution_id, snap(arrival, 6) AS arrival FROM x_arrival""")
 def s6(spark, sf):
-    out = drain(jobs.tca_stream(*[source(spark, sf, v, close="ts", closings=9) for v in (views.fills, views.ticks)]))
+    out = fold(*jobs.tca_stream(*[source(spark, sf, v, close="ts") for v in (views.fills, views.ticks)]))
     return out.where("execution_id <> ''").transform(pick, "execution_id", "snap(arrival, 6) arrival")
 
 

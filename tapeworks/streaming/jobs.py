@@ -9,6 +9,7 @@ from tapeworks.operators import bars as bar_ops
 from tapeworks.operators.decisions import decide
 from tapeworks.operators.quality import fill_key
 from tapeworks.operators.store import append_indexed
+from tapeworks.streaming import slots
 
 STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -44,28 +45,14 @@ def sessions_stream(events: DataFrame, *, key=("job",), time="ts", gap: str = "5
     ).select(*key, F.col("s.start").alias("session_start"), "last_event", "events")
 
 
-def tca_stream(fills: DataFrame, ticks: DataFrame, *, tolerance_secs: int = 60, delay: str = "10 minutes") -> DataFrame:
-    """Fills with the last tick inside the tolerance: an interval join, then the newest match.
+def tca_stream(fills: DataFrame, ticks: DataFrame, *, tolerance_secs: int = 60, delay: str = "10 minutes") -> tuple[DataFrame, slots.Step]:
+    """Fills with the last tick inside the tolerance: a sealed stream and its step, for slots.carried.
 
-    The join key holds a time slot as wide as the tolerance, so a fill meets the ticks of two
-    slots and not all buffered ticks of its instrument. Both steps are bounded by the
-    watermark; a fill without a tick keeps a NULL arrival.
+    Fills and ticks wait by time slot and meet in one pass in time order, so a fill is not paired
+    with every tick of its last minute. Both wait for the slower stream's watermark; a fill
+    without a tick keeps a NULL arrival.
     """
-    rest = [c for c in fills.columns if c != "ts"]
-    slot = F.floor(F.unix_micros("ts") / (tolerance_secs * 1_000_000))
-    # one event-time column per stream: the exact fill time travels on as a plain number
-    f = fills.withWatermark("ts", delay).select(
-        F.col("ts").alias("f_ts"), F.unix_micros("ts").alias("f_us"), *[F.col(c).alias(f"f_{c}") for c in rest],
-        F.explode(F.array(slot, slot - 1)).alias("f_slot"))
-    t = ticks.select(
-        F.col("instrument").alias("t_instrument"), F.col("ts").alias("t_ts"), F.unix_micros("ts").alias("t_us"),
-        F.col("price").alias("t_price"), F.col("tick_id").alias("t_id"), slot.alias("t_slot")).withWatermark("t_ts", delay)
-    near = (F.col("f_instrument") == F.col("t_instrument")) & (F.col("f_slot") == F.col("t_slot")) & (
-        F.col("t_ts") <= F.col("f_ts")) & (F.col("t_ts") >= F.col("f_ts") - F.expr(f"interval {tolerance_secs} seconds"))
-    matched = f.join(t, near, "left_outer")
-    return matched.groupBy(F.window("f_ts", "1 second"), "f_us", *[f"f_{c}" for c in rest]).agg(
-        F.max_by("t_price", F.struct("t_us", "t_id")).alias("arrival")
-    ).select(*[F.col(f"f_{c}").alias(c) for c in rest], F.timestamp_micros("f_us").alias("ts"), "arrival")
+    return slots.arrivals(fills, ticks, delay=delay), slots.arrivals_step(f"{tolerance_secs} seconds")
 
 
 def store_writer(spark: SparkSession, path: str, *, late_path: str | None = None, late_after: str = "1 day"):

@@ -15,6 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from tapeworks.functions.asof import asof_join
 from tapeworks.functions.scan import Cuts, order_cuts
 from tapeworks.operators.ledger import signed_positions
 from tapeworks.operators.regime import DIMS, MODEL, causal_filter
@@ -29,13 +30,15 @@ SINGLE = 200_000
 Step = Callable[[DataFrame, DataFrame | None, bool], tuple[DataFrame, Callable[[DataFrame], DataFrame]]]
 
 
-def sealed(stream: DataFrame, cols: list[str], *, key: str, time: str, uid: str, delay: str, slot: str = SLOT, parts: int = PARTS) -> DataFrame:
+def sealed(stream: DataFrame, cols: list[str], *, key: str, time: str, uid: str, delay: str | None, slot: str = SLOT, parts: int = PARTS) -> DataFrame:
     """(key, slot, part, rows): the rows of each slot, once the watermark has passed its end.
 
     A slot of a key is dealt into parts by a hash of the id, so a busy one is several entries.
+    Without a delay the stream has its watermarks already.
     """
     part = F.pmod(F.xxhash64(uid), F.lit(parts)).alias("part")
-    marked = stream.select(key, *cols, part).withWatermark(time, delay)
+    marked = stream.select(key, *cols, part)
+    marked = marked.withWatermark(time, delay) if delay else marked
     return marked.groupBy(key, F.window(time, slot).alias("slot"), "part").agg(F.collect_list(F.struct(*cols)).alias("rows"))
 
 
@@ -118,3 +121,30 @@ def regimes_step(models: DataFrame) -> Step:
 def regimes(obs: DataFrame, *, delay: str = "1 hour", **slots) -> DataFrame:
     """Sealed observations; write them with carried(path, regimes_step(models))."""
     return sealed(obs, ["event_id", "event_time", *DIMS], key="instrument", time="event_time", uid="event_id", delay=delay, **slots)
+
+
+def arrivals_step(tolerance: str) -> Step:
+    """Fills of a micro-batch with the last tick inside the tolerance. The last tick of each key goes
+    on, as no earlier one can be newer; equal fills are one, and a key that is NULL has no ticks."""
+    def step(rows: DataFrame, before: DataFrame | None, few: bool):
+        ticks = rows.where("tick is not null and instrument is not null").select("instrument", "ts", "tick.*")
+        if before is not None:
+            ticks = ticks.unionByName(before.select(*ticks.columns))
+        uid = F.coalesce(F.col("tick.tick_id").cast("string"), F.col("uid").cast("string"))
+        order = rows.select("ts", F.col("tick").isNull().cast("int").alias("side"), uid.alias("uid"))
+        joined = asof_join(
+            rows.where("fill is not null").select("instrument", "ts", "uid", "fill"), ticks, left_time="ts", right_time="ts",
+            left_uid="uid", right_uid="tick_id", take={"arrival": "price"}, tolerance=tolerance, cuts=_cuts(order, ["ts", "side", "uid"], few))
+        return joined.select("fill.*", "ts", "arrival").dropDuplicates(), lambda done: _newest(ticks, None, ["price"], "ts", "tick_id")
+
+    return step
+
+
+def arrivals(fills: DataFrame, ticks: DataFrame, *, delay: str = "10 minutes", **slots) -> DataFrame:
+    """Sealed fills and ticks, each behind the slower one's watermark; write them with carried(path, arrivals_step(tolerance))."""
+    rest = [c for c in fills.columns if c != "ts"]
+    f = fills.withWatermark("ts", delay).select(
+        "instrument", "ts", F.xxhash64(*rest).alias("uid"), F.struct(*rest).alias("fill"), F.lit(None).alias("tick"))
+    t = ticks.withWatermark("ts", delay).select(
+        "instrument", "ts", F.xxhash64("tick_id").alias("uid"), F.lit(None).alias("fill"), F.struct("price", "tick_id").alias("tick"))
+    return sealed(f.unionByName(t), ["ts", "uid", "fill", "tick"], key="instrument", time="ts", uid="uid", delay=None, **slots)

@@ -8,12 +8,12 @@ import pytest
 from pyspark.sql import functions as F
 from test_market import chain_frame, sample_chain
 
-from tapeworks.operators import regime
+from tapeworks.operators import regime, tca
 from tapeworks.operators.ledger import signed_positions
 from tapeworks.plans import views
 from tapeworks.plans.streams import drain
 from tapeworks.session import durable_dir
-from tapeworks.streaming import slots
+from tapeworks.streaming import jobs, slots
 
 
 def feed(spark, df, time, files, shuffle=0):
@@ -83,3 +83,36 @@ def test_no_entry_above_a_slot(spark, sf):
           each_batch=lambda b, n: sizes.extend(r.n for r in b.select(F.size("rows").alias("n")).collect()))
     per_slot = f.groupBy("instrument", F.window("ts", "6 hours")).count().agg(F.max("count")).first()[0]
     assert sum(sizes) == f.count() and max(sizes) <= per_slot
+
+
+def quotes(spark, n, minutes):
+    """n fills and n ticks of two instruments and none over some minutes, some ticks at equal times."""
+    at = F.timestamp_micros(F.lit(1_704_067_200_000_000) + F.floor(F.col("id") * (minutes * 60 / n)).cast("long") * 1_000_000)
+    name = F.when(F.col("id") % 11 == 3, None).when(F.col("id") % 2 == 0, "A").otherwise("B").alias("instrument")
+    f = spark.range(n).select(F.concat(F.lit("x"), "id").alias("execution_id"), name, at.alias("ts"), F.expr("nullif(id % 5 * 0.5D, -1D)").alias("quantity"))
+    gap = F.expr("make_interval(0, 0, 0, 0, 0, 0, (id * 7) % 100)")
+    t = spark.range(n).select(F.concat(F.lit("t"), F.col("id") % 97).alias("tick_id"), name, (at - gap).alias("ts"), F.expr("nullif(id * 1D, -1D)").alias("price"))
+    return f, t.dropDuplicates(["instrument", "ts", "tick_id"])
+
+
+def test_arrivals(spark):
+    """Over many batches, with fills that come twice: as the batch join, a tick of an earlier batch included."""
+    f, t = quotes(spark, 500, 240)
+    want = {r.execution_id: r.arrival for r in tca.arrival_join(f.where("instrument is not null"), t).collect()}
+    want |= {r.execution_id: None for r in f.where("instrument is null").collect()}
+    twice = f.unionByName(f.where("quantity = 0"))
+    stream, step = jobs.tca_stream(feed(spark, twice, "ts", 4), feed(spark, t, "ts", 4))
+    out, batches = folded(spark, stream, step)
+    got = out.where("execution_id <> ''").collect()
+    assert len(batches) >= 4 and len({r.batch for r in got}) > 2 and len(got) == len(want) == 500
+    assert {r.execution_id: r.arrival for r in got} == want and out.columns == ["execution_id", "instrument", "quantity", "ts", "arrival", "batch"]
+    assert sum(v is not None for v in want.values()) > 100
+
+
+def test_arrivals_are_not_paired(spark):
+    """In a busy minute each fill and tick waits once; they are not joined with each other."""
+    f, t = quotes(spark, 600, 1)
+    stream, _ = jobs.tca_stream(feed(spark, f, "ts", 1), feed(spark, t, "ts", 1))
+    rows = []
+    drain(stream, each_batch=lambda b, n: rows.append(b.select(F.sum(F.size("rows"))).first()[0] or 0))
+    assert sum(rows) == f.count() + t.count() and "Join" not in stream._jdf.queryExecution().analyzed().toString()
